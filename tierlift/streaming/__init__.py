@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed workload has no streaming part: every window is a closed,
+historical date range and no operator keeps state across batches.  Nothing is
+registered here; new post-launch data is handled by re-running the batch
+plans (they are incremental-friendly only through Parquet partition pruning
+on the transaction date).
+"""
