@@ -1,79 +1,105 @@
-"""Column expressions for labels, classes and parsed codes (all JVM-side)."""
+"""Column expressions for labels, classes and parsed codes (all JVM-side).
+
+CASE ladders are generated as SQL expression text and parsed once by Catalyst
+(``F.expr``): the same expression tree as chained ``F.when`` calls, built with
+one driver-to-JVM call instead of dozens.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import CONTROL, NO_COUPON, OTHER_COUPON, TREATMENT, ExperimentConfig
 
 
-def group_type(is_member: Column) -> Column:
+def q(name: str) -> str:
+    """Quote a column name for SQL expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit(v) -> str:
+    """SQL literal text for a Python value."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ladder_sql(n: str, cfg: ExperimentConfig, attr: str) -> str:
+    """``CASE WHEN n in rung 1 THEN <attr of rung 1> ... END`` (NULL below)."""
+    whens = []
+    for t in cfg.tiers:
+        cond = f"{n} >= {t.min_orders}" + ("" if t.max_orders is None else f" AND {n} <= {t.max_orders}")
+        whens.append(f"WHEN {cond} THEN {lit(getattr(t, attr))}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def case_sql(col: str, mapping: dict, default: str = "NULL") -> str:
+    """Simple CASE text: value -> literal (``default`` is SQL text)."""
+    whens = " ".join(f"WHEN {col} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items())
+    return f"CASE {whens} ELSE {default} END"
+
+
+def group_type(is_member: str = "is_member") -> Column:
     """'Treatment' for ``IS TRUE``, 'Control' otherwise (three-valued)."""
-    return F.when(is_member.eqNullSafe(F.lit(True)), F.lit(TREATMENT)).otherwise(F.lit(CONTROL))
+    return F.expr(f"CASE WHEN {q(is_member)} IS TRUE THEN {lit(TREATMENT)} ELSE {lit(CONTROL)} END")
 
 
-def is_treatment(is_member: Column) -> Column:
-    return is_member.eqNullSafe(F.lit(True))
+def is_treatment(is_member: str = "is_member") -> Column:
+    return F.expr(f"{q(is_member)} IS TRUE")
 
 
-def is_control(is_member: Column) -> Column:
-    return is_member.eqNullSafe(F.lit(False))
+def is_control(is_member: str = "is_member") -> Column:
+    return F.expr(f"{q(is_member)} IS FALSE")
 
 
-def control_label(n_orders: Column, cfg: ExperimentConfig) -> Column:
+def control_label(n_orders: str, cfg: ExperimentConfig) -> Column:
     """Raw control label of a non-member from the pre-window order count;
     NULL below the lowest rung."""
-    expr = None
-    for t in cfg.tiers:
-        cond = n_orders >= t.min_orders
-        if t.max_orders is not None:
-            cond = cond & (n_orders <= t.max_orders)
-        expr = F.when(cond, F.lit(t.control_label)) if expr is None else expr.when(cond, F.lit(t.control_label))
-    return expr
+    return F.expr(ladder_sql(q(n_orders), cfg, "control_label"))
 
 
-def display_tier_of_control(n_orders: Column, cfg: ExperimentConfig) -> Column:
+def display_tier_of_control(n_orders: str, cfg: ExperimentConfig) -> Column:
     """Treatment-side tier name the control label maps to."""
-    expr = None
-    for t in cfg.tiers:
-        cond = n_orders >= t.min_orders
-        if t.max_orders is not None:
-            cond = cond & (n_orders <= t.max_orders)
-        expr = F.when(cond, F.lit(t.name)) if expr is None else expr.when(cond, F.lit(t.name))
-    return expr
+    return F.expr(ladder_sql(q(n_orders), cfg, "name"))
 
 
-def tier_case(c: Column, mapping: dict, default=None) -> Column:
+def tier_case(col: str, mapping: dict, default=None) -> Column:
     """Simple CASE: value -> literal, unlisted -> ``default`` (NULL)."""
-    expr = None
-    for k, v in mapping.items():
-        expr = F.when(c == F.lit(k), F.lit(v)) if expr is None else expr.when(c == F.lit(k), F.lit(v))
-    return expr.otherwise(F.lit(default)) if default is not None else expr
+    return F.expr(case_sql(q(col), mapping, lit(default)))
 
 
-def tier_sort_order(tier: Column, cfg: ExperimentConfig) -> Column:
+def tier_sort_order(tier: str, cfg: ExperimentConfig) -> Column:
     return tier_case(tier, {t.name: t.sort_order for t in cfg.tiers})
 
 
-def discount_rate(tier: Column, cfg: ExperimentConfig, overrides: dict | None = None) -> Column:
-    """Rate per display tier as DECIMAL(10,4); 0 for unlisted tiers."""
+def discount_rate_sql(tier: str, cfg: ExperimentConfig, overrides: dict | None = None) -> str:
     rates = {t.name: t.discount_rate for t in cfg.tiers}
     rates.update(overrides or {})
-    expr = tier_case(tier, {k: f"{v:.4f}" for k, v in rates.items()}, default="0.0000")
-    return expr.cast("decimal(10,4)")
+    whens = " ".join(f"WHEN {q(tier)} = {lit(k)} THEN {v:.4f}BD" for k, v in rates.items())
+    return f"CAST(CASE {whens} ELSE 0BD END AS DECIMAL(10,4))"
+
+
+def discount_rate(tier: str, cfg: ExperimentConfig, overrides: dict | None = None) -> Column:
+    """Rate per display tier as DECIMAL(10,4); 0 for unlisted tiers."""
+    return F.expr(discount_rate_sql(tier, cfg, overrides))
 
 
-def coupon_class(coupon: Column, cfg: ExperimentConfig) -> Column:
+def coupon_class(coupon: str, cfg: ExperimentConfig) -> Column:
     """Referral prefix (case sensitive) / other non-empty code / none."""
-    return (F.when(coupon.startswith(cfg.coupon_prefix), F.lit(cfg.referral_label))
-            .when(coupon.isNotNull() & (coupon != F.lit("")), F.lit(OTHER_COUPON))
-            .otherwise(F.lit(NO_COUPON)))
+    c = q(coupon)
+    return F.expr(f"CASE WHEN startswith({c}, {lit(cfg.coupon_prefix)}) THEN {lit(cfg.referral_label)} "
+                  f"WHEN {c} IS NOT NULL AND {c} != '' THEN {lit(OTHER_COUPON)} ELSE {lit(NO_COUPON)} END")
 
 
-def referrer_id(coupon: Column, cfg: ExperimentConfig) -> Column:
+def referrer_id(coupon: str, cfg: ExperimentConfig) -> Column:
     """Referrer id parsed from ``<prefix><digits>``; NULL when malformed."""
-    import re
     pattern = "^" + re.escape(cfg.coupon_prefix) + r"([0-9]{1,18})$"
-    digits = F.regexp_extract(coupon, pattern, 1)
+    digits = F.regexp_extract(F.col(coupon), pattern, 1)
     return F.when(digits != F.lit(""), digits.cast("bigint"))

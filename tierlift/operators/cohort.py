@@ -36,20 +36,20 @@ def eligible_users(users: DataFrame, tx: DataFrame, cfg: ExperimentConfig = DEFA
     ``user_id`` by its aggregate, so the join shuffles only the users side (or
     AQE turns it into a broadcast when the users side is small)."""
     counts = window_txn_counts(tx, cfg.pre_start, cfg.pre_end).where(F.col("n_orders") > 0)
-    u = users.where((F.col("registration_date") < F.lit(cfg.launch)) & (F.col("opt_in") == F.lit(True)))
+    u = users.where(F.col("registration_date") < F.lit(cfg.launch)).where("opt_in = TRUE")
     e = u.join(counts, on="user_id", how="inner")
-    member = L.is_treatment(F.col("is_member"))
-    return (e.withColumn("n_orders", F.col("n_orders").cast("bigint"))
-             .withColumn("tier_label", F.when(member, F.col("member_tier"))
-                         .otherwise(L.control_label(F.col("n_orders"), cfg)))
-             .withColumn("tier", F.when(member, F.col("member_tier"))
-                         .otherwise(L.display_tier_of_control(F.col("n_orders"), cfg))))
+    cols = [c for c in e.columns if c != "n_orders"]
+    return e.selectExpr(
+        *[L.q(c) for c in cols], "CAST(n_orders AS BIGINT) AS n_orders",
+        f"CASE WHEN is_member IS TRUE THEN member_tier ELSE {L.ladder_sql('n_orders', cfg, 'control_label')} END"
+        " AS tier_label",
+        f"CASE WHEN is_member IS TRUE THEN member_tier ELSE {L.ladder_sql('n_orders', cfg, 'name')} END AS tier")
 
 
 def status_split(eligible: DataFrame) -> DataFrame:
     """``user_id, group_type`` with NULL membership removed."""
     return (eligible.where(F.col("is_member").isNotNull())
-                    .select("user_id", L.group_type(F.col("is_member")).alias("group_type")))
+                    .select("user_id", L.group_type("is_member").alias("group_type")))
 
 
 def _sampleable(eligible: DataFrame, cfg: ExperimentConfig) -> DataFrame:
@@ -72,9 +72,9 @@ def target_counts(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -
 def control_counts(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
     """``tier, control_label, control_n``: non-members per mapped tier."""
     labels = {t.name: t.control_label for t in cfg.tiers}
-    return (eligible.where(L.is_control(F.col("is_member")) & F.col("tier").isin(cfg.tier_names))
+    return (eligible.where(L.is_control("is_member") & F.col("tier").isin(cfg.tier_names))
                     .groupBy("tier").agg(F.count(F.lit(1)).alias("control_n"))
-                    .select("tier", L.tier_case(F.col("tier"), labels).alias("control_label"),
+                    .select("tier", L.tier_case("tier", labels).alias("control_label"),
                             "control_n"))
 
 
@@ -84,7 +84,7 @@ def ranked_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) ->
     with bucketed offsets (no single-task sort of a whole tier)."""
     base = _sampleable(eligible, cfg).select("user_id", "tier", "is_member")
     r = bucketed_row_number(base, COHORT_KEYS, "user_id", cfg.balance_buckets)
-    return r.select("user_id", L.group_type(F.col("is_member")).alias("group_type"), "tier", "rn")
+    return r.select("user_id", L.group_type("is_member").alias("group_type"), "tier", "rn")
 
 
 def _limits(targets: DataFrame) -> DataFrame:
@@ -94,23 +94,47 @@ def _limits(targets: DataFrame) -> DataFrame:
              .unionByName(t.withColumn("is_member", F.lit(False))))
 
 
+# Largest (tier, side) group that may be ranked by one window task.  A single
+# task sorts a few million (id, tier, flag) rows in well under a second; above
+# that the bucketed cutoff spreads the work over ``balance_buckets`` tasks.
+WINDOW_MAX_GROUP_ROWS = 2_000_000
+
+
 def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
                    method: str = "cutoff") -> DataFrame:
     """Eligible columns + ``group_type`` for the matched cohort.
 
-    ``method='cutoff'`` (default, for scale): id-range histogram, whole buckets
-    below the cut kept without sorting, only the boundary bucket ranked.
-    ``method='window'``: the direct formulation, each side ranked by a
-    ``ROW_NUMBER`` window per tier, joined to the broadcast targets and the two
-    sides unioned; one window partition per (tier, side), so only suitable for
-    small populations and as the reference form in tests."""
+    ``method='cutoff'`` (for scale): id-range histogram, whole buckets below
+    the cut kept without sorting, only the boundary bucket ranked.
+    ``method='window'``: one ``ROW_NUMBER`` window over (tier, side) joined to
+    the broadcast targets; one window task per group, so only for groups that
+    fit one task.
+    ``method='branches'``: the analysed scripts' shape (treatment and control
+    ranked separately, cut, then ``UNION ALL``); same rows as 'window'.
+    ``method='auto'``: collects the per-tier side counts (at most
+    ``len(cfg.tiers)`` rows), then 'window' if the largest group has at most
+    ``WINDOW_MAX_GROUP_ROWS`` rows, else 'cutoff'; the collected targets are
+    reused as a literal broadcast relation."""
     base = _sampleable(eligible, cfg)
-    # target_counts has at most len(cfg.tiers) rows: broadcast is bounded.
-    targets = F.broadcast(target_counts(eligible, cfg).select("tier", "target_n"))
+    if method == "auto":
+        rows = target_counts(eligible, cfg).collect()  # <= len(cfg.tiers) rows
+        largest = max((max(r["treatment_n"], r["control_n"]) for r in rows), default=0)
+        method = "window" if largest <= WINDOW_MAX_GROUP_ROWS else "cutoff"
+        targets = F.broadcast(eligible.sparkSession.createDataFrame(
+            [(r["tier"], r["target_n"]) for r in rows], "tier string, target_n bigint"))
+    else:
+        # target_counts has at most len(cfg.tiers) rows: broadcast is bounded.
+        targets = F.broadcast(target_counts(eligible, cfg).select("tier", "target_n"))
     if method == "cutoff":
         kept = k_smallest_per_group(base, COHORT_KEYS, "user_id", _limits(targets), "target_n",
                                     cfg.balance_buckets)
     elif method == "window":
+        w = Window.partitionBy(*COHORT_KEYS).orderBy("user_id")
+        kept = (base.join(targets, on="tier", how="inner")
+                    .withColumn("_rn", F.row_number().over(w))
+                    .where(F.col("_rn") <= F.col("target_n"))
+                    .drop("_rn", "target_n"))
+    elif method == "branches":
         w = Window.partitionBy("tier").orderBy("user_id")
         sides = []
         for flag in (True, False):
@@ -123,7 +147,7 @@ def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
         kept = sides[0].unionByName(sides[1])
     else:
         raise ValueError(f"unknown balancing method {method!r}")
-    return kept.withColumn("group_type", L.group_type(F.col("is_member")))
+    return kept.withColumn("group_type", L.group_type("is_member"))
 
 
 def full_eligible(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -132,4 +156,4 @@ def full_eligible(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -
     membership included), and the part that is not enrolled."""
     return (eligible.groupBy("tier")
                     .agg(F.count(F.lit(1)).alias("eligible_users"),
-                         F.count_if(~L.is_treatment(F.col("is_member"))).cast("bigint").alias("non_members")))
+                         F.count_if(~L.is_treatment("is_member")).cast("bigint").alias("non_members")))

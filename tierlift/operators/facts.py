@@ -61,7 +61,7 @@ def classified_transactions(tx: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFI
     Parquet can evaluate as a string-prefix filter."""
     return (txn_window_scan(tx, cfg.post_start, cfg.post_end)
             .where(F.col("user_id").isNotNull())
-            .select("user_id", "txn_id", L.coupon_class(F.col("coupon"), cfg).alias("coupon_type")))
+            .select("user_id", "txn_id", L.coupon_class("coupon", cfg).alias("coupon_type")))
 
 
 def treatment_orders_by_class(cohort: DataFrame, tx: DataFrame,
@@ -71,7 +71,7 @@ def treatment_orders_by_class(cohort: DataFrame, tx: DataFrame,
     each class.  The join is a plain equi-join on ``user_id`` (AQE splits a
     skewed user partition); the distinct count is keyed on (tier, class,
     order), so no single key is hot after the join."""
-    treat = cohort.where(L.is_treatment(F.col("is_member"))).select("user_id", "tier")
+    treat = cohort.where(L.is_treatment("is_member")).select("user_id", "tier")
     j = classified_transactions(tx, cfg).join(treat, on="user_id", how="inner")
     return (j.groupBy("tier", "coupon_type")
              .agg(F.countDistinct("txn_id").cast("bigint").alias("transactions")))

@@ -94,7 +94,7 @@ def q_balanced_users(spark, sf_dir):
 
 
 def q_union_groups(spark, sf_dir):
-    return _ex(spark, sf_dir, balance_method="window").cohort.select(
+    return _ex(spark, sf_dir, balance_method="branches").cohort.select(
         "user_id", "group_type", "tier", "tier_label")
 
 

@@ -24,13 +24,14 @@ from . import reports as R
 
 class Experiment:
     def __init__(self, users: DataFrame, transactions: DataFrame,
-                 cfg: ExperimentConfig = DEFAULT_CONFIG, balance_method: str = "cutoff",
+                 cfg: ExperimentConfig = DEFAULT_CONFIG, balance_method: str = "auto",
                  materialize: bool | str = "eligible"):
-        """``materialize``: ``"eligible"`` (default) checkpoints the eligible
-        population, which the balancing reads four times (group stats,
-        histogram, targets, final cut); ``True`` also checkpoints the cohort
-        and the per-user post-launch rows (report batches); ``False`` keeps
-        everything lazy (one fused plan, only sensible for tiny inputs)."""
+        """``materialize``: ``"eligible"`` (default) writes the eligible
+        population once to the reliable checkpoint folder (the balancing reads
+        it up to four times: side counts, group stats, histogram, final cut);
+        ``True`` also checkpoints the cohort and the per-user post-launch rows,
+        for batches that run many reports over one experiment; ``False``
+        keeps everything lazy (one fused plan)."""
         self.users, self.tx, self.cfg = users, transactions, cfg
         self.balance_method = balance_method
         self._materialize = materialize

@@ -22,7 +22,7 @@ _D0 = "decimal(20,0)"
 
 
 def _tier_order(df: DataFrame, cfg: ExperimentConfig) -> DataFrame:
-    return df.orderBy(L.tier_sort_order(F.col("tier"), cfg).asc_nulls_last(), F.col("tier").asc_nulls_last())
+    return df.orderBy(L.tier_sort_order("tier", cfg).asc_nulls_last(), F.col("tier").asc_nulls_last())
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -165,7 +165,7 @@ def _repriced_cost(e: DataFrame, cfg: ExperimentConfig, overrides: dict, method:
     the observed cost by ``r' / r``."""
     if method not in ("inverse_rate", "linear"):
         raise ValueError("method must be 'inverse_rate' or 'linear'")
-    new_rate = L.discount_rate(F.col("tier"), cfg, overrides)
+    new_rate = L.discount_rate("tier", cfg, overrides)
     if method == "inverse_rate":
         repriced = F.try_divide(F.col("treatment_revenue") * new_rate, F.lit(1).cast("decimal(10,4)") - new_rate)
     else:
@@ -272,7 +272,7 @@ def referrals_by_referrer(tx: DataFrame, users: DataFrame, cfg: ExperimentConfig
     k = cfg.min_referrals if min_referrals is None else min_referrals
     post = txn_window_scan(tx, cfg.post_start, cfg.post_end) \
         .where(F.col("user_id").isNotNull() & F.col("coupon").startswith(cfg.coupon_prefix))
-    parsed = post.select("user_id", "txn_id", L.referrer_id(F.col("coupon"), cfg).alias("referrer_id")) \
+    parsed = post.select("user_id", "txn_id", L.referrer_id("coupon", cfg).alias("referrer_id")) \
                  .where(F.col("referrer_id").isNotNull() & (F.col("referrer_id") != F.col("user_id")))
     agg = (parsed.groupBy("referrer_id")
                  .agg(F.countDistinct("user_id").cast("bigint").alias("referred_users"),
@@ -280,7 +280,7 @@ def referrals_by_referrer(tx: DataFrame, users: DataFrame, cfg: ExperimentConfig
                  .where(F.col("referred_users") >= k))
     members = users.select(F.col("user_id").alias("referrer_id"), F.col("is_member"))
     return (agg.join(members, on="referrer_id", how="left")
-               .select("referrer_id", L.is_treatment(F.col("is_member")).alias("referrer_is_member"),
+               .select("referrer_id", L.is_treatment("is_member").alias("referrer_is_member"),
                        "referred_users", "referral_orders")
                .orderBy(F.desc("referred_users"), "referrer_id"))
 
@@ -295,7 +295,7 @@ def tier_repricing(profit: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
     e = _economics(profit)
     new_cost = _repriced_cost(e, cfg, ov, method)
     out = e.select("tier", F.col("rate").cast("double").alias("discount_rate"),
-                   L.discount_rate(F.col("tier"), cfg, ov).cast("double").alias("new_discount_rate"),
+                   L.discount_rate("tier", cfg, ov).cast("double").alias("new_discount_rate"),
                    exact_round(F.col("cost"), 2).alias("discount_cost"),
                    exact_round(new_cost, 2).alias("repriced_discount_cost"),
                    exact_round(F.col("gross") - F.col("cost"), 2).alias("net_uplift"),
@@ -307,7 +307,7 @@ def tier_repricing(profit: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
 def raw_group_imbalance(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
     """``tier, treatment_users, control_users, difference, smaller_side``
     before balancing (raw counts: NULL membership counts as control)."""
-    t = L.is_treatment(F.col("is_member"))
+    t = L.is_treatment("is_member")
     g = (eligible.where(F.col("tier").isin(cfg.tier_names))
                  .groupBy("tier")
                  .agg(F.count_if(t).cast("bigint").alias("treatment_users"),

@@ -19,7 +19,7 @@ from ..operators.segments import counts_by, pct_of_counts, top_n_with_other
 
 
 def _by_tier(df: DataFrame, cfg: ExperimentConfig, *more) -> DataFrame:
-    return df.orderBy(L.tier_sort_order(F.col("tier"), cfg).asc_nulls_last(), *more)
+    return df.orderBy(L.tier_sort_order("tier", cfg).asc_nulls_last(), *more)
 
 
 def _label_order(cfg: ExperimentConfig):
@@ -28,7 +28,7 @@ def _label_order(cfg: ExperimentConfig):
     for i, t in enumerate(cfg.tiers):
         order[t.name] = 2 * i + 1
         order[t.control_label] = 2 * i + 2
-    return L.tier_case(F.col("tier_label"), order)
+    return L.tier_case("tier_label", order)
 
 
 def tier_counts_raw(eligible: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def profitability_decimal(post: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFI
                   .alias("total_revenue"),
                   round_decimal(F.avg(F.when(buyer, F.col("revenue"))), 2).alias("avg_revenue_per_user")))
     treat = F.col("group_type") == F.lit(TREATMENT)
-    rate = F.when(treat, L.discount_rate(F.col("tier"), cfg, rate_overrides)) \
+    rate = F.when(treat, L.discount_rate("tier", cfg, rate_overrides)) \
             .otherwise(F.lit(0).cast("decimal(10,4)"))
     cost = F.try_divide(F.col("total_revenue") * rate, F.lit(1).cast("decimal(10,4)") - rate)
     return g.select("group_type", "tier", "total_users", "users_who_purchased", "total_revenue",

@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, ExperimentConfig
-from .readers import canonicalize
+from ..functions.labels import ladder_sql, lit
 from .schemas import MONEY, TRANSACTIONS, USERS
 
 # --- fixed values: fixture relabelling rules (FIXTURES.md §2) ---------------
@@ -48,25 +48,28 @@ OTHER_COUPON_CODE = "SAVE10"
 # --- end of fixed values ----------------------------------------------------
 
 
-def _coupon(k: Column, custkey: Column, prefix: str) -> Column:
-    return (F.when(k.isin(0, 1), F.concat(F.lit(prefix),
-                                         ((custkey + REFERRER_OFFSET) % REFERRER_SPACE).cast("string")))
-            .when(k == 2, F.lit(OTHER_COUPON_CODE))
-            .when(k == 3, F.lit(""))
-            .otherwise(F.lit(None).cast("string")))
+def _typed(exprs: dict, schema) -> list[str]:
+    """Projection text in schema order; unset columns become typed NULLs."""
+    return [f"CAST({exprs.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in schema.fields]
+
+
+def _tx_exprs(key: str, cust: str, k: str, price: str, cfg: ExperimentConfig) -> list[str]:
+    """The TRANSACTIONS schema as one projection (SQL text, parsed once)."""
+    return _typed({
+        "txn_date": "CAST(o_orderdate AS DATE)",
+        "user_id": f"CASE WHEN {key} % {USER_NULL_MOD} = 0 THEN NULL ELSE {cust} END",
+        "txn_id": f"CASE WHEN {key} % {TXN_NULL_MOD} = 0 THEN NULL ELSE {key} END",
+        "coupon": (f"CASE WHEN {k} IN (0, 1) THEN concat({lit(cfg.coupon_prefix)}, "
+                   f"CAST(({cust} + {REFERRER_OFFSET}) % {REFERRER_SPACE} AS STRING)) "
+                   f"WHEN {k} = 2 THEN {lit(OTHER_COUPON_CODE)} WHEN {k} = 3 THEN '' END"),
+        "revenue": f"CAST({price} AS DECIMAL(18,2))",
+    }, TRANSACTIONS)
 
 
 def transactions_from_orders(orders: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
     """Order grain: one transaction row per order."""
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    tx = orders.select(
-        F.col("o_orderdate").cast("date").alias("txn_date"),
-        F.when(key % USER_NULL_MOD == 0, F.lit(None).cast("bigint")).otherwise(cust).alias("user_id"),
-        F.when(key % TXN_NULL_MOD == 0, F.lit(None).cast("bigint")).otherwise(key).alias("txn_id"),
-        _coupon(key % 10, cust, cfg.coupon_prefix).alias("coupon"),
-        F.col("o_totalprice").cast(MONEY).alias("revenue"),
-    )
-    return canonicalize(tx, TRANSACTIONS)
+    return orders.selectExpr(*_tx_exprs("o_orderkey", "o_custkey", "o_orderkey % 10", "o_totalprice", cfg))
 
 
 def transactions_from_lineitems(orders: DataFrame, lineitem: DataFrame,
@@ -77,29 +80,17 @@ def transactions_from_lineitems(orders: DataFrame, lineitem: DataFrame,
     AQE picks broadcast when ``orders`` is small)."""
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     li = lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
-    j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    tx = j.select(
-        F.col("o_orderdate").cast("date").alias("txn_date"),
-        F.when(key % USER_NULL_MOD == 0, F.lit(None).cast("bigint")).otherwise(cust).alias("user_id"),
-        F.when(key % TXN_NULL_MOD == 0, F.lit(None).cast("bigint")).otherwise(key).alias("txn_id"),
-        _coupon((key + F.col("l_linenumber")) % 10, cust, cfg.coupon_prefix).alias("coupon"),
-        F.col("l_extendedprice").cast(MONEY).alias("revenue"),
-    )
-    return canonicalize(tx, TRANSACTIONS)
-
-
-def _stored_tier(n_orders: Column, cfg: ExperimentConfig) -> Column:
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+    return j.selectExpr(*_tx_exprs("o_orderkey", "o_custkey", "(o_orderkey + l_linenumber) % 10",
+                                   "l_extendedprice", cfg))
+
+
+def _stored_tier_sql(n: str, cfg: ExperimentConfig) -> str:
     """Tier a member holds in the fixture: the ladder rung of the pre-window
     order count, where 0 orders also count as the lowest rung."""
-    lowest = cfg.tiers[0].name
-    expr = F.when(F.coalesce(n_orders, F.lit(0)) <= cfg.tiers[0].min_orders, F.lit(lowest))
-    for t in cfg.tiers[1:]:
-        cond = n_orders >= t.min_orders
-        if t.max_orders is not None:
-            cond = cond & (n_orders <= t.max_orders)
-        expr = expr.when(cond, F.lit(t.name))
-    return expr
+    low = cfg.tiers[0]
+    return (f"CASE WHEN coalesce({n}, 0) <= {low.min_orders} THEN {lit(low.name)} ELSE "
+            + ladder_sql(n, cfg, "name") + " END")
 
 
 def users_from_customers(customer: DataFrame, nation: DataFrame, transactions: DataFrame,
@@ -111,25 +102,34 @@ def users_from_customers(customer: DataFrame, nation: DataFrame, transactions: D
     # nation is a 25-row dimension of fixed size: broadcasting it is safe.
     n = F.broadcast(nation.select("n_nationkey", "n_name"))
     pre = window_txn_counts(transactions, cfg.pre_start, cfg.pre_end)
-    j = (c.join(n, c.c_nationkey == n.n_nationkey, "left")
-          .join(pre, c.c_custkey == pre.user_id, "left"))
-    cid = F.col("c_custkey")
-    users = j.select(
-        cid.alias("user_id"),
-        F.when(cid % CITY_NULL_MOD == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("city"),
-        F.when(cid % GENDER_NULL_MOD == 0, F.lit(None).cast("string"))
-         .when(cid % 10 == 9, F.lit("Unknown"))
-         .when(cid % 10 < 5, F.lit("F")).otherwise(F.lit("M")).alias("gender"),
-        F.date_add(F.lit(REG_BASE), ((cid * REG_MULT) % REG_SPAN_DAYS).cast("int")).alias("registration_date"),
-        F.when(cid % OPT_IN_NULL_MOD == 0, F.lit(None).cast("boolean"))
-         .otherwise(F.col("c_mktsegment") != F.lit(OPT_OUT_SEGMENT)).alias("opt_in"),
-        F.when(cid % MEMBER_NULL_MOD == 0, F.lit(None).cast("boolean"))
-         .otherwise(cid % 2 == 0).alias("is_member"),
-        F.when((cid % 2 == 1) | (cid % TIER_NULL_MOD == 0), F.lit(None).cast("string"))
-         .when(cid % TIER_FORCED_MOD == 0, F.lit(TIER_FORCED))
-         .otherwise(_stored_tier(F.col("n_orders"), cfg)).alias("member_tier"),
-    )
-    return canonicalize(users, USERS)
+    j = (c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+          .join(pre, F.col("c_custkey") == F.col("user_id"), "left"))
+    cid = "c_custkey"
+    return j.selectExpr(*_typed({
+        "user_id": cid,
+        "city": f"CASE WHEN {cid} % {CITY_NULL_MOD} = 0 THEN NULL ELSE n_name END",
+        "gender": (f"CASE WHEN {cid} % {GENDER_NULL_MOD} = 0 THEN NULL WHEN {cid} % 10 = 9 THEN 'Unknown' "
+                   f"WHEN {cid} % 10 < 5 THEN 'F' ELSE 'M' END"),
+        "registration_date": (f"date_add(DATE'{REG_BASE.isoformat()}', "
+                              f"CAST(({cid} * {REG_MULT}) % {REG_SPAN_DAYS} AS INT))"),
+        "opt_in": (f"CASE WHEN {cid} % {OPT_IN_NULL_MOD} = 0 THEN NULL "
+                   f"ELSE c_mktsegment != {lit(OPT_OUT_SEGMENT)} END"),
+        "is_member": f"CASE WHEN {cid} % {MEMBER_NULL_MOD} = 0 THEN NULL ELSE {cid} % 2 = 0 END",
+        "member_tier": (f"CASE WHEN {cid} % 2 = 1 OR {cid} % {TIER_NULL_MOD} = 0 THEN NULL "
+                        f"WHEN {cid} % {TIER_FORCED_MOD} = 0 THEN {lit(TIER_FORCED)} "
+                        f"ELSE {_stored_tier_sql('n_orders', cfg)} END"),
+    }, USERS))
+
+
+# Columns of the star-schema tables the relabelling reads.  Declaring them
+# skips footer-based schema inference and prunes every other column at the
+# scan (names and types of the driver's Parquet files).
+TPCH_READ_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE",
+}
 
 
 class TpchFixture:
@@ -140,18 +140,34 @@ class TpchFixture:
         if grain not in ("order", "line"):
             raise ValueError("grain must be 'order' or 'line'")
         self.spark, self.sf_dir, self.cfg, self.grain = spark, sf_dir.rstrip("/"), cfg, grain
+        self._tables: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            reader = self.spark.read
+            if name in TPCH_READ_SCHEMAS:
+                reader = reader.schema(TPCH_READ_SCHEMAS[name])
+            self._tables[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
+
+    def _order_tx(self) -> DataFrame:
+        if "order_tx" not in self._frames:
+            self._frames["order_tx"] = transactions_from_orders(self.table("orders"), self.cfg)
+        return self._frames["order_tx"]
 
     def transactions(self) -> DataFrame:
         if self.grain == "line":
-            return transactions_from_lineitems(self.table("orders"), self.table("lineitem"), self.cfg)
-        return transactions_from_orders(self.table("orders"), self.cfg)
+            if "line_tx" not in self._frames:
+                self._frames["line_tx"] = transactions_from_lineitems(
+                    self.table("orders"), self.table("lineitem"), self.cfg)
+            return self._frames["line_tx"]
+        return self._order_tx()
 
     def users(self) -> DataFrame:
         # Stored tiers always come from order-grain counts, so both grains
         # describe the same population.
-        return users_from_customers(self.table("customer"), self.table("nation"),
-                                    transactions_from_orders(self.table("orders"), self.cfg),
-                                    self.cfg)
+        if "users" not in self._frames:
+            self._frames["users"] = users_from_customers(self.table("customer"), self.table("nation"),
+                                                         self._order_tx(), self.cfg)
+        return self._frames["users"]
