@@ -42,10 +42,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
     if fmt == "parquet":
         raw = spark.read.options(**options).parquet(path)
     elif fmt == "csv":
-        # Read as strings with the declared names, then cast: CSV has no types.
-        str_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
-                                   for f in schema.fields])
-        raw = (spark.read.schema(str_schema).option("header", True)
+        # CSV has no types: read the header's columns as strings (no schema
+        # inference pass), match them to the schema by name, then cast.
+        raw = (spark.read.option("header", True).option("inferSchema", False)
                .options(**options).csv(path))
     else:
         raise ValueError(f"unsupported format {fmt!r}")
