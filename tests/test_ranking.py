@@ -56,3 +56,14 @@ def test_dense_and_sparse_ids_one_group(spark):
     limits = spark.createDataFrame([("x", True, 650)], "g string, s boolean, k bigint")
     got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 16).collect())
     assert got == sorted(vals)[:650]
+
+
+def test_extreme_id_range_no_overflow(spark):
+    big = 2**63 - 1
+    vals = [-big, -big + 5, -3, 0, 7, 10**18, big - 1, big]
+    df = spark.createDataFrame([("x", True, v) for v in vals], SCHEMA)
+    got = sorted((r.id, r.rn) for r in bucketed_row_number(df, ["g", "s"], "id", 4).collect())
+    assert got == [(v, i + 1) for i, v in enumerate(sorted(vals))]
+    limits = spark.createDataFrame([("x", True, 5)], "g string, s boolean, k bigint")
+    kept = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 4).collect())
+    assert kept == sorted(vals)[:5]

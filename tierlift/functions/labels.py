@@ -98,6 +98,22 @@ def coupon_class(coupon: str, cfg: ExperimentConfig) -> Column:
                   f"WHEN {c} IS NOT NULL AND {c} != '' THEN {lit(OTHER_COUPON)} ELSE {lit(NO_COUPON)} END")
 
 
+# Coupon classes as small codes: shuffled instead of the label strings.
+COUPON_NONE, COUPON_OTHER, COUPON_REFERRAL = 0, 1, 2
+
+
+def coupon_class_code(coupon: str, cfg: ExperimentConfig) -> Column:
+    """TINYINT class code (2 referral, 1 other code, 0 none)."""
+    c = q(coupon)
+    return F.expr(f"CAST(CASE WHEN startswith({c}, {lit(cfg.coupon_prefix)}) THEN {COUPON_REFERRAL} "
+                  f"WHEN {c} IS NOT NULL AND {c} != '' THEN {COUPON_OTHER} ELSE {COUPON_NONE} END AS TINYINT)")
+
+
+def coupon_class_label(code: str, cfg: ExperimentConfig) -> Column:
+    return F.expr(f"CASE {q(code)} WHEN {COUPON_REFERRAL} THEN {lit(cfg.referral_label)} "
+                  f"WHEN {COUPON_OTHER} THEN {lit(OTHER_COUPON)} ELSE {lit(NO_COUPON)} END")
+
+
 def referrer_id(coupon: str, cfg: ExperimentConfig) -> Column:
     """Referrer id parsed from ``<prefix><digits>``; NULL when malformed."""
     pattern = "^" + re.escape(cfg.coupon_prefix) + r"([0-9]{1,18})$"

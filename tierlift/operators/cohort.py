@@ -100,8 +100,31 @@ def _limits(targets: DataFrame) -> DataFrame:
 WINDOW_MAX_GROUP_ROWS = 2_000_000
 
 
+def side_count_metrics(cfg: ExperimentConfig = DEFAULT_CONFIG) -> list:
+    """Aggregate expressions counting eligible users per (tier, side), for
+    ``DataFrame.observe``: the counts are gathered during an action that runs
+    anyway (the eligible checkpoint), without a job of their own."""
+    out = []
+    for i, t in enumerate(cfg.tiers):
+        tier = L.lit(t.name)
+        out.append(F.expr(f"count_if(is_member IS TRUE AND tier = {tier})").alias(f"t{i}"))
+        out.append(F.expr(f"count_if(is_member IS FALSE AND tier = {tier})").alias(f"c{i}"))
+    return out
+
+
+def targets_from_side_counts(metrics: dict, cfg: ExperimentConfig = DEFAULT_CONFIG) -> list[tuple]:
+    """``(tier, treatment_n, control_n, target_n)`` rows from observed metrics,
+    dropping tiers with an empty side (same rows as :func:`target_counts`)."""
+    rows = []
+    for i, t in enumerate(cfg.tiers):
+        tn, cn = int(metrics[f"t{i}"]), int(metrics[f"c{i}"])
+        if tn > 0 and cn > 0:
+            rows.append((t.name, tn, cn, min(tn, cn)))
+    return rows
+
+
 def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
-                   method: str = "cutoff") -> DataFrame:
+                   method: str = "cutoff", side_counts: dict | None = None) -> DataFrame:
     """Eligible columns + ``group_type`` for the matched cohort.
 
     ``method='cutoff'`` (for scale): id-range histogram, whole buckets below
@@ -111,17 +134,22 @@ def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
     fit one task.
     ``method='branches'``: the analysed scripts' shape (treatment and control
     ranked separately, cut, then ``UNION ALL``); same rows as 'window'.
-    ``method='auto'``: collects the per-tier side counts (at most
-    ``len(cfg.tiers)`` rows), then 'window' if the largest group has at most
-    ``WINDOW_MAX_GROUP_ROWS`` rows, else 'cutoff'; the collected targets are
-    reused as a literal broadcast relation."""
+    ``method='auto'``: takes the per-(tier, side) counts (``side_counts``
+    observed while the eligible frame was materialised, or else one collect
+    of at most ``len(cfg.tiers)`` rows), then 'window' if the largest group
+    has at most ``WINDOW_MAX_GROUP_ROWS`` rows, else 'cutoff'; the targets
+    are reused as a literal broadcast relation."""
     base = _sampleable(eligible, cfg)
-    if method == "auto":
-        rows = target_counts(eligible, cfg).collect()  # <= len(cfg.tiers) rows
-        largest = max((max(r["treatment_n"], r["control_n"]) for r in rows), default=0)
-        method = "window" if largest <= WINDOW_MAX_GROUP_ROWS else "cutoff"
+    if method == "auto" or side_counts is not None:
+        if side_counts is not None:
+            rows = targets_from_side_counts(side_counts, cfg)
+        else:
+            rows = [tuple(r) for r in target_counts(eligible, cfg).collect()]  # <= len(cfg.tiers) rows
+        if method == "auto":
+            largest = max((max(r[1], r[2]) for r in rows), default=0)
+            method = "window" if largest <= WINDOW_MAX_GROUP_ROWS else "cutoff"
         targets = F.broadcast(eligible.sparkSession.createDataFrame(
-            [(r["tier"], r["target_n"]) for r in rows], "tier string, target_n bigint"))
+            [(r[0], r[3]) for r in rows], "tier string, target_n bigint"))
     else:
         # target_counts has at most len(cfg.tiers) rows: broadcast is bounded.
         targets = F.broadcast(target_counts(eligible, cfg).select("tier", "target_n"))

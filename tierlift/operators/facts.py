@@ -70,8 +70,13 @@ def treatment_orders_by_class(cohort: DataFrame, tx: DataFrame,
     per class.  An order whose rows carry different classes counts once in
     each class.  The join is a plain equi-join on ``user_id`` (AQE splits a
     skewed user partition); the distinct count is keyed on (tier, class,
-    order), so no single key is hot after the join."""
+    order), so no single key is hot after the join.  Rows travel with a
+    one-byte class code; labels are attached after the aggregate."""
     treat = cohort.where(L.is_treatment("is_member")).select("user_id", "tier")
-    j = classified_transactions(tx, cfg).join(treat, on="user_id", how="inner")
-    return (j.groupBy("tier", "coupon_type")
-             .agg(F.countDistinct("txn_id").cast("bigint").alias("transactions")))
+    post = (txn_window_scan(tx, cfg.post_start, cfg.post_end)
+            .where(F.col("user_id").isNotNull())
+            .select("user_id", "txn_id", L.coupon_class_code("coupon", cfg).alias("_cls")))
+    j = post.join(treat, on="user_id", how="inner")
+    return (j.groupBy("tier", "_cls")
+             .agg(F.countDistinct("txn_id").cast("bigint").alias("transactions"))
+             .select("tier", L.coupon_class_label("_cls", cfg).alias("coupon_type"), "transactions"))

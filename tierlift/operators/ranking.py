@@ -6,7 +6,7 @@ third of all users, that is a single-task sort of a third of the table.  Both
 operators below give the *same* answer while sorting only small slices:
 
 1. per group, ``min``/``max`` of the (integral, unique) order key fixes an
-   order-preserving id-range bucket of width ``w = (max - min) div B + 1``;
+   order-preserving id-range bucket of width ``w = (max - min) / B + 1``;
 2. a histogram ``count(*)`` per (group, bucket) is an ordinary partial/final
    aggregate (map-side combine, a few thousand rows out);
 3. a running sum over that histogram gives every bucket's offset;
@@ -31,17 +31,26 @@ _LO, _W, _B, _CNT, _OFF, _NEED, _KIND = ("_rk_lo", "_rk_w", "_rk_bucket", "_rk_c
 
 def _bucketize(df: DataFrame, groups: list[str], order_col: str, buckets: int) -> DataFrame:
     """Attach the id-range bucket of every row (narrow, broadcast join).
-    ``floor((id - lo) / w)`` is monotone in ``id``, so bucket order is id order."""
+
+    ``bucket = floor(id / w) - floor(lo / w)`` with ``w = (hi - lo) / B + 1``
+    evaluated in DOUBLE: no BIGINT overflow for any id range, buckets fall in
+    ``[0, B + 1]``, and the value is monotone non-decreasing in ``id``
+    (division by a positive constant and ``floor`` preserve order), so bucket
+    order is id order.  Only monotonicity matters for exactness; for ids
+    below 2^53 the buckets are also exact equal-width ranges."""
     if not groups:
         raise ValueError("at least one grouping column is required")
     stats = (df.groupBy(*groups)
                .agg(F.min(order_col).alias(_LO), F.max(order_col).alias("_rk_hi"))
-               .select(*groups, _LO,
-                       ((F.col("_rk_hi") - F.col(_LO)) / F.lit(buckets)).cast("bigint")
-                       .__add__(F.lit(1)).alias(_W)))
+               .select(*groups,
+                       (F.floor((F.col("_rk_hi").cast("double") - F.col(_LO).cast("double"))
+                                / F.lit(float(buckets))) + F.lit(1.0)).cast("double").alias(_W),
+                       F.col(_LO).cast("double").alias(_LO)))
     # <= number of groups rows (config bounded): safe to broadcast.
     j = df.join(F.broadcast(stats), on=groups, how="inner")
-    return j.withColumn(_B, F.floor((F.col(order_col) - F.col(_LO)) / F.col(_W)).cast("int"))
+    bucket = (F.floor(F.col(order_col).cast("double") / F.col(_W))
+              - F.floor(F.col(_LO) / F.col(_W))).cast("int")
+    return j.withColumn(_B, bucket)
 
 
 def _histogram(bucketed: DataFrame, groups: list[str]) -> DataFrame:

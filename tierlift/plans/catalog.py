@@ -69,19 +69,19 @@ def q_tier_dimension(spark, sf_dir):
 
 # --- cohort operators ----------------------------------------------------------
 def q_eligible_users(spark, sf_dir):
-    return _ex(spark, sf_dir).eligible.select(*ELIGIBLE_COLS)
+    return _ex(spark, sf_dir)._eligible_once().select(*ELIGIBLE_COLS)
 
 
 def q_status_split(spark, sf_dir):
-    return C.status_split(_ex(spark, sf_dir).eligible)
+    return C.status_split(_ex(spark, sf_dir)._eligible_once())
 
 
 def q_target_counts(spark, sf_dir):
-    return C.target_counts(_ex(spark, sf_dir).eligible, CFG)
+    return C.target_counts(_ex(spark, sf_dir)._eligible_once(), CFG)
 
 
 def q_control_counts(spark, sf_dir):
-    return C.control_counts(_ex(spark, sf_dir).eligible, CFG)
+    return C.control_counts(_ex(spark, sf_dir)._eligible_once(), CFG)
 
 
 def q_ranked_users(spark, sf_dir):
@@ -202,7 +202,7 @@ def q_tier_repricing(spark, sf_dir):
 
 
 def q_raw_group_imbalance(spark, sf_dir):
-    return M.raw_group_imbalance(_ex(spark, sf_dir).eligible, CFG)
+    return M.raw_group_imbalance(_ex(spark, sf_dir)._eligible_once(), CFG)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

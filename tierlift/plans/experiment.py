@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..config import DEFAULT_CONFIG, ExperimentConfig
 from ..operators import cohort as C
@@ -35,6 +35,7 @@ class Experiment:
         self.users, self.tx, self.cfg = users, transactions, cfg
         self.balance_method = balance_method
         self._materialize = materialize
+        self._side_counts: dict | None = None
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, cfg: ExperimentConfig = DEFAULT_CONFIG,
@@ -49,11 +50,19 @@ class Experiment:
     # --- shared sub-plans ---------------------------------------------------
     @cached_property
     def eligible(self) -> DataFrame:
-        return self._keep(C.eligible_users(self.users, self.tx, self.cfg), "eligible")
+        e = C.eligible_users(self.users, self.tx, self.cfg)
+        if self._materialize in (True, "eligible"):
+            # Per-(tier, side) sizes ride along with the checkpoint job.
+            obs = Observation("tierlift_side_counts")
+            e = materialize(e.observe(obs, *C.side_count_metrics(self.cfg)))
+            self._side_counts = obs.get
+        return e
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return self._keep(C.balanced_users(self.eligible, self.cfg, self.balance_method))
+        _ = self.eligible
+        return self._keep(C.balanced_users(self.eligible, self.cfg, self.balance_method,
+                                           side_counts=self._side_counts))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -63,9 +72,16 @@ class Experiment:
     def post(self) -> DataFrame:
         return self._keep(FX.user_post_launch(self.cohort, self.tx, self.cfg, facts=self.facts))
 
+    def _eligible_once(self) -> DataFrame:
+        """Eligible frame for a single-use consumer: the materialised one if it
+        already exists, otherwise the lazy plan (no checkpoint job for it)."""
+        if "eligible" in self.__dict__:
+            return self.__dict__["eligible"]
+        return C.eligible_users(self.users, self.tx, self.cfg)
+
     @cached_property
     def full(self) -> DataFrame:
-        return C.full_eligible(self.eligible, self.cfg)
+        return C.full_eligible(self._eligible_once(), self.cfg)
 
     @cached_property
     def profit(self) -> DataFrame:
@@ -73,7 +89,7 @@ class Experiment:
 
     # --- the eight analyses -------------------------------------------------
     def tier_counts_raw(self) -> DataFrame:
-        return R.tier_counts_raw(self.eligible)
+        return R.tier_counts_raw(self._eligible_once())
 
     def balanced_group_sizes(self) -> DataFrame:
         return R.balanced_group_sizes(self.cohort, self.cfg)
@@ -95,4 +111,5 @@ class Experiment:
 
     def rollout_projection(self, population: str = "eligible_users") -> DataFrame:
         alias = "full_eligible_users" if population == "eligible_users" else "non_member_users"
-        return R.rollout_projection(self.profit, self.full, self.cfg, population, alias)
+        profit = self.profit  # materialises the eligible frame first, ``full`` then reuses it
+        return R.rollout_projection(profit, self.full, self.cfg, population, alias)

@@ -16,13 +16,13 @@ from ..config import (CONTROL, DEFAULT_CONFIG, NO_COUPON, OTHER_COUPON, TOTAL_LA
 from ..functions import labels as L
 from ..functions.rounding import exact_round, pct, round_decimal
 from ..operators.windowing import txn_window_scan
-from .reports import ab_test_results, profitability_decimal
+from .reports import ab_test_results, profitability_decimal, sort_small
 
 _D0 = "decimal(20,0)"
 
 
 def _tier_order(df: DataFrame, cfg: ExperimentConfig) -> DataFrame:
-    return df.orderBy(L.tier_sort_order("tier", cfg).asc_nulls_last(), F.col("tier").asc_nulls_last())
+    return sort_small(df, L.tier_sort_order("tier", cfg).asc_nulls_last(), F.col("tier").asc_nulls_last())
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -38,7 +38,7 @@ def unknown_attribute_count(cohort: DataFrame) -> DataFrame:
                   .agg(F.count(F.lit(1)).alias("total_users"),
                        F.count_if(known).cast("bigint").alias("known_gender_users"))
                   .withColumn("unknown_gender_users", F.col("total_users") - F.col("known_gender_users"))
-                  .orderBy(F.desc("group_type")))
+                  .transform(lambda d: sort_small(d, F.desc("group_type"))))
 
 
 # --- M2 -------------------------------------------------------------------------
@@ -258,7 +258,7 @@ def scenario_table(profit: DataFrame, full: DataFrame, cfg: ExperimentConfig = D
                     exact_round(F.col("_cs"), 2).alias("discount_cost"),
                     exact_round(F.col("_gs") - F.col("_cs"), 2).alias("net_position"),
                     exact_round(F.try_divide(F.col("_cs") * F.lit(12), F.col("_gs")), 2).alias("payback_months"),
-                    "_o").orderBy("_o").drop("_o")
+                    "_o").transform(lambda d: sort_small(d, "_o")).drop("_o")
 
 
 # --- M12 ------------------------------------------------------------------------

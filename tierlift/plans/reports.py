@@ -1,7 +1,7 @@
 """The eight analyses as DataFrame plans (K1-K8).
 
 Every report ends in an aggregate over a configuration-bounded key set (tiers x
-groups x classes), so the final ``orderBy`` sorts a handful of rows.  Money
+groups x classes), so the final sort runs as one small task (``sort_small``).  Money
 stays DECIMAL until the output edge; rounding follows ``functions.rounding``.
 """
 
@@ -18,8 +18,15 @@ from ..operators.facts import treatment_orders_by_class
 from ..operators.segments import counts_by, pct_of_counts, top_n_with_other
 
 
+def sort_small(df: DataFrame, *cols) -> DataFrame:
+    """Total order for a report whose row count is bounded by configuration
+    (tiers x groups x classes): one task sorts it, no range-partitioning
+    sample job.  Not for data-sized outputs (use ``orderBy`` there)."""
+    return df.coalesce(1).sortWithinPartitions(*cols)
+
+
 def _by_tier(df: DataFrame, cfg: ExperimentConfig, *more) -> DataFrame:
-    return df.orderBy(L.tier_sort_order("tier", cfg).asc_nulls_last(), *more)
+    return sort_small(df, L.tier_sort_order("tier", cfg).asc_nulls_last(), *more)
 
 
 def _label_order(cfg: ExperimentConfig):
@@ -35,13 +42,13 @@ def tier_counts_raw(eligible: DataFrame) -> DataFrame:
     """K1 ``tier_label, count_users`` over the whole eligible population
     (NULL membership counted under its control label)."""
     return (eligible.groupBy("tier_label").agg(F.count(F.lit(1)).alias("count_users"))
-                    .orderBy("count_users", F.col("tier_label").asc_nulls_first()))
+                    .transform(lambda d: sort_small(d, "count_users", F.col("tier_label").asc_nulls_first())))
 
 
 def balanced_group_sizes(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
     """K2 ``tier_label, user_count`` of the matched cohort."""
     return (cohort.groupBy("tier_label").agg(F.count(F.lit(1)).alias("user_count"))
-                  .orderBy(_label_order(cfg).asc_nulls_last()))
+                  .transform(lambda d: sort_small(d, _label_order(cfg).asc_nulls_last())))
 
 
 def gender_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -49,7 +56,7 @@ def gender_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> D
     gender are out of numerator and denominator."""
     known = cohort.where(F.col("gender") != F.lit(UNKNOWN_GENDER))
     out = pct_of_counts(counts_by(known, "group_type", "gender"), "group_type", "user_count", 1)
-    return out.orderBy(F.desc("group_type"), F.desc("user_count"), "gender")
+    return sort_small(out, F.desc("group_type"), F.desc("user_count"), "gender")
 
 
 def city_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -59,7 +66,7 @@ def city_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> Dat
     grouped = top_n_with_other(counts, "group_type", "city", "user_count", cfg.top_n_cities,
                                OTHER_CITY, "city_grouped")
     out = pct_of_counts(grouped, "group_type", "user_count", 1)
-    return out.orderBy(F.desc("group_type"), F.desc("user_count"), "city_grouped")
+    return sort_small(out, F.desc("group_type"), F.desc("user_count"), "city_grouped")
 
 
 def engagement(post: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
