@@ -113,3 +113,22 @@ class Experiment:
         alias = "full_eligible_users" if population == "eligible_users" else "non_member_users"
         profit = self.profit  # materialises the eligible frame first, ``full`` then reuses it
         return R.rollout_projection(profit, self.full, self.cfg, population, alias)
+
+    # --- batch ------------------------------------------------------------------
+    REPORTS = ("tier_counts_raw", "balanced_group_sizes", "gender_split", "city_split",
+               "engagement", "coupon_usage", "tier_profitability", "rollout_projection")
+
+    def reports(self) -> dict[str, DataFrame]:
+        """All eight analyses over one shared cohort (lazy frames)."""
+        return {name: getattr(self, name)() for name in self.REPORTS}
+
+    def write_reports(self, out_dir: str) -> dict[str, str]:
+        """Write every analysis as one headed CSV per report under ``out_dir``.
+        Use ``materialize=True`` so the heavy part runs once for all reports."""
+        from ..sources.sinks import write_report_csv
+        paths = {}
+        for name, df in self.reports().items():
+            paths[name] = f"{out_dir.rstrip('/')}/{name}"
+            write_report_csv(df, paths[name])
+        return paths
+
