@@ -215,3 +215,15 @@ def test_referrals_exclude_self_and_parse(spark):
                                                                            txn(7, 600, POST, "1.00", "PFX-x")]
     out = referrals_by_referrer(tx_df(spark, txs), users, CFG, min_referrals=3).collect()
     assert [(r["referrer_id"], r["referrer_is_member"], r["referred_users"]) for r in out] == [(42, True, 3)]
+
+
+def test_cutoff_with_observed_ranges_matches_window(spark):
+    from tierlift.sources.fixtures import TpchFixture
+    from tierlift.config import DEFAULT_CONFIG
+    fx = TpchFixture(spark, "/root/testdata/sf0.01", DEFAULT_CONFIG)
+    ex = Experiment(fx.users(), fx.transactions(), DEFAULT_CONFIG.with_(balance_buckets=7),
+                    balance_method="cutoff", materialize="eligible")
+    got = {(r.user_id, r.group_type) for r in ex.cohort.collect()}
+    assert ex._side_counts is not None and "t0_lo" in ex._side_counts
+    ref = Experiment(fx.users(), fx.transactions(), DEFAULT_CONFIG, balance_method="window", materialize=False)
+    assert got == {(r.user_id, r.group_type) for r in ref.cohort.collect()}

@@ -107,11 +107,26 @@ def side_count_metrics(cfg: ExperimentConfig = DEFAULT_CONFIG) -> list:
     out = []
     for i, t in enumerate(cfg.tiers):
         tier = L.lit(t.name)
-        out.append(F.expr(f"count_if(is_member IS TRUE AND tier = {tier})").alias(f"t{i}"))
-        out.append(F.expr(f"count_if(is_member IS FALSE AND tier = {tier})").alias(f"c{i}"))
+        for side, flag in (("t", "TRUE"), ("c", "FALSE")):
+            cond = f"is_member IS {flag} AND tier = {tier}"
+            out.append(F.expr(f"count_if({cond})").alias(f"{side}{i}"))
+            # id range of the group: the cutoff balancing needs no stats pass
+            out.append(F.expr(f"min(CASE WHEN {cond} THEN user_id END)").alias(f"{side}{i}_lo"))
+            out.append(F.expr(f"max(CASE WHEN {cond} THEN user_id END)").alias(f"{side}{i}_hi"))
     return out
 
 
+def group_ranges_from_side_counts(metrics: dict, cfg: ExperimentConfig = DEFAULT_CONFIG) -> list[tuple]:
+    """``(tier, is_member, lo, hi)`` per non-empty group from observed metrics."""
+    rows = []
+    for i, t in enumerate(cfg.tiers):
+        for side, flag in (("t", True), ("c", False)):
+            lo, hi = metrics.get(f"{side}{i}_lo"), metrics.get(f"{side}{i}_hi")
+            if lo is not None and hi is not None:
+                rows.append((t.name, flag, int(lo), int(hi)))
+    return rows
+
+
 def targets_from_side_counts(metrics: dict, cfg: ExperimentConfig = DEFAULT_CONFIG) -> list[tuple]:
     """``(tier, treatment_n, control_n, target_n)`` rows from observed metrics,
     dropping tiers with an empty side (same rows as :func:`target_counts`)."""
@@ -154,8 +169,13 @@ def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
         # target_counts has at most len(cfg.tiers) rows: broadcast is bounded.
         targets = F.broadcast(target_counts(eligible, cfg).select("tier", "target_n"))
     if method == "cutoff":
+        ranges = None
+        if side_counts is not None and "t0_lo" in side_counts:
+            ranges = eligible.sparkSession.createDataFrame(
+                group_ranges_from_side_counts(side_counts, cfg),
+                "tier string, is_member boolean, lo bigint, hi bigint")
         kept = k_smallest_per_group(base, COHORT_KEYS, "user_id", _limits(targets), "target_n",
-                                    cfg.balance_buckets)
+                                    cfg.balance_buckets, ranges=ranges)
     elif method == "window":
         w = Window.partitionBy(*COHORT_KEYS).orderBy("user_id")
         kept = (base.join(targets, on="tier", how="inner")

@@ -29,7 +29,8 @@ _LO, _W, _B, _CNT, _OFF, _NEED, _KIND = ("_rk_lo", "_rk_w", "_rk_bucket", "_rk_c
                                         "_rk_off", "_rk_need", "_rk_kind")
 
 
-def _bucketize(df: DataFrame, groups: list[str], order_col: str, buckets: int) -> DataFrame:
+def _bucketize(df: DataFrame, groups: list[str], order_col: str, buckets: int,
+               ranges: DataFrame | None = None) -> DataFrame:
     """Attach the id-range bucket of every row (narrow, broadcast join).
 
     ``bucket = floor(id / w) - floor(lo / w)`` with ``w = (hi - lo) / B + 1``
@@ -40,8 +41,9 @@ def _bucketize(df: DataFrame, groups: list[str], order_col: str, buckets: int) -
     below 2^53 the buckets are also exact equal-width ranges."""
     if not groups:
         raise ValueError("at least one grouping column is required")
-    stats = (df.groupBy(*groups)
-               .agg(F.min(order_col).alias(_LO), F.max(order_col).alias("_rk_hi"))
+    if ranges is None:
+        ranges = df.groupBy(*groups).agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))
+    stats = (ranges.select(*groups, F.col("lo").alias(_LO), F.col("hi").alias("_rk_hi"))
                .select(*groups,
                        (F.floor((F.col("_rk_hi").cast("double") - F.col(_LO).cast("double"))
                                 / F.lit(float(buckets))) + F.lit(1.0)).cast("double").alias(_W),
@@ -76,15 +78,19 @@ def bucketed_row_number(df: DataFrame, groups: list[str], order_col: str,
 
 
 def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str,
-                         limits: DataFrame, limit_col: str, buckets: int = 1024) -> DataFrame:
+                         limits: DataFrame, limit_col: str, buckets: int = 1024,
+                         ranges: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose rank by ``order_col`` inside their group is
     ``<= limits[limit_col]`` of that group (groups absent from ``limits`` are
     dropped).  Equivalent to ``row_number() ... <= k`` joined to ``limits``.
 
     Buckets entirely below the cut are kept without any sort, buckets above it
     are dropped; only the single boundary bucket per group is ranked.
-    ``limits`` must have at most one row per group (it is broadcast)."""
-    b = _bucketize(df, groups, order_col, buckets)
+    ``limits`` must have at most one row per group (it is broadcast).
+    ``ranges`` (``groups..., lo, hi``) may carry per-group id bounds that are
+    already known (e.g. observed while the input was materialised); without
+    it they are computed with one aggregate pass."""
+    b = _bucketize(df, groups, order_col, buckets, ranges)
     hist = _histogram(b, groups)
     cut = (hist.join(F.broadcast(limits.select(*groups, F.col(limit_col).alias(_NEED))),
                      on=groups, how="inner")
