@@ -227,3 +227,24 @@ def test_cutoff_with_observed_ranges_matches_window(spark):
     assert ex._side_counts is not None and "t0_lo" in ex._side_counts
     ref = Experiment(fx.users(), fx.transactions(), DEFAULT_CONFIG, balance_method="window", materialize=False)
     assert got == {(r.user_id, r.group_type) for r in ref.cohort.collect()}
+
+
+def test_date_partitioned_transactions_prune(spark, tmp_path):
+    from tierlift.sources import read_transactions, write_transactions
+    days = [dt.date(2021, 12, 31), dt.date(2022, 1, 1), dt.date(2023, 12, 31), dt.date(2024, 1, 1)]
+    write_transactions(tx_df(spark, [txn(1, i, d) for i, d in enumerate(days)]), str(tmp_path / "tx"))
+    tx = read_transactions(spark, str(tmp_path / "tx"))
+    counts = window_txn_counts(tx, CFG.pre_start, CFG.pre_end)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(txn_date" in plan
+    assert _rows(counts, "user_id", "n_orders") == [(1, 2)]
+
+
+def test_column_map_renames_source_columns(spark, tmp_path):
+    from tierlift.sources import read_users
+    p = tmp_path / "u.csv"
+    p.write_text("customer_key,member_flag,segment_tier,reg\n7,false,,2020-05-06\n")
+    u = read_users(spark, str(p), fmt="csv", column_map={"customer_key": "user_id", "member_flag": "is_member",
+                                                         "segment_tier": "member_tier", "reg": "registration_date"})
+    r = u.collect()[0]
+    assert (r.user_id, r.is_member, r.member_tier, r.registration_date) == (7, False, None, dt.date(2020, 5, 6))

@@ -3,8 +3,8 @@
 from .fixtures import TpchFixture, transactions_from_lineitems, transactions_from_orders, users_from_customers
 from .readers import canonicalize, read_table, read_transactions, read_users
 from .schemas import MONEY, TRANSACTIONS, USERS
-from .sinks import write_parquet, write_report_csv
+from .sinks import write_parquet, write_report_csv, write_transactions
 
 __all__ = ["TpchFixture", "transactions_from_lineitems", "transactions_from_orders",
            "users_from_customers", "canonicalize", "read_table", "read_transactions", "read_users",
-           "MONEY", "TRANSACTIONS", "USERS", "write_parquet", "write_report_csv"]
+           "MONEY", "TRANSACTIONS", "USERS", "write_parquet", "write_report_csv", "write_transactions"]

@@ -37,8 +37,12 @@ def canonicalize(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType,
-               fmt: str = "parquet", **options) -> DataFrame:
-    """Read Parquet (schema of the file, canonicalised) or CSV (explicit schema)."""
+               fmt: str = "parquet", column_map: dict[str, str] | None = None, **options) -> DataFrame:
+    """Read Parquet (schema of the file, canonicalised) or CSV (header names).
+
+    ``column_map`` renames source columns to the canonical names
+    (``{"source_name": "user_id", ...}``) before canonicalisation, so tables
+    exported with other column names need no copy."""
     if fmt == "parquet":
         raw = spark.read.options(**options).parquet(path)
     elif fmt == "csv":
@@ -48,16 +52,19 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
                .options(**options).csv(path))
     else:
         raise ValueError(f"unsupported format {fmt!r}")
+    if column_map:
+        raw = raw.withColumnsRenamed(column_map)
     return canonicalize(raw, schema)
 
 
-def read_users(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    return read_table(spark, path, USERS, fmt, **options)
+def read_users(spark: SparkSession, path: str, fmt: str = "parquet",
+               column_map: dict[str, str] | None = None, **options) -> DataFrame:
+    return read_table(spark, path, USERS, fmt, column_map, **options)
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
-                      **options) -> DataFrame:
-    return read_table(spark, path, TRANSACTIONS, fmt, **options)
+                      column_map: dict[str, str] | None = None, **options) -> DataFrame:
+    return read_table(spark, path, TRANSACTIONS, fmt, column_map, **options)
 
 
 __all__ = ["canonicalize", "read_table", "read_users", "read_transactions", "MONEY"]
