@@ -37,15 +37,16 @@ def test_bucketed_row_number_equals_window(spark, values, flags, buckets):
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=ids, flags=st.lists(st.booleans(), min_size=1, max_size=4), buckets=st.integers(2, 9),
-       ks=st.lists(st.integers(0, 25), min_size=6, max_size=6))
-def test_k_smallest_equals_window_cut(spark, values, flags, buckets, ks):
+       ks=st.lists(st.integers(0, 25), min_size=6, max_size=6), max_slice=st.integers(1, 8))
+def test_k_smallest_equals_window_cut(spark, values, flags, buckets, ks, max_slice):
     df = _frame(spark, _layout(values, flags))
     keys = [(g, s) for g in "abc" for s in (True, False)]
     limits = spark.createDataFrame([(g, s, k) for (g, s), k in zip(keys, ks)], "g string, s boolean, k bigint")
     w = Window.partitionBy("g", "s").orderBy("id")
     want = {(r.g, r.s, r.id) for r in df.withColumn("rn", F.row_number().over(w))
             .join(limits, ["g", "s"]).where("rn <= k").collect()}
-    got = {(r.g, r.s, r.id) for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", buckets).collect()}
+    got = {(r.g, r.s, r.id) for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", buckets,
+                                                          max_slice=max_slice).collect()}
     assert got == want
 
 
@@ -54,7 +55,7 @@ def test_dense_and_sparse_ids_one_group(spark):
     vals = list(range(1000, 1400)) + [10**9 + 7919 * i for i in range(800)]
     df = spark.createDataFrame([("x", True, v) for v in vals], SCHEMA)
     limits = spark.createDataFrame([("x", True, 650)], "g string, s boolean, k bigint")
-    got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 16).collect())
+    got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 16, max_slice=8).collect())
     assert got == sorted(vals)[:650]
 
 
@@ -65,5 +66,30 @@ def test_extreme_id_range_no_overflow(spark):
     got = sorted((r.id, r.rn) for r in bucketed_row_number(df, ["g", "s"], "id", 4).collect())
     assert got == [(v, i + 1) for i, v in enumerate(sorted(vals))]
     limits = spark.createDataFrame([("x", True, 5)], "g string, s boolean, k bigint")
-    kept = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 4).collect())
+    kept = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 4, max_slice=2).collect())
     assert kept == sorted(vals)[:5]
+
+
+def test_dense_cluster_is_split_by_levels(spark):
+    # A third of the rows in one dense id block, the rest spread over a huge
+    # span: level 1 puts the block in one bucket, deeper levels split it.
+    from tierlift.operators.ranking import kth_smallest_per_group
+    vals = list(range(5_000, 5_300)) + [10**15 + 10**12 * i for i in range(600)]
+    df = spark.createDataFrame([("x", True, v) for v in vals], SCHEMA)
+    assert kth_smallest_per_group(df, ["g", "s"], "id", {("x", True): 150}, 8, max_slice=16) == {
+        ("x", True): sorted(vals)[149]}
+    limits = spark.createDataFrame([("x", True, 150)], "g string, s boolean, k bigint")
+    got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 8,
+                                                    max_slice=16).collect())
+    assert got == sorted(vals)[:150]
+
+
+def test_row_number_equi_depth_with_clustered_ids(spark):
+    vals = list(range(5_000, 5_300)) + [10**15 + 10**12 * i for i in range(600)]
+    df = spark.createDataFrame([("x", i % 2 == 0, v) for i, v in enumerate(vals)], SCHEMA)
+    got = {(r.s, r.id, r.rn) for r in bucketed_row_number(df, ["g", "s"], "id", 16).collect()}
+    want = set()
+    for flag in (True, False):
+        ids_ = sorted(v for i, v in enumerate(vals) if (i % 2 == 0) == flag)
+        want |= {(flag, v, k + 1) for k, v in enumerate(ids_)}
+    assert got == want

@@ -81,9 +81,10 @@ def control_counts(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG)
 def ranked_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
     """``user_id, group_type, tier, rn``: position by user id inside (tier,
     side), for every user that can be sampled.  Exact ``ROW_NUMBER`` computed
-    with bucketed offsets (no single-task sort of a whole tier)."""
+    over equi-depth id ranges with broadcast offsets (no single-task sort of
+    a whole tier)."""
     base = _sampleable(eligible, cfg).select("user_id", "tier", "is_member")
-    r = bucketed_row_number(base, COHORT_KEYS, "user_id", cfg.balance_buckets)
+    r = bucketed_row_number(base, COHORT_KEYS, "user_id")
     return r.select("user_id", L.group_type("is_member").alias("group_type"), "tier", "rn")
 
 

@@ -3,56 +3,50 @@
 ``row_number() over (partition by g order by id)`` puts every row of a group in
 one task.  With a handful of groups (tiers x sides) and one group holding a
 third of all users, that is a single-task sort of a third of the table.  Both
-operators below give the *same* answer while sorting only small slices:
+operators below give the *same* answer while sorting only small slices.
 
-1. per group, ``min``/``max`` of the (integral, unique) order key fixes an
-   order-preserving id-range bucket of width ``w = (max - min) / B + 1``;
+``k_smallest_per_group`` (the balancing cut) is a distributed selection: it
+finds each group's k-th smallest id and keeps ``id <= threshold``.
+
+1. per group, ``min``/``max`` of the (integral, unique) order key fix a width
+   ``w = (max - min) / B + 1`` and a monotone bucket ``floor(id / w)``;
 2. a histogram ``count(*)`` per (group, bucket) is an ordinary partial/final
-   aggregate (map-side combine, a few thousand rows out);
-3. a running sum over that histogram gives every bucket's offset;
-4. rows then need only their rank *inside* their bucket: a window partitioned
-   by (group, bucket) spreads a group across up to ``B`` tasks.
-
-Because ids are unique integers, a bucket never holds more than ``w`` rows,
-and for dense id spaces about ``n / B``.  Every relation that is broadcast
-here (group stats, histogram, cut table) has at most ``groups x B`` rows; the
-callers bound ``groups`` by the configured tier ladder, so the broadcast size
-is fixed by configuration, not by the data.
+   aggregate (map-side combine, at most ``groups x (B + 1)`` rows out), from
+   which the driver reads the bucket holding the k-th id;
+3. only that bucket stays in play, ``B`` times finer, until it holds at most
+   ``max_slice`` rows (a bucket of width ``w`` holds at most ``w`` unique
+   ids, so a dense block with a third of the rows is split by the finer
+   levels, and the loop ends after ``log_B(span)`` levels at worst);
+4. one ``ROW_NUMBER`` over that small slice gives the exact threshold, and
+   the cohort is a narrow filter against a broadcast of the thresholds.
+
+``bucketed_row_number`` must rank *every* row, so it uses equi-depth buckets
+instead: ``repartitionByRange`` samples the (group, id) distribution and cuts
+it into ``P`` ranges of about equal size; a window partitioned by (group,
+range) then never holds more than about ``n / P`` rows, and a broadcast of
+per-range offsets (``<= P + groups`` rows) turns local ranks into global ones.
+
+Every broadcast relation here is bounded by ``groups x (B + 1)`` or
+``P + groups`` rows; callers bound ``groups`` by the configured tier ladder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LO, _W, _B, _CNT, _OFF, _NEED, _KIND = ("_rk_lo", "_rk_w", "_rk_bucket", "_rk_cnt",
-                                        "_rk_off", "_rk_need", "_rk_kind")
+_W, _B, _CNT, _OFF = "_rk_w", "_rk_bucket", "_rk_cnt", "_rk_off"
 
+# Largest boundary slice the selection ranks with one ROW_NUMBER per group.
+MAX_RANKED_SLICE = 1 << 20
 
-def _bucketize(df: DataFrame, groups: list[str], order_col: str, buckets: int,
-               ranges: DataFrame | None = None) -> DataFrame:
-    """Attach the id-range bucket of every row (narrow, broadcast join).
 
-    ``bucket = floor(id / w) - floor(lo / w)`` with ``w = (hi - lo) / B + 1``
-    evaluated in DOUBLE: no BIGINT overflow for any id range, buckets fall in
-    ``[0, B + 1]``, and the value is monotone non-decreasing in ``id``
-    (division by a positive constant and ``floor`` preserve order), so bucket
-    order is id order.  Only monotonicity matters for exactness; for ids
-    below 2^53 the buckets are also exact equal-width ranges."""
-    if not groups:
-        raise ValueError("at least one grouping column is required")
-    if ranges is None:
-        ranges = df.groupBy(*groups).agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))
-    stats = (ranges.select(*groups, F.col("lo").alias(_LO), F.col("hi").alias("_rk_hi"))
-               .select(*groups,
-                       (F.floor((F.col("_rk_hi").cast("double") - F.col(_LO).cast("double"))
-                                / F.lit(float(buckets))) + F.lit(1.0)).cast("double").alias(_W),
-                       F.col(_LO).cast("double").alias(_LO)))
-    # <= number of groups rows (config bounded): safe to broadcast.
-    j = df.join(F.broadcast(stats), on=groups, how="inner")
-    bucket = (F.floor(F.col(order_col).cast("double") / F.col(_W))
-              - F.floor(F.col(_LO) / F.col(_W))).cast("int")
-    return j.withColumn(_B, bucket)
+def _bucket(order_col: str) -> Column:
+    """Monotone non-decreasing in the id: DOUBLE division by a positive width
+    and ``floor`` preserve order (no BIGINT overflow for any id range)."""
+    return F.floor(F.col(order_col).cast("double") / F.col(_W))
 
 
 def _histogram(bucketed: DataFrame, groups: list[str]) -> DataFrame:
@@ -63,47 +57,136 @@ def _histogram(bucketed: DataFrame, groups: list[str]) -> DataFrame:
             .withColumn(_OFF, F.sum(_CNT).over(w) - F.col(_CNT)))
 
 
-def bucketed_row_number(df: DataFrame, groups: list[str], order_col: str,
-                        buckets: int = 1024, out: str = "rn") -> DataFrame:
-    """``df`` plus ``out`` = ``row_number() over (partition by groups order by
-    order_col)`` (BIGINT), computed as bucket offset + rank inside the bucket.
-    ``order_col`` must be integral; with duplicate keys the tie order is as
-    arbitrary as in the plain window."""
-    b = _bucketize(df, groups, order_col, buckets)
-    hist = _histogram(b, groups).select(*groups, _B, _OFF)
-    inner = Window.partitionBy(*groups, _B).orderBy(order_col)
-    return (b.join(F.broadcast(hist), on=[*groups, _B], how="inner")
-             .withColumn(out, (F.col(_OFF) + F.row_number().over(inner)).cast("bigint"))
-             .drop(_LO, _W, _B, _OFF))
+def kth_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, k: dict,
+                           buckets: int = 1024, ranges: dict | None = None,
+                           max_slice: int = MAX_RANKED_SLICE) -> dict:
+    """Per group, the ``k[group]``-th smallest value of ``order_col`` (unique
+    integers), found by distributed selection.
+
+    Each level is one histogram job over the rows still in play: ``count(*)``
+    per (group, bucket) with ``bucket = floor(id / w)``, a partial/final
+    aggregate whose result has at most ``groups x (B + 1)`` rows.  From it the
+    driver reads which bucket holds the k-th id and how many ids precede that
+    bucket.  The next level keeps only that bucket, ``B`` times finer.  Once
+    the boundary bucket has at most ``max_slice`` rows (or its width is 1),
+    one ``ROW_NUMBER`` over that slice alone returns the exact value.
+
+    Keys of ``k`` / ``ranges`` are tuples of group values; ``ranges`` maps a
+    group to known ``(lo, hi)`` (else one min/max aggregate).  Groups with
+    ``k >= size`` map to ``None`` (keep all), ``k <= 0`` to ``-inf``
+    semantics via a missing key (keep none)."""
+    if not groups:
+        raise ValueError("at least one grouping column is required")
+    key_of = lambda r: tuple(r[g] for g in groups)
+    if ranges is None:
+        ranges = {key_of(r): (r["lo"], r["hi"]) for r in
+                  df.groupBy(*groups).agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).collect()}
+    # group -> (width, still needed, filter on this group's rows in play)
+    state = {}
+    for g, need in k.items():
+        if g not in ranges or need is None or need <= 0:
+            continue
+        lo, hi = ranges[g]
+        state[g] = (math.floor((float(hi) - float(lo)) / buckets) + 1.0, int(need), [])
+    result: dict = {}
+    spark = df.sparkSession
+    match_schema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
+
+    def in_play(st: dict) -> DataFrame:
+        """Rows of the groups in ``st`` that lie in their current boundary slice."""
+        cond = None
+        for g, (_, _, path) in st.items():
+            c = F.lit(True)
+            for col, val in zip(groups, g):
+                c = c & (F.col(col) == F.lit(val))
+            for w, b in path:  # same bucket expression as the level that chose it
+                c = c & (F.floor(F.col(order_col).cast("double") / F.lit(w)) == F.lit(b))
+            cond = c if cond is None else cond | c
+        return df.where(cond)
+
+    while state:
+        widths = spark.createDataFrame([(*g, w) for g, (w, _, _) in state.items()], f"{match_schema}, {_W} double")
+        hist = (in_play(state).join(F.broadcast(widths), on=groups, how="inner")
+                .withColumn(_B, _bucket(order_col))
+                .groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT))).collect()
+        per_group: dict = {}
+        for r in hist:
+            per_group.setdefault(key_of(r), []).append((r[_B], r[_CNT]))
+        nxt, slices = {}, {}
+        for g, (w, need, path) in state.items():
+            seen = 0
+            total = sum(c for _, c in per_group.get(g, []))
+            if need > total:          # fewer rows than asked: keep the whole group
+                result[g] = None
+                continue
+            for b, c in sorted(per_group[g]):
+                if seen + c >= need:
+                    new_path = path + [(w, b)]
+                    if c <= max_slice or w <= 1.0:
+                        slices[g] = (need - seen, new_path)
+                    else:
+                        nxt[g] = (max(w / buckets, 1.0), need - seen, new_path)
+                    break
+                seen += c
+        if slices:
+            ranked = (in_play({g: (0.0, 0, p) for g, (_, p) in slices.items()})
+                      .withColumn("_rk_rn", F.row_number().over(Window.partitionBy(*groups).orderBy(order_col))))
+            wanted = spark.createDataFrame([(*g, r) for g, (r, _) in slices.items()],
+                                           f"{match_schema}, _rk_need bigint")
+            for r in (ranked.join(F.broadcast(wanted), on=groups, how="inner")
+                            .where(F.col("_rk_rn") == F.col("_rk_need")).select(*groups, order_col).collect()):
+                result[key_of(r)] = r[order_col]
+        state = nxt
+    return result
 
 
 def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str,
                          limits: DataFrame, limit_col: str, buckets: int = 1024,
-                         ranges: DataFrame | None = None) -> DataFrame:
+                         ranges: DataFrame | None = None, max_slice: int = MAX_RANKED_SLICE) -> DataFrame:
     """Rows of ``df`` whose rank by ``order_col`` inside their group is
     ``<= limits[limit_col]`` of that group (groups absent from ``limits`` are
-    dropped).  Equivalent to ``row_number() ... <= k`` joined to ``limits``.
-
-    Buckets entirely below the cut are kept without any sort, buckets above it
-    are dropped; only the single boundary bucket per group is ranked.
-    ``limits`` must have at most one row per group (it is broadcast).
-    ``ranges`` (``groups..., lo, hi``) may carry per-group id bounds that are
-    already known (e.g. observed while the input was materialised); without
-    it they are computed with one aggregate pass."""
-    b = _bucketize(df, groups, order_col, buckets, ranges)
-    hist = _histogram(b, groups)
-    cut = (hist.join(F.broadcast(limits.select(*groups, F.col(limit_col).alias(_NEED))),
-                     on=groups, how="inner")
-               .where(F.col(_OFF) < F.col(_NEED))
-               .select(*groups, _B,
-                       F.when(F.col(_OFF) + F.col(_CNT) <= F.col(_NEED), F.lit("all"))
-                        .otherwise(F.lit("part")).alias(_KIND),
-                       (F.col(_NEED) - F.col(_OFF)).alias(_NEED)))
-    kept = b.join(F.broadcast(cut), on=[*groups, _B], how="inner")
-    whole = kept.where(F.col(_KIND) == "all")
+    dropped).  Same rows as ``row_number() ... <= k`` joined to ``limits``
+    for unique ids.
+
+    The k-th smallest id per group comes from :func:`kth_smallest_per_group`
+    (distributed histogram selection; the driver sees at most
+    ``groups x (B + 1)`` counts per level).  The result is then a narrow
+    filter ``id <= threshold`` against a broadcast table of at most
+    ``groups`` thresholds: no sort and no shuffle of the rows themselves.
+    ``limits`` (at most one row per group) and ``ranges`` (``groups, lo, hi``)
+    are small relations and are collected."""
+    key_of = lambda r: tuple(r[g] for g in groups)
+    k = {key_of(r): r[limit_col] for r in limits.collect()}
+    known = None if ranges is None else {key_of(r): (r["lo"], r["hi"]) for r in ranges.collect()}
+    cut = kth_smallest_per_group(df, groups, order_col, k, buckets, known, max_slice)
+    rows = [(*g, cut.get(g), g in cut and cut[g] is None) for g, need in k.items()
+            if need is not None and need > 0 and g in cut]
+    schema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
+    thresholds = df.sparkSession.createDataFrame(
+        rows, f"{schema}, _rk_t {df.schema[order_col].dataType.simpleString()}, _rk_all boolean")
+    return (df.join(F.broadcast(thresholds), on=groups, how="inner")
+              .where(F.col("_rk_all") | (F.col(order_col) <= F.col("_rk_t")))
+              .drop("_rk_t", "_rk_all"))
+
+
+def bucketed_row_number(df: DataFrame, groups: list[str], order_col: str,
+                        buckets: int | None = None, out: str = "rn") -> DataFrame:
+    """``df`` plus ``out`` = ``row_number() over (partition by groups order by
+    order_col)`` (BIGINT), computed as range offset + rank inside the range.
+
+    Ranges are equi-depth: ``repartitionByRange`` samples the (group, id)
+    distribution, so no window task holds more than about ``rows / P`` rows
+    (``P = buckets``, or ``spark.sql.shuffle.partitions`` when ``None``, which
+    AQE may coalesce; coalescing merges adjacent ranges only, so range ids
+    stay ordered).  With duplicate keys the tie order is as arbitrary as in
+    the plain window."""
+    if not groups:
+        raise ValueError("at least one grouping column is required")
+    ranged = (df.repartitionByRange(*groups, order_col) if buckets is None
+              else df.repartitionByRange(buckets, *groups, order_col)).withColumn(_B, F.spark_partition_id())
+    hist = _histogram(ranged, groups).select(*groups, _B, _OFF)
     inner = Window.partitionBy(*groups, _B).orderBy(order_col)
-    boundary = (kept.where(F.col(_KIND) == "part")
-                    .withColumn("_rk_rn", F.row_number().over(inner))
-                    .where(F.col("_rk_rn") <= F.col(_NEED))
-                    .drop("_rk_rn"))
-    return whole.unionByName(boundary).drop(_LO, _W, _B, _KIND, _NEED)
+    # hist has <= P + groups rows: safe to broadcast.
+    return (ranged.join(F.broadcast(hist), on=[*groups, _B], how="inner")
+                  .withColumn(out, (F.col(_OFF) + F.row_number().over(inner)).cast("bigint"))
+                  .drop(_B, _OFF))
