@@ -86,3 +86,27 @@ def test_oracle_parity_smallest_fixture(spark, entry_mod):
         if problems:
             failures[name] = problems
     assert not failures
+
+
+def test_cutoff_cohort_is_a_threshold_filter(spark):
+    from tierlift.config import DEFAULT_CONFIG as cfg
+    from tierlift.plans.experiment import Experiment
+    ex = Experiment.from_tpch(spark, "/root/testdata/sf0.01", cfg, balance_method="cutoff")
+    df = ex.cohort
+    df.collect()
+    plan = _plan(df)
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+    assert "BroadcastHashJoin" in plan and "_rk_t" in plan
+
+
+def test_post_facts_aggregate_before_cohort_join(spark):
+    from tierlift.config import DEFAULT_CONFIG as cfg
+    from tierlift.plans.experiment import Experiment
+    ex = Experiment.from_tpch(spark, SF, cfg)
+    df = ex.post
+    df.collect()
+    plan = _plan(df).split("== Initial Plan ==")[0]
+    join_at = plan.index("LeftOuter")
+    agg_at = plan.index("count(distinct txn_id)")
+    assert agg_at > join_at  # the aggregate sits below (inside) the join's input
+    assert "partial_sum(revenue)" in plan or "merge_sum(revenue)" in plan

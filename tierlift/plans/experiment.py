@@ -85,7 +85,10 @@ class Experiment:
 
     @cached_property
     def profit(self) -> DataFrame:
-        return R.profitability_decimal(self.post, self.cfg)
+        # 2 x tiers rows, read two to four times by every finance operator:
+        # materialised once so their self-joins do not replay the cohort plan.
+        p = R.profitability_decimal(self.post, self.cfg)
+        return materialize(p) if self._materialize else p
 
     # --- the eight analyses -------------------------------------------------
     def tier_counts_raw(self) -> DataFrame:
@@ -98,7 +101,8 @@ class Experiment:
         return R.gender_split(self.cohort, self.cfg)
 
     def city_split(self) -> DataFrame:
-        return R.city_split(self.cohort, self.cfg)
+        counts = R.city_counts(self.cohort)  # group types x cities rows, read by two joins
+        return R.city_split(self.cohort, self.cfg, materialize(counts) if self._materialize else counts)
 
     def engagement(self) -> DataFrame:
         return R.engagement(self.post, self.cfg)

@@ -59,10 +59,18 @@ def gender_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> D
     return sort_small(out, F.desc("group_type"), F.desc("user_count"), "gender")
 
 
-def city_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
+def city_counts(cohort: DataFrame) -> DataFrame:
+    """``group_type, city, user_count``: the only pass over the cohort K4 needs."""
+    return counts_by(cohort, "group_type", "city")
+
+
+def city_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
+               counts: DataFrame | None = None) -> DataFrame:
     """K4 ``group_type, city_grouped, user_count, pct_of_group``: cities ranked
-    over both groups together (``RANK``, ties kept), the rest in 'Other'."""
-    counts = counts_by(cohort, "group_type", "city")
+    over both groups together (``RANK``, ties kept), the rest in 'Other'.
+    ``counts`` may be a materialised :func:`city_counts` (the rank join and
+    the share join both read it)."""
+    counts = city_counts(cohort) if counts is None else counts
     grouped = top_n_with_other(counts, "group_type", "city", "user_count", cfg.top_n_cities,
                                OTHER_CITY, "city_grouped")
     out = pct_of_counts(grouped, "group_type", "user_count", 1)
