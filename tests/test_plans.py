@@ -107,6 +107,6 @@ def test_post_facts_aggregate_before_cohort_join(spark):
     df.collect()
     plan = _plan(df).split("== Initial Plan ==")[0]
     join_at = plan.index("LeftOuter")
-    agg_at = plan.index("count(distinct txn_id)")
+    agg_at = plan.index("count(distinct txn_id")
     assert agg_at > join_at  # the aggregate sits below (inside) the join's input
-    assert "partial_sum(revenue)" in plan or "merge_sum(revenue)" in plan
+    assert "merge_sum(revenue" in plan or "partial_sum(revenue" in plan
