@@ -20,6 +20,9 @@ _SESSION_DEFAULTS = {
     # error messages (two JVM round trips each); plan construction is ~2x
     # faster without it.  Errors still carry the JVM-side context.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files of a materialised frame are removed once the frame is
+    # garbage-collected, so long sessions do not accumulate them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
