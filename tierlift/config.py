@@ -84,7 +84,7 @@ class ExperimentConfig:
     referral_label: str = "FRIEND"
     top_n_cities: int = 3
     scenarios: tuple[Scenario, ...] = DEFAULT_SCENARIOS
-    # Scalable balancing: number of id-range buckets per (tier, side) group.
+    # Cutoff balancing: id-range buckets per (tier, side) group and selection level.
     balance_buckets: int = 1024
     # Repricing what-if used by the projection (tier -> new discount rate).
     repricing: tuple[tuple[str, float], ...] = (("Platinum", 0.15),)

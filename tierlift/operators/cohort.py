@@ -97,7 +97,7 @@ def _limits(targets: DataFrame) -> DataFrame:
 
 # Largest (tier, side) group that may be ranked by one window task.  A single
 # task sorts a few million (id, tier, flag) rows in well under a second; above
-# that the bucketed cutoff spreads the work over ``balance_buckets`` tasks.
+# that the cutoff (distributed k-th-id selection) avoids sorting rows at all.
 WINDOW_MAX_GROUP_ROWS = 2_000_000
 
 
@@ -143,8 +143,10 @@ def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
                    method: str = "cutoff", side_counts: dict | None = None) -> DataFrame:
     """Eligible columns + ``group_type`` for the matched cohort.
 
-    ``method='cutoff'`` (for scale): id-range histogram, whole buckets below
-    the cut kept without sorting, only the boundary bucket ranked.
+    ``method='cutoff'`` (for scale): distributed selection of each group's
+    k-th smallest id (id-range histograms narrowed level by level, one
+    ``ROW_NUMBER`` over the final small slice), then a narrow
+    ``id <= threshold`` filter against the broadcast thresholds.
     ``method='window'``: one ``ROW_NUMBER`` window over (tier, side) joined to
     the broadcast targets; one window task per group, so only for groups that
     fit one task.

@@ -28,7 +28,7 @@ class Experiment:
                  materialize: bool | str = "eligible"):
         """``materialize``: ``"eligible"`` (default) writes the eligible
         population once to the reliable checkpoint folder (the balancing reads
-        it up to four times: side counts, group stats, histogram, final cut);
+        it several times: selection histograms, boundary slice, final cut);
         ``True`` also checkpoints the cohort and the per-user post-launch rows,
         for batches that run many reports over one experiment; ``False``
         keeps everything lazy (one fused plan)."""
