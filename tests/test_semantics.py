@@ -248,3 +248,22 @@ def test_column_map_renames_source_columns(spark, tmp_path):
                                                          "segment_tier": "member_tier", "reg": "registration_date"})
     r = u.collect()[0]
     assert (r.user_id, r.is_member, r.member_tier, r.registration_date) == (7, False, None, dt.date(2020, 5, 6))
+
+
+def test_city_rank_over_both_groups_shares_per_group(spark):
+    rows = ([("Treatment", "A")] * 3 + [("Treatment", "B")] + [("Control", "B")] * 3 + [("Control", "C")])
+    cohort = spark.createDataFrame(rows, "group_type string, city string")
+    out = R.city_split(cohort, CFG.with_(top_n_cities=1))
+    got = _rows(out, "group_type", "city_grouped", "user_count", "pct_of_group")
+    # B (4 users over both groups) is rank 1 although A leads inside Treatment.
+    assert got == [("Control", "B", 3, 75.0), ("Control", "Other", 1, 25.0),
+                   ("Treatment", "B", 1, 25.0), ("Treatment", "Other", 3, 75.0)]
+
+
+def test_unlisted_stored_tier_raw_only(spark):
+    users = [user(1, True, "Diamond"), user(2, True, "Bronze"), user(3, False)]
+    txs = orders(1, 1, 100) + orders(2, 1, 200) + orders(3, 1, 300)
+    ex = _ex(spark, users, txs)
+    assert ("Diamond", 1) in _rows(ex.tier_counts_raw(), "tier_label", "count_users")
+    assert _rows(ex.cohort, "user_id") == [(2,), (3,)]
+    assert ("Diamond", 1, 0) in _rows(ex.full, "tier", "eligible_users", "non_members")
