@@ -65,3 +65,27 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def recommended_conf(transactions_bytes: int, total_cores: int,
+                     target_partition_bytes: int = 192 << 20) -> dict[str, str]:
+    """Cluster settings sized for the input (spill-aware starting point).
+
+    The largest shuffle is the post/pre-window transaction rows reduced to a
+    few columns, roughly 40 % of the compressed transaction bytes.  Each
+    shuffle partition should hold about ``target_partition_bytes`` so a task
+    fits executor memory without spilling; AQE then coalesces small ones and
+    splits skewed ones.  Scan splits of 256 MB keep a 100 TB scan around
+    400k tasks.
+    """
+    shuffle_bytes = int(transactions_bytes * 0.4)
+    partitions = max(total_cores * 3, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
