@@ -61,19 +61,22 @@ def purchase_rate_lift(post: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG)
 
 # --- M3 -------------------------------------------------------------------------
 def group_size_pivot(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
-    """``tier, treatment_users, control_users, total_users`` plus a total row
-    (``ROLLUP``); the total row has ``tier = 'Total'``."""
+    """``tier, treatment_users, control_users, total_users`` plus a 'Total' row
+    (a global aggregate, so it exists even for an empty cohort, as the
+    grand-total grouping set of a ``ROLLUP`` does in SQL)."""
     t = F.col("group_type") == F.lit(TREATMENT)
-    r = (cohort.rollup("tier")
-               .agg(F.count_if(t).cast("bigint").alias("treatment_users"),
-                    F.count_if(~t).cast("bigint").alias("control_users"),
-                    F.count(F.lit(1)).alias("total_users"),
-                    F.grouping("tier").alias("_g")))
-    out = r.select(F.when(F.col("_g") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("tier")).alias("tier"),
-                   "treatment_users", "control_users", "total_users")
+    aggs = [F.count_if(t).cast("bigint").alias("treatment_users"),
+            F.count_if(~t).cast("bigint").alias("control_users"),
+            F.count(F.lit(1)).alias("total_users")]
+    out = _with_total(cohort.groupBy("tier").agg(*aggs), cohort.agg(*aggs))
     return _tier_order(out, cfg)
 
 
+def _with_total(per_tier: DataFrame, total: DataFrame) -> DataFrame:
+    """Per-tier rows plus one 'Total' row from a global aggregate."""
+    return per_tier.unionByName(total.withColumn("tier", F.lit(TOTAL_LABEL)))
+
+
 # --- M4 -------------------------------------------------------------------------
 def uplift_summary(profit: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
     """``tier, treatment_revenue, control_revenue, gross_uplift, discount_cost,
@@ -85,10 +88,9 @@ def uplift_summary(profit: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) ->
                  .agg(F.sum(F.when(t, F.col("total_revenue"))).alias("tr"),
                       F.sum(F.when(c, F.col("total_revenue"))).alias("cr"),
                       F.sum(F.when(t, F.col("estimated_discount_cost"))).alias("dc")))
-    r = (per.rollup("tier")
-            .agg(F.sum("tr").alias("tr"), F.sum("cr").alias("cr"), F.sum("dc").alias("dc"),
-                 F.grouping("tier").alias("_g")))
-    out = r.select(F.when(F.col("_g") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("tier")).alias("tier"),
+    sums = [F.sum("tr").alias("tr"), F.sum("cr").alias("cr"), F.sum("dc").alias("dc")]
+    r = _with_total(per, per.agg(*sums))
+    out = r.select("tier",
                    exact_round(F.col("tr"), 2).alias("treatment_revenue"),
                    exact_round(F.col("cr"), 2).alias("control_revenue"),
                    exact_round(F.col("tr") - F.col("cr"), 2).alias("gross_uplift"),
@@ -213,10 +215,10 @@ def projected_net_position(profit: DataFrame, full: DataFrame, cfg: ExperimentCo
     """M9 ``tier, projected_gross_uplift, projected_discount_cost,
     projected_net_uplift, payback_months`` per tier and 'Total'."""
     p = projected_position(profit, full, cfg, overrides, method)
-    rolled = (p.rollup("tier").agg(F.sum("projected_gross").alias("g"), F.sum("projected_cost").alias("c"),
-                                   F.grouping("tier").alias("_g")))
+    sums = [F.sum("projected_gross").alias("g"), F.sum("projected_cost").alias("c")]
+    rolled = _with_total(p.groupBy("tier").agg(*sums), p.agg(*sums))
     out = rolled.select(
-        F.when(F.col("_g") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("tier")).alias("tier"),
+        "tier",
         exact_round(F.col("g"), 2).alias("projected_gross_uplift"),
         exact_round(F.col("c"), 2).alias("projected_discount_cost"),
         exact_round(F.col("g") - F.col("c"), 2).alias("projected_net_uplift"),
