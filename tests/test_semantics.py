@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from tierlift.operators import cohort as C
 from tierlift.operators import facts as FX
@@ -14,7 +13,7 @@ from tierlift.operators.windowing import window_txn_counts
 from tierlift.plans import reports as R
 from tierlift.plans.experiment import Experiment
 
-from helpers import CFG, POST, PRE, orders, tx_df, txn, user, users_df
+from helpers import CFG, POST, orders, tx_df, txn, user, users_df
 
 METHODS = ["window", "cutoff", "branches", "auto"]
 

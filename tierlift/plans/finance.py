@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import (CONTROL, DEFAULT_CONFIG, NO_COUPON, OTHER_COUPON, TOTAL_LABEL, TREATMENT,
                       UNKNOWN_GENDER, ExperimentConfig)
 from ..functions import labels as L
-from ..functions.rounding import exact_round, pct, round_decimal
+from ..functions.rounding import exact_round, pct
 from ..operators.windowing import txn_window_scan
 from .reports import ab_test_results, profitability_decimal, sort_small
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, ExperimentConfig
 from ..functions.labels import ladder_sql, lit
-from .schemas import MONEY, TRANSACTIONS, USERS
+from .schemas import TRANSACTIONS, USERS
 
 # --- fixed values: fixture relabelling rules (FIXTURES.md §2) ---------------
 # users:  city NULL if id % 113 = 0; gender NULL if % 127 = 0, 'Unknown' if
