@@ -266,3 +266,11 @@ def test_unlisted_stored_tier_raw_only(spark):
     assert ("Diamond", 1) in _rows(ex.tier_counts_raw(), "tier_label", "count_users")
     assert _rows(ex.cohort, "user_id") == [(2,), (3,)]
     assert ("Diamond", 1, 0) in _rows(ex.full, "tier", "eligible_users", "non_members")
+
+
+def test_duplicate_user_ids_are_reported(spark):
+    users = [user(1, True, "Bronze"), user(1, False), user(2, False)]
+    with pytest.raises(ValueError, match="user_id 1 occurs 2 times"):
+        Experiment(users_df(spark, users), tx_df(spark, orders(1, 1, 10)), CFG, check_unique_ids=True)
+    ok = Experiment(users_df(spark, users[1:]), tx_df(spark, orders(1, 1, 10)), CFG, check_unique_ids=True)
+    assert ok.cfg is CFG

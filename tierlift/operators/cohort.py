@@ -46,6 +46,15 @@ def eligible_users(users: DataFrame, tx: DataFrame, cfg: ExperimentConfig = DEFA
         f"CASE WHEN is_member IS TRUE THEN member_tier ELSE {L.ladder_sql('n_orders', cfg, 'name')} END AS tier")
 
 
+def duplicate_user_ids(users: DataFrame) -> DataFrame:
+    """``user_id, copies`` for ids that occur more than once.  Balancing keeps
+    the lowest ids per group, which is only reproducible (and, for the
+    threshold cut, only exact in size) when ids are unique.  A partial/final
+    aggregate: a hot duplicated id is combined map-side."""
+    return (users.groupBy("user_id").agg(F.count(F.lit(1)).alias("copies"))
+                 .where(F.col("copies") > 1))
+
+
 def status_split(eligible: DataFrame) -> DataFrame:
     """``user_id, group_type`` with NULL membership removed."""
     return (eligible.where(F.col("is_member").isNotNull())

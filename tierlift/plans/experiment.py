@@ -25,14 +25,21 @@ from . import reports as R
 class Experiment:
     def __init__(self, users: DataFrame, transactions: DataFrame,
                  cfg: ExperimentConfig = DEFAULT_CONFIG, balance_method: str = "auto",
-                 materialize: bool | str = "eligible"):
+                 materialize: bool | str = "eligible", check_unique_ids: bool = False):
         """``materialize``: ``"eligible"`` (default) writes the eligible
         population once to the reliable checkpoint folder (the balancing reads
         it several times: selection histograms, boundary slice, final cut);
         ``True`` also checkpoints the cohort and the per-user post-launch rows,
         for batches that run many reports over one experiment; ``False``
-        keeps everything lazy (one fused plan)."""
+        keeps everything lazy (one fused plan).
+        ``check_unique_ids`` runs one aggregate over ``users`` first and fails
+        on a repeated id (the balancing assumes a users key)."""
         self.users, self.tx, self.cfg = users, transactions, cfg
+        if check_unique_ids:
+            dup = C.duplicate_user_ids(users).limit(1).collect()
+            if dup:
+                raise ValueError(f"user_id {dup[0]['user_id']} occurs {dup[0]['copies']} times; "
+                                 "balancing needs unique user ids")
         self.balance_method = balance_method
         self._materialize = materialize
         self._side_counts: dict | None = None
