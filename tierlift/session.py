@@ -53,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        if sc.master.startswith("local"):
+        if sc.master.split("[")[0] == "local":  # not local-cluster: its executors have folders of their own
             conf_dir = tempfile.mkdtemp(prefix="tierlift-ckpt-")
         else:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
