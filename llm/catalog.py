@@ -22,11 +22,25 @@ def sha256(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules as q
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = q.fit(docs, table(spark, sf_dir, "labels"))
+    return q.judge(docs, rules).select("doc_id", *q.BASE, "base_failed", "kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import TARGETS, mix, word_count
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs).select("doc_id", *[lv.key().alias(lv.name) for lv in TARGETS], "epoch",
+                            word_count("text").alias("n_tokens"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import compression_quality as q
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,5 +56,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_packing, op8_compression_quality, op10_line_dedup)
+    f.__name__: f for f in (op3_quality_rules, op5_packing, op7_mixing, op8_compression_quality, op10_line_dedup)
 }
