@@ -34,6 +34,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax_dedup import components_of
+    return components_of(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import TARGETS, mix, word_count
     docs = table(spark, sf_dir, "documents")
@@ -56,5 +61,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op5_packing, op7_mixing, op8_compression_quality, op10_line_dedup)
+    f.__name__: f for f in (op3_quality_rules, op5_packing, op6_minmax_dedup, op7_mixing, op8_compression_quality, op10_line_dedup)
 }
