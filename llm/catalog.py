@@ -22,6 +22,12 @@ def sha256(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import drop_shared_passages
+    return drop_shared_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as q
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +35,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.judge(docs, rules).select("doc_id", *q.BASE, "base_failed", "kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import drop_repeated_strings
+    return drop_repeated_strings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -61,5 +73,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op5_packing, op6_minmax_dedup, op7_mixing, op8_compression_quality, op10_line_dedup)
+    f.__name__: f for f in (
+        op1_substring_dedup, op3_quality_rules, op4_suffix_dedup, op5_packing, op6_minmax_dedup, op7_mixing, op8_compression_quality, op10_line_dedup)
 }
