@@ -66,6 +66,11 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_repeated_lines
     kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -74,5 +79,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_quality_rules, op4_suffix_dedup, op5_packing, op6_minmax_dedup, op7_mixing, op8_compression_quality, op10_line_dedup)
+        op1_substring_dedup, op3_quality_rules, op4_suffix_dedup, op5_packing, op6_minmax_dedup, op7_mixing, op8_compression_quality, op9_multi_index,
+        op10_line_dedup)
 }
