@@ -2,10 +2,10 @@
 
 Texts are sequences of 64-bit symbols (words or bytes).  Every window of
 ``window`` symbols picks its *anchor*, the ``gram`` inside it with the smallest
-hash (the leftmost of equals).  Equal windows pick equal anchors, so windows
-need comparing only where their documents share an anchor: one row per anchor
-is shuffled instead of one per window.  The consecutive windows that pick one
-anchor form its *segment*.
+hash.  Equal windows pick equal anchors, so windows need comparing only where
+their documents share an anchor: one row per anchor is shuffled instead of one
+per window.  Consecutive windows that pick equal anchors form a *segment*; text
+that repeats itself is one long segment.
 
 ``shared_segments`` finds the anchors that occur more than once and collapses
 equal segments; ``compare`` hands groups of different segments around one
@@ -82,9 +82,9 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(x: np.ndarray, window: int, gram: int) -> list[np.ndarray]:
-    """``h, sh, start, n, a`` per anchor: hash of the anchor, hash of the
-    segment (with its length and the anchor's place in it), where the segment
-    starts, its length and the anchor's offset."""
+    """``h, sh, start, n, t`` per segment: hashes of its anchor and of itself,
+    where it starts, its length, and 1 if its anchor has several places (only
+    then can a window be found twice within the segment)."""
     parts = []
     for low in range(0, max(len(x) - window + 1, 0), PIECE - window + 1):
         part = x[low:low + PIECE]
@@ -92,12 +92,12 @@ def segments(x: np.ndarray, window: int, gram: int) -> list[np.ndarray]:
         g = range_hashes(part, at, at + gram, _P1)
         order = (g >> _U(_POSITION_BITS) << _U(_POSITION_BITS)) | at.astype(np.uint64)
         place = (_sliding_min(order, window - gram + 1) & _U((1 << _POSITION_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        last = np.concatenate((first[1:], [len(place)])) - 1 + window
-        a = place[first] - first
-        sh = mix64(range_hashes(part, first, last, _P2) + (last - first).astype(np.uint64) * _U(_B1)
-                   + a.astype(np.uint64) * _U(_B2))
-        parts.append((g[place[first]], sh, first + low, last - first, a))
+        picked = g[place]
+        first = np.flatnonzero(np.concatenate(([True], picked[1:] != picked[:-1])))
+        after = np.concatenate((first[1:], [len(place)]))
+        n = after - first - 1 + window
+        sh = mix64(range_hashes(part, first, first + n, _P2) + n.astype(np.uint64) * _U(_B1))
+        parts.append((picked[first], sh, first + low, n, place[after - 1] != place[first]))
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)] * 3
 
 
@@ -146,7 +146,7 @@ def unpack(data: bytes | None) -> bytes:
 
 
 def anchor_rows(docs: DataFrame, symbols: Symbols, window: int, gram: int, text: str, doc_id: str) -> DataFrame:
-    """``h, sh, d, f, start, n, a``: one row per anchor of every text, written."""
+    """``h, sh, d, f, start, n, t``: one row per segment of every text, written."""
     memory = WordHashes()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -159,30 +159,32 @@ def anchor_rows(docs: DataFrame, symbols: Symbols, window: int, gram: int, text:
                 fs.append(np.full(len(got[0]), fingerprint(body), dtype=np.int32))
         if not found:
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(),) * 3 + (pa.int32(),) * 4], names=names)
-        h, sh, start, n, a = (np.concatenate(c) for c in zip(*found))
+        h, sh, start, n, t = (np.concatenate(c) for c in zip(*found))
         return pa.RecordBatch.from_arrays(
             [pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(np.concatenate(ds)),
-             pa.array(np.concatenate(fs)), *(pa.array(v.astype(np.int32)) for v in (start, n, a))], names=names)
+             pa.array(np.concatenate(fs)), *(pa.array(v.astype(np.int32)) for v in (start, n, t))], names=names)
 
-    names = ["h", "sh", "d", "f", "start", "n", "a"]
+    names = ["h", "sh", "d", "f", "start", "n", "t"]
     return written(map_batches(docs.select(doc_key(doc_id).alias("d"), F.col(text).cast("string")), rows,
-                               "h long, sh long, d long, f int, start int, n int, a int"), "anchors")
+                               "h long, sh long, d long, f int, start int, n int, t int"), "anchors")
 
 
 def shared_segments(rows: DataFrame, across: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows whose anchor occurs more than once (``across``: in more than
+    """The rows whose anchor may hold a window twice (``across``: in more than
     one document), and the distinct segments among them: ``h, sh, rows, low,
-    high`` (smallest and largest document), ``ex`` (one place) and ``variants``,
-    the number of distinct segments of the anchor."""
+    high`` (smallest and largest document), ``t``, ``ex`` (one place) and
+    ``variants``, the number of distinct segments of the anchor."""
     per_anchor = rows.groupBy("h").agg(*([F.min("d").alias("low"), F.max("d").alias("high")] if across
-                                         else [F.count(F.lit(1)).alias("rows")]))
-    again = per_anchor.where("low < high" if across else "rows > 1").select("h")
+                                         else [F.count(F.lit(1)).alias("rows"), F.max("t").alias("t")]))
+    # Written: both sides of the joins below are then plain exchanges, which
+    # Spark may split where an anchor is very common.
+    again = written(per_anchor.where("low < high" if across else "rows > 1 OR t = 1").select("h"), "anchors-again")
     shared = written(rows.join(again, "h", "left_semi"), "shared")
-    distinct = shared.groupBy("h", "sh").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"),
-        F.min(F.struct("d", "f", "start", "n", "a")).alias("ex"))
-    distinct = written(distinct, "segments")
-    variants = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("variants"), F.min("rows").alias("fewest"))
+    distinct = written(shared.groupBy("h", "sh").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("t").alias("t"),
+        F.min(F.struct("d", "f", "start", "n")).alias("ex")), "segments")
+    variants = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("variants"), F.min("rows").alias("fewest")),
+                       "variants")
     return shared, distinct.join(variants, "h")
 
 

@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import importable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -28,6 +31,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_tree import score
+    scored = score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                         "score", "bits_per_byte")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as q
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,6 +89,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_quality_rules, op4_suffix_dedup, op5_packing, op6_minmax_dedup, op7_mixing, op8_compression_quality, op9_multi_index,
+        op1_substring_dedup, op2_context_tree, op3_quality_rules, op4_suffix_dedup, op5_packing, op6_minmax_dedup, op7_mixing, op8_compression_quality, op9_multi_index,
         op10_line_dedup)
 }

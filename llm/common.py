@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,16 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, when
+    it is not installed for them (:envvar:`PYTHONPATH` of their processes)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

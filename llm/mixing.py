@@ -67,8 +67,8 @@ TARGETS = (
     Level("lang", "lang", {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1}, 0.05),
     Level("source", "source"),
 )
-#: Share of the corpus's tokens to deal out, and how often a document may be used.
-BUDGET_SHARE = 0.6
+#: Tokens to deal out as a share of the corpus's, and how often a document may be used.
+BUDGET_SHARE = 1.0
 MAX_EPOCHS = 2
 SEED = 20
 

@@ -11,7 +11,8 @@ final.  At ``window`` bytes, the suffixes left in one bucket start with equal
 strings.
 
 Equal segments are collapsed before, with their number: all windows of a
-segment that occurs twice are repeated.
+segment that occurs twice are repeated.  A segment that occurs once may still
+repeat a window within itself, if its text is periodic.
 
 Defined cases: a null or empty text has no bytes; every row is a document of
 its own, also without an id or with a repeated one, so repeated rows remove
@@ -108,7 +109,7 @@ def drop_repeated_strings(docs: DataFrame, window: int = 200, text: str = "text"
     packed = A.packed(docs, text, doc_id)
     twice = distinct.where("rows > 1").select("h", "sh", F.array(F.struct(
         F.lit(0).alias("s"), F.col("ex.n").alias("e"), F.lit(A.ANY).alias("holder"))).alias("spans"))
-    several = A.with_content(distinct.where("variants > 1 AND fewest = 1"), packed, symbols)
+    several = A.with_content(distinct.where("fewest = 1 AND (variants > 1 OR t = 1)"), packed, symbols)
     decided = twice.unionByName(A.compare(several, symbols, window, refinement_method(window), group_limit, across=False))
     gone = A.spans_by_document(shared, decided)
 
