@@ -119,10 +119,11 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     a smaller document holds too; documents that lose nothing are absent."""
     spark = docs.sparkSession
     keys = written(_line_keys(docs, text, doc_id, min_chars), "line-keys")
-    # approxQuantile: bounds of equally large id ranges; any bounds give the same result.
-    cuts = sorted(set(keys.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01) or []))
+    # Bounds of about equally large id ranges; any bounds give the same result.
+    cuts = sorted(set(keys.agg(F.percentile_approx("d", [i / batches for i in range(batches + 1)], 1_000)).first()[0] or [])
+                  )[1:-1]
     runs, dropped = LineRuns(spark, fanout), None
-    edges = [None, *map(int, cuts), None]
+    edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
         part = keys
         if low is not None:
