@@ -94,7 +94,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for i in range(8):
         shift += np.log(x + i)
     y = x + 8.0
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7) - shift
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -325,7 +325,7 @@ def probabilities(symbols: DataFrame, depth: int) -> DataFrame:
             two = built.nodes[2, j]
             parent, inverse = np.unique(_parents(two.keys, j), return_inverse=True)
             for c, v in zip(cols, (np.full(len(parent), j, np.int64), parent.view(np.int64),
-                                   *(np.bincount(inverse, weights=w, minlength=len(parent))
+                                   *(np.bincount(inverse, weights=w, minlength=len(parent)).astype(np.float64)
                                      for w in (two.a, two.b, built.weighted[j])))):
                 c.append(v)
         return pa.table([pa.array(np.concatenate(c)) for c in cols], names=["j", "node", "a", "b", "below"])

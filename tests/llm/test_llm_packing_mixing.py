@@ -1,0 +1,163 @@
+"""Packing: exact round trip and bounds.  Mixing: against a brute-force tree."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from llm_helpers import SCHEMA, clashing, corpus, documents, edge_rows
+
+from llm import mixing, packing
+from llm.mixing import Level
+
+CORPUS = list(enumerate(corpus(60, 6)))
+EDGES = [(r[0], r[1]) for r in edge_rows()]
+
+
+@pytest.mark.parametrize("rows", [CORPUS, EDGES])
+@pytest.mark.parametrize("max_len", [2_048, 64])
+def test_pieces_are_exact_and_sequences_gapless(spark, rows, max_len):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    want = Counter()
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for s in range(0, len(ids), max_len):
+            part = ids[s:s + max_len]
+            want[d, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids), tuple(part)] += 1
+    got = packing.pack_documents(clashing(documents(spark, rows)), max_len=max_len, with_ids=True).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], tuple(r["ids"])) for r in got) == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in places.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= max_len
+    assert sorted(places) == list(range(len(places)))
+
+
+def test_special_token_strings_are_text(spark):
+    got = packing.pack_documents(documents(spark, [(1, "<|endoftext|>")]), with_ids=True).collect()
+    assert 50256 not in got[0]["ids"] and got[0]["ids"][-1] == 1
+
+
+def test_little_padding():
+    rng = random.Random(1)
+    counts = Counter(min(2_048, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(50_000))
+    packs = packing.pack_histogram(dict(counts), 2_048)
+    used = Counter()
+    for pattern, n in packs:
+        assert sum(pattern) <= 2_048 and n > 0
+        for length in pattern:
+            used[length] += n
+    assert used == counts
+    assert sum(counts[x] * x for x in counts) > 0.97 * 2_048 * sum(n for _, n in packs)
+    assert packing.pack_histogram({}, 2_048) == []
+
+
+def test_patterns_do_not_grow_with_the_corpus():
+    counts = {n: 1 + n % 7 for n in range(1, 2_049)}
+    few = packing.pack_histogram(counts, 2_048)
+    many = packing.pack_histogram({n: 100_000 * c for n, c in counts.items()}, 2_048)
+    assert len(many) < 4 * 2_048 and len(few) <= len(many) + 2_048
+
+
+def test_packing_an_empty_table(spark):
+    assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+# --- mixing ------------------------------------------------------------------------------
+def pour(budget, children):
+    """Weighted shares with limits, by rounds: ``children`` is [(weight, limit)]."""
+    share, open_ = [0.0] * len(children), {i for i, (w, c) in enumerate(children) if w > 0 and c > 0}
+    left = float(budget)
+    while open_ and left > 1e-9:
+        total = sum(children[i][0] for i in open_)
+        full = [i for i in open_ if share[i] + left * children[i][0] / total >= children[i][1] - 1e-9]
+        if not full:
+            for i in open_:
+                share[i] += left * children[i][0] / total
+            return share
+        for i in full:
+            left -= children[i][1] - share[i]
+            share[i] = children[i][1]
+            open_.remove(i)
+        # Those that are not full yet keep nothing: shares follow the weights anew.
+        left += sum(share[i] for i in open_)
+        for i in open_:
+            share[i] = 0.0
+    return share
+
+
+LEVELS = (Level("domain", "CASE WHEN source IN ('src0', 'src1') THEN 'a' WHEN source = 'src2' THEN 'zero' ELSE 'b' END",
+                {"a": 3.0, "b": 1.0, "zero": 0.0}), Level("lang", "lang", {"en": 2.0}), Level("source", "source"))
+
+
+def mixable(n=300, seed=5):
+    rng = random.Random(seed)
+    return [(i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["en", "en", "de", None]),
+             rng.choice([f"src{k}" for k in range(6)] + ["src0"] * 6 + [None]), 0) for i in range(n)]
+
+
+@pytest.mark.parametrize("share,epochs", [(0.4, 1), (1.0, 2), (3.0, 3)])
+def test_budgets_follow_the_tree(spark, share, epochs):
+    rows = mixable()
+    domain = lambda s: "a" if s in ("src0", "src1") else "zero" if s == "src2" else "b"
+    weights = [lambda k: {"a": 3.0, "b": 1.0, "zero": 0.0}[k], lambda k: 2.0 if k == "en" else 1.0, lambda k: 1.0]
+    leaf = Counter()
+    for _, t, lang, source, _ in rows:
+        leaf[domain(source), lang or "", source or ""] += len(t.split())
+    due = {(): int(share * sum(leaf.values()))}
+    for depth in range(3):
+        nodes = defaultdict(int)
+        for path, n in leaf.items():
+            nodes[path[:depth + 1]] += n * epochs
+        for parent in [p for p in due if len(p) == depth]:
+            own = sorted(p for p in nodes if p[:-1] == parent)
+            for p, x in zip(own, pour(due[parent], [(weights[depth](p[-1]), nodes[p]) for p in own])):
+                due[p] = int(x + 1e-6)
+    docs = documents(spark, rows)
+    got = mixing.mix(clashing(docs), LEVELS, budget_share=share, max_epochs=epochs).collect()
+    used, times = Counter(), defaultdict(set)
+    size = {r[0]: len(r[1].split()) for r in rows}
+    where = {r[0]: (domain(r[3]), r[2] or "", r[3] or "") for r in rows}
+    for r in got:
+        used[where[r["doc_id"]]] += size[r["doc_id"]]
+        times[r["doc_id"]].add(r["epoch"])
+    assert all(e == set(range(len(e))) and len(e) <= epochs for e in times.values())
+    for path, tokens in leaf.items():
+        largest = max((size[i] for i in where if where[i] == path), default=0)
+        assert used[path] <= due.get(path, 0) + 1
+        assert used[path] > due.get(path, 0) - max(1, largest) - 2 or used[path] == tokens * epochs
+        counts = {len(times[i]) for i in where if where[i] == path and size[i]}
+        assert not counts or max(counts) - min(counts) <= 1
+
+
+def test_mixing_is_seeded_and_keeps_columns(spark):
+    docs = clashing(documents(spark, mixable()))
+    once, again = (sorted(map(tuple, mixing.mix(docs.repartition(n), LEVELS, budget_share=0.5).collect()), key=repr) for n in (2, 5))
+    assert once == again
+    other = sorted(map(tuple, mixing.mix(docs, LEVELS, budget_share=0.5, seed=1).collect()), key=repr)
+    assert other != once
+    assert mixing.mix(docs, LEVELS).columns == [c for c in docs.columns if c != "epoch"] + ["epoch"]
+
+
+def test_mixing_edge_cases(spark):
+    docs = documents(spark, EDGES)
+    got = mixing.mix(docs, LEVELS, budget_share=10.0, max_epochs=2).groupBy("epoch").count().collect()
+    assert {r["epoch"] for r in got} <= {0, 1}
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+    nothing = documents(spark, [(1, None), (2, ""), (3, " ")])
+    assert mixing.mix(nothing, LEVELS).collect() == []
+
+
+def test_no_python_on_the_path(spark):
+    plan = mixing.mix(documents(spark, mixable()), LEVELS)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
