@@ -33,6 +33,10 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+#: Rows a worker turns into Python objects at a time.
+SLICE = 512
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -63,13 +67,15 @@ def free_name(taken: list[str], name: str) -> str:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with one output batch (or none) per input batch."""
+    """``df.mapInArrow`` with one output batch (or none) per slice of the input:
+    what a worker holds at a time is bounded by ``SLICE`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for start in range(0, batch.num_rows, SLICE):
+                out = fn(batch.slice(start, SLICE))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -88,7 +94,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered for up to ``limit`` distinct words
     (the memory is bounded; a forgotten word is hashed again)."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, doc_key, written
 
 _NONE = "\u0000"  # a null level; sorts before every name
-_BUCKET_BITS = 10
+_BUCKET_BITS, _DRAW_BITS = 10, 60
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,12 @@ MAX_EPOCHS = 2
 SEED = 20
 
 
+def draw(seed: int, epoch: Column, key: Column) -> Column:
+    """Place of a document in the seeded order of an epoch: 60 bits of a digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"),
                                      F.lit(SPACE_CLASS.replace("[", "[^", 1) + "+")), F.lit(0)).cast("long")
@@ -86,9 +92,9 @@ def share_out(nodes: DataFrame, parents: list[str], order: list[str]) -> DataFra
     return (nodes.where("weight > 0")
             .withColumn("per_weight", level)
             .withColumn("per_weight", F.max("per_weight").over(Window.partitionBy(*parents)))
-            .withColumn("tokens_due", F.floor(F.least(F.col("limit").cast("double"),
-                                                      F.greatest(F.col("per_weight"), F.lit(0.0)) * F.col("weight")))
-                        .cast("long"))
+            # A millionth of a token more, lest rounding takes a whole one.
+            .withColumn("tokens_due", F.floor(F.least(
+                F.col("limit").cast("double"), F.greatest(F.col("per_weight"), F.lit(0.0)) * F.col("weight")) + 1e-6).cast("long"))
             .drop("per_weight"))
 
 
@@ -121,8 +127,8 @@ def plan(docs: DataFrame, levels: tuple[Level, ...], tokens: Column, budget_shar
         F.when(F.col("tokens") > 0, F.col("tokens_due") % F.col("tokens")).otherwise(0).cast("long").alias("rest")),
         "mix-budgets")
     drawn = (items.join(budgets.where("rest > 0"), keys)
-             .withColumn("h", F.xxhash64(F.lit(seed), "epochs", "d"))
-             .withColumn("b", F.shiftright("h", 64 - _BUCKET_BITS)))
+             .withColumn("h", draw(seed, F.col("epochs"), F.col("d")))
+             .withColumn("b", F.shiftright("h", _DRAW_BITS - _BUCKET_BITS)))
     per_bucket = drawn.groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     w = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The bucket in which the prefix ends: the first whose tokens no longer fit.
@@ -134,7 +140,7 @@ def plan(docs: DataFrame, levels: tuple[Level, ...], tokens: Column, budget_shar
             .where("upto <= rest").groupBy(*keys).agg(F.max(F.struct("h", "d")).alias("x")))
     ends = (border.join(last, keys, "left")
             # No document of that bucket fits: everything below the bucket is in.
-            .select(*keys, F.coalesce(F.col("x.h"), F.shiftleft(F.col("b").cast("long"), 64 - _BUCKET_BITS)).alias("cut_h"),
+            .select(*keys, F.coalesce(F.col("x.h"), F.shiftleft(F.col("b").cast("long"), _DRAW_BITS - _BUCKET_BITS)).alias("cut_h"),
                     F.coalesce(F.col("x.d"), F.lit(-(1 << 63))).alias("cut_d")))
     return written(budgets.join(ends, keys, "left").select(*keys, "epochs", "cut_h", "cut_d"), "mix-plan")
 
@@ -154,7 +160,7 @@ def mix(docs: DataFrame, levels: tuple[Level, ...] = TARGETS, tokens: Column | N
     named = leaves.select(*[F.col(c).alias(f"{pre}{c}") for c in leaves.columns])
     rows = docs.withColumns({k: lv.key() for k, lv in zip(keys, levels)}).withColumn(f"{pre}d", doc_key(doc_id))
     both = rows.join(named, keys)
-    h, cut = F.xxhash64(F.lit(seed), f"{pre}epochs", f"{pre}d"), F.col(f"{pre}cut_h")
+    h, cut = draw(seed, F.col(f"{pre}epochs"), F.col(f"{pre}d")), F.col(f"{pre}cut_h")
     more = F.coalesce((h < cut) | ((h == cut) & (F.col(f"{pre}d") <= F.col(f"{pre}cut_d"))), F.lit(False))
     times = F.col(f"{pre}epochs").cast("int") + more.cast("int")
     return (both.withColumn(f"{pre}n", times).where(F.col(f"{pre}n") > 0)

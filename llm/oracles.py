@@ -19,4 +19,91 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op10_line_dedup": OP10_LINE_DEDUP}
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP1_SUBSTRING_DEDUP = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+starts AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS k
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT k, min(doc_id) AS holder FROM starts GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM starts JOIN firsts USING (k) WHERE holder < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+         FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+OP4_SUFFIX_DEDUP = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+bytes AS (SELECT doc_id, i, x[2 * i + 1:2 * i + 2] AS byte,
+                 CASE WHEN 2 * i + 400 <= length(x) THEN md5(x[2 * i + 1:2 * i + 400]) END AS k
+          FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS i FROM docs)),
+marked AS (SELECT *, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS again FROM bytes),
+covered AS (SELECT *, coalesce(max(CASE WHEN again THEN i END) OVER (
+                PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone FROM marked),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM covered),
+per_doc AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed,
+                   count(*) FILTER (WHERE first) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone) AS left_
+            FROM edges GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(left_, ''))) AS kept_sha256
+FROM docs LEFT JOIN per_doc USING (doc_id)
+"""
+
+OP6_MINMAX_DEDUP = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), {UPPER}, {LOWER})")} AS w
+                        FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda p: array_to_string(list_slice(w, p, p + 2), ' '))) END AS s FROM docs),
+sized AS (SELECT doc_id, len(s) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id
+          HAVING 100 * count(*) >= 85 * ((SELECT n FROM sized WHERE doc_id = a.doc_id)
+                                         + (SELECT n FROM sized WHERE doc_id = b.doc_id) - count(*))),
+twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM sized UNION SELECT reach.doc_id, twoway.b FROM reach JOIN twoway ON twoway.a = reach.r),
+roots AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN roots USING (doc_id)
+"""
+
+
+def _mixing() -> str:
+    """The tree of budgets level by level, then each leaf's epochs and prefix."""
+    domain = ("CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') THEN 'web' "
+              "WHEN source IN ('src8', 'src9', 'src10', 'src11', 'src12', 'src13') THEN 'forum' ELSE 'reference' END")
+    weights = ["CASE k1 WHEN 'web' THEN 0.5::DOUBLE WHEN 'forum' THEN 0.3::DOUBLE WHEN 'reference' THEN 0.2::DOUBLE END",
+               "CASE k2 WHEN 'en' THEN 0.55::DOUBLE WHEN 'de' THEN 0.2::DOUBLE WHEN 'fr' THEN 0.15::DOUBLE "
+               "WHEN 'es' THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END", "1.0::DOUBLE"]
+    ctes = [f"""docs AS (SELECT doc_id, {domain} AS k1, coalesce(lang, chr(0)) AS k2, coalesce(source, chr(0)) AS k3,
+                                len({WORDS}) AS n FROM documents)""",
+            "leaves AS (SELECT k1, k2, k3, sum(n)::BIGINT AS tokens FROM docs GROUP BY ALL)"]
+    for i, weight in enumerate(weights, 1):
+        keys = [f"k{j}" for j in range(1, i + 1)]
+        part = f"PARTITION BY {', '.join(keys[:-1])}" if i > 1 else ""
+        budget = f"JOIN due{i - 1} USING ({', '.join(keys[:-1])})" if i > 1 else (
+            "CROSS JOIN (SELECT sum(tokens)::BIGINT AS due FROM leaves)")
+        ctes += [f"""nodes{i} AS (SELECT {', '.join(f'x.{k}' for k in keys)}, lim, due, {weight.replace(keys[-1], 'x.' + keys[-1])} AS weight
+                     FROM (SELECT {', '.join(keys)}, 2 * sum(tokens)::BIGINT AS lim FROM leaves GROUP BY ALL) x {budget})""",
+                 f"""shared{i} AS (SELECT *, (due - coalesce(sum(lim) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                       / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS per
+                     FROM nodes{i} WINDOW w AS ({part} ORDER BY lim / weight, {', '.join(keys)}))""",
+                 f"""due{i} AS (SELECT {', '.join(keys)}, floor(least(lim::DOUBLE, greatest(max(per) OVER ({part}), 0) * weight)
+                       + 1e-6)::BIGINT AS due FROM shared{i})"""]
+    return f"""
+WITH {', '.join(ctes)},
+budgets AS (SELECT k1, k2, k3, CASE WHEN tokens > 0 THEN due // tokens ELSE 0 END AS epochs,
+                   CASE WHEN tokens > 0 THEN due % tokens ELSE 0 END AS rest FROM leaves JOIN due3 USING (k1, k2, k3)),
+drawn AS (SELECT docs.*, epochs, rest, ('0x' || md5('20:' || epochs || ':' || doc_id)[1:15])::BIGINT AS h
+          FROM docs JOIN budgets USING (k1, k2, k3)),
+placed AS (SELECT *, rest > 0 AND sum(n) OVER (PARTITION BY k1, k2, k3 ORDER BY h, doc_id) <= rest AS more FROM drawn)
+SELECT doc_id, k1 AS domain, k2 AS lang, k3 AS source, unnest(range(0, (epochs + more::INT)::BIGINT))::INTEGER AS epoch, n AS n_tokens
+FROM placed
+"""
+
+
+ORACLES = {
+    "op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op4_suffix_dedup": OP4_SUFFIX_DEDUP, "op6_minmax_dedup": OP6_MINMAX_DEDUP,
+    "op7_mixing": _mixing(), "op10_line_dedup": OP10_LINE_DEDUP,
+}
