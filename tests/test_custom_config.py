@@ -26,7 +26,7 @@ def custom():
                             repricing=(("Elite", 0.2),))
 
 
-@pytest.mark.parametrize("method", ["auto", "cutoff"])
+@pytest.mark.parametrize("method", ["branches", "cutoff"])
 def test_reports_match_oracle_with_custom_ladder(spark, custom, method):
     import oracle_check as OC
     from oracle_queries import oracle_sql

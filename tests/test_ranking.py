@@ -37,16 +37,15 @@ def test_bucketed_row_number_equals_window(spark, values, flags, buckets):
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=ids, flags=st.lists(st.booleans(), min_size=1, max_size=4), buckets=st.integers(2, 9),
-       ks=st.lists(st.integers(0, 25), min_size=6, max_size=6), max_slice=st.integers(1, 8))
-def test_k_smallest_equals_window_cut(spark, values, flags, buckets, ks, max_slice):
+       ks=st.lists(st.integers(0, 25), min_size=6, max_size=6))
+def test_k_smallest_equals_window_cut(spark, values, flags, buckets, ks):
     df = _frame(spark, _layout(values, flags))
     keys = [(g, s) for g in "abc" for s in (True, False)]
     limits = spark.createDataFrame([(g, s, k) for (g, s), k in zip(keys, ks)], "g string, s boolean, k bigint")
     w = Window.partitionBy("g", "s").orderBy("id")
     want = {(r.g, r.s, r.id) for r in df.withColumn("rn", F.row_number().over(w))
             .join(limits, ["g", "s"]).where("rn <= k").collect()}
-    got = {(r.g, r.s, r.id) for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", buckets,
-                                                          max_slice=max_slice).collect()}
+    got = {(r.g, r.s, r.id) for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", buckets).collect()}
     assert got == want
 
 
@@ -55,7 +54,7 @@ def test_dense_and_sparse_ids_one_group(spark):
     vals = list(range(1000, 1400)) + [10**9 + 7919 * i for i in range(800)]
     df = spark.createDataFrame([("x", True, v) for v in vals], SCHEMA)
     limits = spark.createDataFrame([("x", True, 650)], "g string, s boolean, k bigint")
-    got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 16, max_slice=8).collect())
+    got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 16).collect())
     assert got == sorted(vals)[:650]
 
 
@@ -66,7 +65,7 @@ def test_extreme_id_range_no_overflow(spark):
     got = sorted((r.id, r.rn) for r in bucketed_row_number(df, ["g", "s"], "id", 4).collect())
     assert got == [(v, i + 1) for i, v in enumerate(sorted(vals))]
     limits = spark.createDataFrame([("x", True, 5)], "g string, s boolean, k bigint")
-    kept = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 4, max_slice=2).collect())
+    kept = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 4).collect())
     assert kept == sorted(vals)[:5]
 
 
@@ -76,11 +75,10 @@ def test_dense_cluster_is_split_by_levels(spark):
     from tierlift.operators.ranking import kth_smallest_per_group
     vals = list(range(5_000, 5_300)) + [10**15 + 10**12 * i for i in range(600)]
     df = spark.createDataFrame([("x", True, v) for v in vals], SCHEMA)
-    assert kth_smallest_per_group(df, ["g", "s"], "id", {("x", True): 150}, 8, max_slice=16) == {
-        ("x", True): sorted(vals)[149]}
+    assert kth_smallest_per_group(df, ["g", "s"], "id", {("x", True): 150}, 8) == {
+        ("x", True): (sorted(vals)[149], 149, 1)}
     limits = spark.createDataFrame([("x", True, 150)], "g string, s boolean, k bigint")
-    got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 8,
-                                                    max_slice=16).collect())
+    got = sorted(r.id for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 8).collect())
     assert got == sorted(vals)[:150]
 
 
@@ -93,3 +91,47 @@ def test_row_number_equi_depth_with_clustered_ids(spark):
         ids_ = sorted(v for i, v in enumerate(vals) if (i % 2 == 0) == flag)
         want |= {(flag, v, k + 1) for k, v in enumerate(ids_)}
     assert got == want
+
+
+repeated = st.lists(st.integers(min_value=-4, max_value=6), min_size=1, max_size=80)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=repeated, flags=st.lists(st.sampled_from([True, False, None]), min_size=1, max_size=4),
+       buckets=st.integers(2, 9), k=st.integers(0, 40))
+def test_repeated_ids_give_exactly_k_rows(spark, values, flags, buckets, k):
+    df = _frame(spark, _layout(values, flags)).where("s IS NOT NULL")
+    limits = df.select("g", "s").distinct().selectExpr("g", "s", f"CAST({k} AS BIGINT) AS k")
+    w = Window.partitionBy("g", "s").orderBy("id")
+    want = sorted((r.g, r.s, r.id) for r in df.withColumn("rn", F.row_number().over(w)).where(f"rn <= {k}").collect())
+    got = sorted((r.g, r.s, r.id) for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", buckets).collect())
+    assert got == want
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(None, None, v) for v in range(50)] + [("a", None, v) for v in range(30)] + [(None, True, 5)]
+    df = _frame(spark, rows)
+    got = {(r.g, r.s, r.id): r.rn for r in bucketed_row_number(df, ["g", "s"], "id", 6).collect()}
+    assert got == {(g, s, v): (1 if s else v + 1) for g, s, v in rows}
+    limits = spark.createDataFrame([(None, None, 3), ("a", None, 2)], "g string, s boolean, k bigint")
+    kept = sorted((r.g or "", r.id) for r in k_smallest_per_group(df, ["g", "s"], "id", limits, "k", 4).collect())
+    assert kept == [("", 0), ("", 1), ("", 2), ("a", 0), ("a", 1)]
+
+
+def test_row_number_of_a_million_rows_with_payload(spark):
+    """Range bounds are sampled: the ranges must be assigned once, with an extra
+    column kept and without the exchange being reused."""
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = (spark.range(0, 1_000_000, 1, 8).selectExpr(
+            "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 < 3 THEN 'a' ELSE 'b' END AS g", "id % 2 = 0 AS s",
+            "(id * 7919) % 1000003 AS id", "concat('payload ', id) AS payload"))
+        w = Window.partitionBy("g", "s").orderBy("id")
+        want = df.withColumn("rn", F.row_number().over(w).cast("bigint"))
+        got = bucketed_row_number(df, ["g", "s"], "id", 16)
+        assert got.columns == [*df.columns, "rn"] and got.count() == 1_000_000
+        mark = lambda d: d.agg(F.sum(F.xxhash64("g", "s", "id", "payload", "rn").cast("decimal(38,0)"))).first()[0]
+        assert mark(got) == mark(want)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)

@@ -1,41 +1,95 @@
 """Run all eight analyses and write one headed CSV per report.
 
     python -m tierlift --users PATH --transactions PATH --out DIR [--format csv]
+        [--user-columns source=user_id,...] [--transaction-columns source=txn_id,...]
+        [--pre FROM:TO] [--launch DATE] [--post FROM:TO] [--coupon-prefix TEXT]
+        [--referral-label TEXT] [--tiers FILE]
     python -m tierlift --tpch /root/testdata/sf0.1 --out DIR [--grain line]
 
-On a cluster, run it through ``spark-submit`` with the package on the Python
-path; master, ``spark.checkpoint.dir`` and partition settings come from the
-submitting environment.
+Dates are ISO dates, windows are closed on both ends.  ``--tiers`` names a JSON
+list of objects with the fields ``name, control_label, min_orders, max_orders,
+discount_rate, sort_order``.  On a cluster, run it through ``spark-submit`` with
+the package on the Python path; master, ``spark.checkpoint.dir`` and partition
+settings come from the submitting environment.
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import json
 import sys
 
 from pyspark.sql import SparkSession
 
-from .config import DEFAULT_CONFIG
+from .config import DEFAULT_CONFIG, ExperimentConfig, Tier
 from .plans.experiment import Experiment
 from .sources.readers import read_transactions, read_users
 
 
-def main(argv: list[str] | None = None) -> int:
+def _columns(text: str) -> dict[str, str]:
+    pairs = [p.split("=", 1) for p in text.split(",") if p]
+    if any(len(p) != 2 for p in pairs):
+        raise argparse.ArgumentTypeError(f"not a list of source=name: {text!r}")
+    return {a.strip(): b.strip() for a, b in pairs}
+
+
+def _window(text: str) -> tuple[dt.date, dt.date]:
+    first, _, last = text.partition(":")
+    return dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+
+
+def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="tierlift", description=__doc__.splitlines()[0])
     ap.add_argument("--users")
     ap.add_argument("--transactions")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    ap.add_argument("--user-columns", type=_columns, default={}, help="source=name,... of the users table")
+    ap.add_argument("--transaction-columns", type=_columns, default={}, help="source=name,... of the transactions table")
+    ap.add_argument("--pre", type=_window, help="pre-launch window, FROM:TO")
+    ap.add_argument("--launch", type=dt.date.fromisoformat, help="users registered before this day are eligible")
+    ap.add_argument("--post", type=_window, help="post-launch window, FROM:TO")
+    ap.add_argument("--coupon-prefix", help="prefix of referral codes")
+    ap.add_argument("--referral-label", help="name of the referral class in reports")
+    ap.add_argument("--tiers", help="JSON file with the tier ladder")
     ap.add_argument("--tpch", help="derive users/transactions from a star-schema directory")
     ap.add_argument("--grain", default="order", choices=["order", "line"])
     ap.add_argument("--out", required=True)
+    return ap
+
+
+def config_of(args: argparse.Namespace) -> ExperimentConfig:
+    """The default configuration with what the arguments replace."""
+    changes: dict = {}
+    if args.pre:
+        changes["pre_start"], changes["pre_end"] = args.pre
+    if args.post:
+        changes["post_start"], changes["post_end"] = args.post
+    if args.launch:
+        changes["launch"] = args.launch
+    if args.coupon_prefix:
+        changes["coupon_prefix"] = args.coupon_prefix
+    if args.referral_label:
+        changes["referral_label"] = args.referral_label
+    if args.tiers:
+        with open(args.tiers, encoding="utf-8") as f:
+            changes["tiers"] = tuple(Tier(**t) for t in json.load(f))
+        names = {t.name for t in changes["tiers"]}
+        changes["repricing"] = tuple(r for r in DEFAULT_CONFIG.repricing if r[0] in names)
+    return DEFAULT_CONFIG.with_(**changes)
+
+
+def main(argv: list[str] | None = None) -> int:
+    ap = parser()
     args = ap.parse_args(argv)
+    cfg = config_of(args)
     spark = SparkSession.builder.appName("tierlift").getOrCreate()
     if args.tpch:
-        ex = Experiment.from_tpch(spark, args.tpch, DEFAULT_CONFIG, grain=args.grain, materialize=True)
+        ex = Experiment.from_tpch(spark, args.tpch, cfg, grain=args.grain, materialize=True)
     elif args.users and args.transactions:
-        ex = Experiment(read_users(spark, args.users, args.format),
-                        read_transactions(spark, args.transactions, args.format),
-                        DEFAULT_CONFIG, materialize=True)
+        ex = Experiment(read_users(spark, args.users, args.format, args.user_columns),
+                        read_transactions(spark, args.transactions, args.format, args.transaction_columns),
+                        cfg, materialize=True)
     else:
         ap.error("give --tpch, or --users and --transactions")
     for name, path in ex.write_reports(args.out).items():

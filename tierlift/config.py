@@ -8,7 +8,21 @@ original scripts hard-coded lives here instead.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+from decimal import Decimal
+
+
+#: Digits after the point that rates, multipliers and increments may have.
+RATE_DIGITS = 8
+
+
+def exact(value: float | int | str | Decimal, digits: int) -> str:
+    """``value`` as the decimal number it was written as; an error if that has
+    more than ``digits`` digits after the point (nothing is rounded)."""
+    number = Decimal(str(value))
+    if not number.is_finite() or -number.normalize().as_tuple().exponent > digits:
+        raise ValueError(f"{value} needs more than {digits} digits after the point")
+    return f"{number:f}"
 
 
 @dataclass(frozen=True)
@@ -89,7 +103,6 @@ class ExperimentConfig:
     # Repricing what-if used by the projection (tier -> new discount rate).
     repricing: tuple[tuple[str, float], ...] = (("Platinum", 0.15),)
     min_referrals: int = 3
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self):
         if not self.tiers:
@@ -103,8 +116,15 @@ class ExperimentConfig:
             raise ValueError("tier ladder larger than 64 rungs is not supported")
         if not 2 <= self.balance_buckets <= 65536:
             raise ValueError("balance_buckets must be in [2, 65536]")
-        if any(not 0 <= t.discount_rate < 1 for t in self.tiers):
+        if any(not 0 <= r < 1 for r in [*(t.discount_rate for t in self.tiers), *(r for _, r in self.repricing)]):
             raise ValueError("discount rates must be in [0, 1)")
+        for t in self.tiers:
+            exact(t.discount_rate, RATE_DIGITS)
+        for _, rate in self.repricing:
+            exact(rate, RATE_DIGITS)
+        for s in self.scenarios:
+            for number in (s.gross_multiplier, s.gross_increment, s.cost_multiplier):
+                exact(number, RATE_DIGITS)
         if self.pre_start > self.pre_end or self.post_start > self.post_end:
             raise ValueError("empty date window")
 

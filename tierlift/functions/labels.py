@@ -12,7 +12,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CONTROL, NO_COUPON, OTHER_COUPON, TREATMENT, ExperimentConfig
+from ..config import (CONTROL, NO_COUPON, OTHER_COUPON, RATE_DIGITS, TREATMENT, ExperimentConfig, exact)
+
+#: Type of discount rates.
+RATE = f"decimal({RATE_DIGITS + 2},{RATE_DIGITS})"
 
 
 def q(name: str) -> str:
@@ -59,17 +62,6 @@ def is_control(is_member: str = "is_member") -> Column:
     return F.expr(f"{q(is_member)} IS FALSE")
 
 
-def control_label(n_orders: str, cfg: ExperimentConfig) -> Column:
-    """Raw control label of a non-member from the pre-window order count;
-    NULL below the lowest rung."""
-    return F.expr(ladder_sql(q(n_orders), cfg, "control_label"))
-
-
-def display_tier_of_control(n_orders: str, cfg: ExperimentConfig) -> Column:
-    """Treatment-side tier name the control label maps to."""
-    return F.expr(ladder_sql(q(n_orders), cfg, "name"))
-
-
 def tier_case(col: str, mapping: dict, default=None) -> Column:
     """Simple CASE: value -> literal, unlisted -> ``default`` (NULL)."""
     return F.expr(case_sql(q(col), mapping, lit(default)))
@@ -82,12 +74,12 @@ def tier_sort_order(tier: str, cfg: ExperimentConfig) -> Column:
 def discount_rate_sql(tier: str, cfg: ExperimentConfig, overrides: dict | None = None) -> str:
     rates = {t.name: t.discount_rate for t in cfg.tiers}
     rates.update(overrides or {})
-    whens = " ".join(f"WHEN {q(tier)} = {lit(k)} THEN {v:.4f}BD" for k, v in rates.items())
-    return f"CAST(CASE {whens} ELSE 0BD END AS DECIMAL(10,4))"
+    whens = " ".join(f"WHEN {q(tier)} = {lit(k)} THEN {exact(v, RATE_DIGITS)}BD" for k, v in rates.items())
+    return f"CAST(CASE {whens} ELSE 0BD END AS {RATE})"
 
 
 def discount_rate(tier: str, cfg: ExperimentConfig, overrides: dict | None = None) -> Column:
-    """Rate per display tier as DECIMAL(10,4); 0 for unlisted tiers."""
+    """Rate per display tier, exactly as configured; 0 for unlisted tiers."""
     return F.expr(discount_rate_sql(tier, cfg, overrides))
 
 
@@ -116,6 +108,6 @@ def coupon_class_label(code: str, cfg: ExperimentConfig) -> Column:
 
 def referrer_id(coupon: str, cfg: ExperimentConfig) -> Column:
     """Referrer id parsed from ``<prefix><digits>``; NULL when malformed."""
-    pattern = "^" + re.escape(cfg.coupon_prefix) + r"([0-9]{1,18})$"
-    digits = F.regexp_extract(F.col(coupon), pattern, 1)
-    return F.when(digits != F.lit(""), digits.cast("bigint"))
+    pattern = "^" + re.escape(cfg.coupon_prefix) + r"([0-9]+)$"
+    # No digits, or more than a BIGINT holds: NULL.
+    return F.regexp_extract(F.col(coupon), pattern, 1).try_cast("bigint")

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 WORK_DECIMAL = "decimal(38,6)"
 
 
-def as_work_decimal(c: Column) -> Column:
-    return c.cast(WORK_DECIMAL)
-
-
 def exact_round(c: Column, digits: int) -> Column:
     """``ROUND(CAST(c AS DECIMAL(38,6)), digits)`` as DOUBLE."""
     return F.round(c.cast(WORK_DECIMAL), digits).cast("double")
@@ -32,8 +28,3 @@ def pct(part: Column, whole: Column, digits: int) -> Column:
     """``round(100 * part / whole, digits)``; NULL when ``whole`` is 0."""
     return exact_round(F.try_divide(part.cast("decimal(38,0)") * F.lit(100), whole.cast("decimal(38,0)")),
                        digits)
-
-
-def ratio(num: Column, den: Column) -> Column:
-    """Decimal quotient, NULL on a zero divisor (ANSI-safe)."""
-    return F.try_divide(num.cast(WORK_DECIMAL), den.cast(WORK_DECIMAL))

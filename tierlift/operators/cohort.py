@@ -104,12 +104,6 @@ def _limits(targets: DataFrame) -> DataFrame:
              .unionByName(t.withColumn("is_member", F.lit(False))))
 
 
-# Largest (tier, side) group that may be ranked by one window task.  A single
-# task sorts a few million (id, tier, flag) rows in well under a second; above
-# that the cutoff (distributed k-th-id selection) avoids sorting rows at all.
-WINDOW_MAX_GROUP_ROWS = 2_000_000
-
-
 def side_count_metrics(cfg: ExperimentConfig = DEFAULT_CONFIG) -> list:
     """Aggregate expressions counting eligible users per (tier, side), for
     ``DataFrame.observe``: the counts are gathered during an action that runs
@@ -150,61 +144,49 @@ def targets_from_side_counts(metrics: dict, cfg: ExperimentConfig = DEFAULT_CONF
 
 def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
                    method: str = "cutoff", side_counts: dict | None = None) -> DataFrame:
-    """Eligible columns + ``group_type`` for the matched cohort.
-
-    ``method='cutoff'`` (for scale): distributed selection of each group's
-    k-th smallest id (id-range histograms narrowed level by level, one
-    ``ROW_NUMBER`` over the final small slice), then a narrow
-    ``id <= threshold`` filter against the broadcast thresholds.
-    ``method='window'``: one ``ROW_NUMBER`` window over (tier, side) joined to
-    the broadcast targets; one window task per group, so only for groups that
-    fit one task.
-    ``method='branches'``: the analysed scripts' shape (treatment and control
-    ranked separately, cut, then ``UNION ALL``); same rows as 'window'.
-    ``method='auto'``: takes the per-(tier, side) counts (``side_counts``
-    observed while the eligible frame was materialised, or else one collect
-    of at most ``len(cfg.tiers)`` rows), then 'window' if the largest group
-    has at most ``WINDOW_MAX_GROUP_ROWS`` rows, else 'cutoff'; the targets
-    are reused as a literal broadcast relation."""
+    """Eligible columns + ``group_type`` for the matched cohort: per (tier,
+    side) exactly ``target_n`` rows, those with the lowest ids.
+
+    ``method='cutoff'`` (the one every report uses): distributed selection of
+    each group's k-th smallest id, then a narrow filter against the broadcast
+    thresholds.  ``method='branches'``: the same cut on each side by itself,
+    then ``UNION ALL`` of both, the shape of the analysed scripts.
+    ``method='window'``: one ``ROW_NUMBER`` window over (tier, side), a
+    reference for tests; a whole group is one window task.
+
+    ``side_counts`` are the per-(tier, side) counts and id ranges observed while
+    the eligible frame was written; without them they are aggregated here."""
     base = _sampleable(eligible, cfg)
-    if method == "auto" or side_counts is not None:
-        if side_counts is not None:
-            rows = targets_from_side_counts(side_counts, cfg)
-        else:
-            rows = [tuple(r) for r in target_counts(eligible, cfg).collect()]  # <= len(cfg.tiers) rows
-        if method == "auto":
-            largest = max((max(r[1], r[2]) for r in rows), default=0)
-            method = "window" if largest <= WINDOW_MAX_GROUP_ROWS else "cutoff"
-        targets = F.broadcast(eligible.sparkSession.createDataFrame(
-            [(r[0], r[3]) for r in rows], "tier string, target_n bigint"))
+    spark = eligible.sparkSession
+    if side_counts is not None:
+        rows = [(r[0], r[3]) for r in targets_from_side_counts(side_counts, cfg)]
     else:
-        # target_counts has at most len(cfg.tiers) rows: broadcast is bounded.
-        targets = F.broadcast(target_counts(eligible, cfg).select("tier", "target_n"))
-    if method == "cutoff":
+        rows = [(r["tier"], r["target_n"]) for r in target_counts(eligible, cfg).collect()]  # <= tiers rows
+    targets = spark.createDataFrame(rows, "tier string, target_n bigint")
+    if method in ("cutoff", "branches"):
         ranges = None
-        if side_counts is not None and "t0_lo" in side_counts:
-            ranges = eligible.sparkSession.createDataFrame(
-                group_ranges_from_side_counts(side_counts, cfg),
-                "tier string, is_member boolean, lo bigint, hi bigint")
-        kept = k_smallest_per_group(base, COHORT_KEYS, "user_id", _limits(targets), "target_n",
-                                    cfg.balance_buckets, ranges=ranges)
+        if side_counts is not None:
+            ranges = spark.createDataFrame(group_ranges_from_side_counts(side_counts, cfg),
+                                           "tier string, is_member boolean, lo bigint, hi bigint")
+
+        def cut(side: DataFrame, limits: DataFrame, known: DataFrame | None) -> DataFrame:
+            return k_smallest_per_group(side, COHORT_KEYS, "user_id", limits, "target_n", cfg.balance_buckets, known)
+
+        limits = _limits(targets)
+        if method == "cutoff":
+            kept = cut(base, limits, ranges)
+        else:
+            sides = []
+            for flag in (True, False):
+                mine = F.col("is_member") == F.lit(flag)
+                sides.append(cut(base.where(mine), limits.where(mine), None if ranges is None else ranges.where(mine)))
+            kept = sides[0].unionByName(sides[1])
     elif method == "window":
         w = Window.partitionBy(*COHORT_KEYS).orderBy("user_id")
-        kept = (base.join(targets, on="tier", how="inner")
+        kept = (base.join(F.broadcast(targets), on="tier", how="inner")
                     .withColumn("_rn", F.row_number().over(w))
                     .where(F.col("_rn") <= F.col("target_n"))
                     .drop("_rn", "target_n"))
-    elif method == "branches":
-        w = Window.partitionBy("tier").orderBy("user_id")
-        sides = []
-        for flag in (True, False):
-            side = (base.where(F.col("is_member") == F.lit(flag))
-                        .withColumn("_rn", F.row_number().over(w))
-                        .join(targets, on="tier", how="inner")
-                        .where(F.col("_rn") <= F.col("target_n"))
-                        .drop("_rn", "target_n"))
-            sides.append(side)
-        kept = sides[0].unionByName(sides[1])
     else:
         raise ValueError(f"unknown balancing method {method!r}")
     return kept.withColumn("group_type", L.group_type("is_member"))

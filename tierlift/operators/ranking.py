@@ -3,170 +3,139 @@
 ``row_number() over (partition by g order by id)`` puts every row of a group in
 one task.  With a handful of groups (tiers x sides) and one group holding a
 third of all users, that is a single-task sort of a third of the table.  Both
-operators below give the *same* answer while sorting only small slices.
+operators below give the same answer while sorting only small slices.
 
-``k_smallest_per_group`` (the balancing cut) is a distributed selection: it
-finds each group's k-th smallest id and keeps ``id <= threshold``.
+``k_smallest_per_group`` (the balancing cut) is a distributed selection of each
+group's k-th smallest id:
 
-1. per group, ``min``/``max`` of the (integral, unique) order key fix a width
-   ``w = (max - min) / B + 1`` and a monotone bucket ``floor(id / w)``;
+1. ids are bucketed by their high bits, ``id >> shift``: monotone over the whole
+   BIGINT range, with no overflow;
 2. a histogram ``count(*)`` per (group, bucket) is an ordinary partial/final
-   aggregate (map-side combine, at most ``groups x (B + 1)`` rows out), from
-   which the driver reads the bucket holding the k-th id;
-3. only that bucket stays in play, ``B`` times finer, until it holds at most
-   ``max_slice`` rows (a bucket of width ``w`` holds at most ``w`` unique
-   ids, so a dense block with a third of the rows is split by the finer
-   levels, and the loop ends after ``log_B(span)`` levels at worst);
-4. one ``ROW_NUMBER`` over that small slice gives the exact threshold, and
-   the cohort is a narrow filter against a broadcast of the thresholds.
-
-``bucketed_row_number`` must rank *every* row, so it uses equi-depth buckets
-instead: ``repartitionByRange`` samples the (group, id) distribution and cuts
-it into ``P`` ranges of about equal size; a window partitioned by (group,
-range) then never holds more than about ``n / P`` rows, and a broadcast of
-per-range offsets (``<= P + groups`` rows) turns local ranks into global ones.
-
-Every broadcast relation here is bounded by ``groups x (B + 1)`` or
-``P + groups`` rows; callers bound ``groups`` by the configured tier ladder.
+   aggregate, from which the driver reads the bucket holding the k-th id;
+3. that bucket alone stays in play, ``2 ** bits`` times finer, until a bucket is
+   one id: the threshold ``t``, together with the number of rows below it;
+4. rows with ``id < t`` are kept by a filter against a broadcast of the
+   thresholds.  Of the rows with ``id = t`` (one, where ids are a key) as many
+   are kept as are still needed.
+
+``bucketed_row_number`` must rank *every* row, so it uses equi-depth ranges:
+``repartitionByRange`` samples the (group, id) distribution, the range of each
+row is written down once, and a window partitioned by (group, range) plus a
+broadcast of per-range offsets (``<= P + groups`` rows) gives the global rank.
+
+Callers bound ``groups`` by the configured tier ladder.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_W, _B, _CNT, _OFF = "_rk_w", "_rk_bucket", "_rk_cnt", "_rk_off"
+from ..session import materialize
 
-# Largest boundary slice the selection ranks with one ROW_NUMBER per group.
-MAX_RANKED_SLICE = 1 << 20
+_B, _CNT, _OFF = "_rk_bucket", "_rk_cnt", "_rk_off"
 
 
-def _bucket(order_col: str) -> Column:
-    """Monotone non-decreasing in the id: DOUBLE division by a positive width
-    and ``floor`` preserve order (no BIGINT overflow for any id range)."""
-    return F.floor(F.col(order_col).cast("double") / F.col(_W))
+def _is(groups: list[str], values: tuple) -> Column:
+    cond = F.lit(True)
+    for col, val in zip(groups, values):
+        cond = cond & F.col(col).eqNullSafe(F.lit(val))
+    return cond
 
 
-def _histogram(bucketed: DataFrame, groups: list[str]) -> DataFrame:
-    """Per (group, bucket): count and the number of rows in earlier buckets."""
-    w = (Window.partitionBy(*groups).orderBy(_B)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (bucketed.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT))
-            .withColumn(_OFF, F.sum(_CNT).over(w) - F.col(_CNT)))
+def _same(left: DataFrame, right: DataFrame, groups: list[str]) -> Column:
+    """Null-safe equality of the grouping columns."""
+    cond = F.lit(True)
+    for g in groups:
+        cond = cond & left[g].eqNullSafe(right[g])
+    return cond
 
 
 def kth_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, k: dict,
-                           buckets: int = 1024, ranges: dict | None = None,
-                           max_slice: int = MAX_RANKED_SLICE) -> dict:
-    """Per group, the ``k[group]``-th smallest value of ``order_col`` (unique
-    integers), found by distributed selection.
-
-    Each level is one histogram job over the rows still in play: ``count(*)``
-    per (group, bucket) with ``bucket = floor(id / w)``, a partial/final
-    aggregate whose result has at most ``groups x (B + 1)`` rows.  From it the
-    driver reads which bucket holds the k-th id and how many ids precede that
-    bucket.  The next level keeps only that bucket, ``B`` times finer.  Once
-    the boundary bucket has at most ``max_slice`` rows (or its width is 1),
-    one ``ROW_NUMBER`` over that slice alone returns the exact value.
+                           buckets: int = 1024, ranges: dict | None = None) -> dict:
+    """Per group ``(value, below, equal)``: the ``k[group]``-th smallest value of
+    the integral ``order_col``, the number of rows below it and equal to it.
 
     Keys of ``k`` / ``ranges`` are tuples of group values; ``ranges`` maps a
     group to known ``(lo, hi)`` (else one min/max aggregate).  Groups with
-    ``k >= size`` map to ``None`` (keep all), ``k <= 0`` to ``-inf``
-    semantics via a missing key (keep none)."""
+    ``k`` above their size map to ``None`` (keep all); groups with ``k <= 0``
+    or without rows are absent (keep none).  Every level is one aggregate; at
+    most ``groups x (buckets + 1)`` counts reach the driver."""
     if not groups:
         raise ValueError("at least one grouping column is required")
     key_of = lambda r: tuple(r[g] for g in groups)
     if ranges is None:
         ranges = {key_of(r): (r["lo"], r["hi"]) for r in
                   df.groupBy(*groups).agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).collect()}
-    # group -> (width, still needed, filter on this group's rows in play)
-    state = {}
+    bits = max(1, buckets.bit_length() - 1)
+    # group -> (shift, still needed, rows below, bucket in play at the last shift)
+    state: dict = {}
     for g, need in k.items():
-        if g not in ranges or need is None or need <= 0:
-            continue
-        lo, hi = ranges[g]
-        state[g] = (math.floor((float(hi) - float(lo)) / buckets) + 1.0, int(need), [])
+        if need is not None and need > 0 and g in ranges and ranges[g][0] is not None:
+            span = int(ranges[g][1]) - int(ranges[g][0])
+            state[g] = (max(0, span.bit_length() - bits), int(need), 0, None)
     result: dict = {}
-    spark = df.sparkSession
-    match_schema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
-
-    def in_play(st: dict) -> DataFrame:
-        """Rows of the groups in ``st`` that lie in their current boundary slice."""
-        cond = None
-        for g, (_, _, path) in st.items():
-            c = F.lit(True)
-            for col, val in zip(groups, g):
-                c = c & (F.col(col) == F.lit(val))
-            for w, b in path:  # same bucket expression as the level that chose it
-                c = c & (F.floor(F.col(order_col).cast("double") / F.lit(w)) == F.lit(b))
-            cond = c if cond is None else cond | c
-        return df.where(cond)
-
     while state:
-        widths = spark.createDataFrame([(*g, w) for g, (w, _, _) in state.items()], f"{match_schema}, {_W} double")
-        hist = (in_play(state).join(F.broadcast(widths), on=groups, how="inner")
-                .withColumn(_B, _bucket(order_col))
-                .groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT))).collect()
+        shift, cond = F.lit(None).cast("int"), F.lit(False)
+        for g, (s, _, _, path) in state.items():
+            mine = _is(groups, g)
+            shift = F.when(mine, F.lit(s)).otherwise(shift)
+            if path is not None:
+                mine = mine & (F.shiftright(order_col, path[0]) == F.lit(path[1]))
+            cond = cond | mine
+        hist = (df.where(cond).select(*groups, F.call_function("shiftright", F.col(order_col), shift).alias(_B))
+                  .groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT)).collect())
         per_group: dict = {}
         for r in hist:
             per_group.setdefault(key_of(r), []).append((r[_B], r[_CNT]))
-        nxt, slices = {}, {}
-        for g, (w, need, path) in state.items():
-            seen = 0
-            total = sum(c for _, c in per_group.get(g, []))
-            if need > total:          # fewer rows than asked: keep the whole group
+        following: dict = {}
+        for g, (s, need, below, _) in state.items():
+            seen, counts = 0, sorted(per_group.get(g, []))
+            if need > sum(c for _, c in counts):  # fewer rows than asked: keep the whole group
                 result[g] = None
                 continue
-            for b, c in sorted(per_group[g]):
+            for b, c in counts:
                 if seen + c >= need:
-                    new_path = path + [(w, b)]
-                    if c <= max_slice or w <= 1.0:
-                        slices[g] = (need - seen, new_path)
+                    if s == 0:
+                        result[g] = (b, below + seen, c)
                     else:
-                        nxt[g] = (max(w / buckets, 1.0), need - seen, new_path)
+                        following[g] = (max(0, s - bits), need - seen, below + seen, (s, b))
                     break
                 seen += c
-        if slices:
-            ranked = (in_play({g: (0.0, 0, p) for g, (_, p) in slices.items()})
-                      .withColumn("_rk_rn", F.row_number().over(Window.partitionBy(*groups).orderBy(order_col))))
-            wanted = spark.createDataFrame([(*g, r) for g, (r, _) in slices.items()],
-                                           f"{match_schema}, _rk_need bigint")
-            for r in (ranked.join(F.broadcast(wanted), on=groups, how="inner")
-                            .where(F.col("_rk_rn") == F.col("_rk_need")).select(*groups, order_col).collect()):
-                result[key_of(r)] = r[order_col]
-        state = nxt
+        state = following
     return result
 
 
-def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str,
-                         limits: DataFrame, limit_col: str, buckets: int = 1024,
-                         ranges: DataFrame | None = None, max_slice: int = MAX_RANKED_SLICE) -> DataFrame:
-    """Rows of ``df`` whose rank by ``order_col`` inside their group is
-    ``<= limits[limit_col]`` of that group (groups absent from ``limits`` are
-    dropped).  Same rows as ``row_number() ... <= k`` joined to ``limits``
-    for unique ids.
+def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, limits: DataFrame, limit_col: str,
+                         buckets: int = 1024, ranges: DataFrame | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``row_number()`` by ``order_col`` inside their group
+    is ``<= limits[limit_col]`` of that group (groups absent from ``limits`` are
+    dropped); exactly that many rows, also where ids repeat.
 
-    The k-th smallest id per group comes from :func:`kth_smallest_per_group`
-    (distributed histogram selection; the driver sees at most
-    ``groups x (B + 1)`` counts per level).  The result is then a narrow
-    filter ``id <= threshold`` against a broadcast table of at most
-    ``groups`` thresholds: no sort and no shuffle of the rows themselves.
+    The result is a narrow filter against a broadcast of at most ``groups``
+    thresholds: no sort and no shuffle of the rows.  Only if a threshold id has
+    more rows than are needed are the rows of that one id numbered.
     ``limits`` (at most one row per group) and ``ranges`` (``groups, lo, hi``)
     are small relations and are collected."""
     key_of = lambda r: tuple(r[g] for g in groups)
     k = {key_of(r): r[limit_col] for r in limits.collect()}
     known = None if ranges is None else {key_of(r): (r["lo"], r["hi"]) for r in ranges.collect()}
-    cut = kth_smallest_per_group(df, groups, order_col, k, buckets, known, max_slice)
-    rows = [(*g, cut.get(g), g in cut and cut[g] is None) for g, need in k.items()
-            if need is not None and need > 0 and g in cut]
+    cut = kth_smallest_per_group(df, groups, order_col, k, buckets, known)
+    # group, threshold (null: keep all), rows of the threshold id to keep (null: all of them)
+    rows = [(*g, None, None) if c is None else (*g, c[0], None if k[g] - c[1] >= c[2] else k[g] - c[1])
+            for g, c in cut.items()]
     schema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
-    thresholds = df.sparkSession.createDataFrame(
-        rows, f"{schema}, _rk_t {df.schema[order_col].dataType.simpleString()}, _rk_all boolean")
-    return (df.join(F.broadcast(thresholds), on=groups, how="inner")
-              .where(F.col("_rk_all") | (F.col(order_col) <= F.col("_rk_t")))
-              .drop("_rk_t", "_rk_all"))
+    thresholds = F.broadcast(df.sparkSession.createDataFrame(
+        rows, f"{schema}, _rk_t {df.schema[order_col].dataType.simpleString()}, _rk_need bigint"))
+    both = df.join(thresholds, _same(df, thresholds, groups)).select(df["*"], "_rk_t", "_rk_need")
+    under = F.col("_rk_t").isNull() | (F.col(order_col) < F.col("_rk_t"))
+    at = F.col(order_col) == F.col("_rk_t")
+    kept = both.where(under | (at & F.col("_rk_need").isNull()))
+    if any(r[-1] is not None for r in rows):
+        w = Window.partitionBy(*groups).orderBy(order_col)
+        tied = both.where(at & F.col("_rk_need").isNotNull()).withColumn("_rk_rn", F.row_number().over(w))
+        kept = kept.unionByName(tied.where(F.col("_rk_rn") <= F.col("_rk_need")).drop("_rk_rn"))
+    return kept.drop("_rk_t", "_rk_need")
 
 
 def bucketed_row_number(df: DataFrame, groups: list[str], order_col: str,
@@ -174,19 +143,25 @@ def bucketed_row_number(df: DataFrame, groups: list[str], order_col: str,
     """``df`` plus ``out`` = ``row_number() over (partition by groups order by
     order_col)`` (BIGINT), computed as range offset + rank inside the range.
 
-    Ranges are equi-depth: ``repartitionByRange`` samples the (group, id)
-    distribution, so no window task holds more than about ``rows / P`` rows
-    (``P = buckets``, or ``spark.sql.shuffle.partitions`` when ``None``, which
-    AQE may coalesce; coalescing merges adjacent ranges only, so range ids
-    stay ordered).  With duplicate keys the tie order is as arbitrary as in
-    the plain window."""
+    Ranges are equi-depth (``P = buckets``, or ``spark.sql.shuffle.partitions``),
+    so no window task holds more than about ``rows / P`` rows.  Range bounds are
+    sampled anew whenever the exchange is run again, so the rows are
+    checkpointed with their range before it is read for the offsets and for the
+    ranks.  With repeated ids the tie order is as arbitrary as in the plain
+    window."""
     if not groups:
         raise ValueError("at least one grouping column is required")
-    ranged = (df.repartitionByRange(*groups, order_col) if buckets is None
-              else df.repartitionByRange(buckets, *groups, order_col)).withColumn(_B, F.spark_partition_id())
-    hist = _histogram(ranged, groups).select(*groups, _B, _OFF)
+    ranged = materialize((df.repartitionByRange(*groups, order_col) if buckets is None
+                          else df.repartitionByRange(buckets, *groups, order_col)).withColumn(_B, F.spark_partition_id()))
+    w = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    hist = (ranged.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT))
+            .withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w), F.lit(0))).drop(_CNT)
+            .withColumnsRenamed({c: f"_rk_{c}" for c in [*groups, _B]}))
+    cond = F.col(_B) == F.col(f"_rk_{_B}")
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_rk_{g}"))
     inner = Window.partitionBy(*groups, _B).orderBy(order_col)
     # hist has <= P + groups rows: safe to broadcast.
-    return (ranged.join(F.broadcast(hist), on=[*groups, _B], how="inner")
+    return (ranged.join(F.broadcast(hist), cond)
                   .withColumn(out, (F.col(_OFF) + F.row_number().over(inner)).cast("bigint"))
-                  .drop(_B, _OFF))
+                  .select(*df.columns, out))

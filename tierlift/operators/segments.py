@@ -22,13 +22,13 @@ def counts_by(df: DataFrame, group: str, by: str, out: str = "user_count") -> Da
 def pct_of_counts(counts: DataFrame, group: str, count_col: str, digits: int,
                   out: str = "pct_of_group") -> DataFrame:
     """Share of each row's count within its ``group`` (= ``SUM(n) OVER
-    (PARTITION BY group)``).  ``group`` is a low-cardinality label (group type
-    or tier, bounded by configuration), so its totals are broadcast instead of
-    shuffling the counts onto one partition per group value."""
-    totals = counts.groupBy(group).agg(F.sum(count_col).alias("_group_total"))
-    return (counts.join(F.broadcast(totals), on=group, how="inner")
+    (PARTITION BY group)``; a NULL group is a group).  The totals are joined
+    back null-safely; Spark broadcasts them where they are small, and splits a
+    large group where they are not."""
+    totals = counts.groupBy(F.col(group).alias("_group_key")).agg(F.sum(count_col).alias("_group_total"))
+    return (counts.join(totals, F.col(group).eqNullSafe(F.col("_group_key")))
                   .withColumn(out, pct(F.col(count_col), F.col("_group_total"), digits))
-                  .drop("_group_total"))
+                  .drop("_group_key", "_group_total"))
 
 
 def pct_of_group(df: DataFrame, group: str, by: str, digits: int = 1,
@@ -37,19 +37,23 @@ def pct_of_group(df: DataFrame, group: str, by: str, digits: int = 1,
     return pct_of_counts(counts_by(df, group, by, count_col), group, count_col, digits, out)
 
 
-def value_ranks(counts: DataFrame, key: str, count_col: str, out: str = "rank") -> DataFrame:
+def value_ranks(counts: DataFrame, key: str, count_col: str, out: str = "rank", n: int | None = None) -> DataFrame:
     """``key, <count>, rank``: ``RANK() OVER (ORDER BY count DESC)`` for every
-    distinct key (NULL included as its own key).
+    distinct key (NULL included as its own key), or only those ranked ``<= n``.
 
     A rank is 1 + the number of keys with a strictly larger count, so it only
     depends on the *distinct count values*.  Those are ranked in one small
-    window (k distinct values need at least k(k+1)/2 rows, so there are fewer
-    than sqrt(2 * rows) of them), then joined back on the count value."""
+    window: k distinct values need at least k(k+1)/2 rows, so there are fewer
+    than sqrt(2 * rows) of them (1.5 million for 10^12 rows), and at most ``n``
+    with a rank of ``n`` or less.  That bound allows to broadcast them, so the
+    keys are not shuffled by count, where ``count = 1`` would be a hot key."""
     totals = counts.groupBy(key).agg(F.sum(count_col).alias(count_col))
     levels = totals.groupBy(count_col).agg(F.count(F.lit(1)).alias("_keys"))
     w = Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn(out, (F.coalesce(F.sum("_keys").over(w), F.lit(0)) + 1).cast("bigint"))
-    return totals.join(levels.select(count_col, out), on=count_col, how="inner").select(key, count_col, out)
+    if n is not None:
+        levels = levels.where(F.col(out) <= n)
+    return totals.join(F.broadcast(levels.select(count_col, out)), on=count_col, how="inner").select(key, count_col, out)
 
 
 def top_n_with_other(counts: DataFrame, group: str, key: str, count_col: str, n: int,
@@ -58,8 +62,8 @@ def top_n_with_other(counts: DataFrame, group: str, key: str, count_col: str, n:
     groups keep their value and everything else (including NULL, which takes
     a rank slot but never matches in the equi-join) becomes ``other``.
     ``RANK`` semantics: ties at the cut name more than ``n`` keys."""
-    ranks = value_ranks(counts, key, count_col, "_rank").select(F.col(key).alias("_rank_key"), "_rank")
-    # Plain equi-join: a NULL key finds no rank and falls into ``other``.
-    named = counts.join(ranks, on=F.col(key) == F.col("_rank_key"), how="left")
-    regrouped = named.withColumn(out, F.when(F.col("_rank") <= n, F.col(key)).otherwise(F.lit(other)))
+    named = value_ranks(counts, key, count_col, "_rank", n).select(F.col(key).alias("_named"))
+    # Plain equi-join with the named keys alone: a NULL key matches none.
+    regrouped = (counts.join(named, F.col(key) == F.col("_named"), "left")
+                 .withColumn(out, F.coalesce("_named", F.lit(other))))
     return regrouped.groupBy(group, out).agg(F.sum(count_col).cast("bigint").alias(count_col))

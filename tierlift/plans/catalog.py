@@ -6,6 +6,7 @@ fixture relabelling (``sources.fixtures``) and reads whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,10 @@ from ..operators import facts as FX
 from ..operators import segments as S
 from ..operators.dimension import tier_dimension
 from ..operators.windowing import txn_window_scan, window_txn_counts
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import TpchFixture
+from ..sources.readers import read_transactions, read_users
+from ..sources.sinks import write_report_csv
 from . import finance as M
 from . import reports as R
 from .experiment import Experiment
@@ -50,6 +54,52 @@ def q_src_transactions(spark, sf_dir):
         "txn_date", "user_id", "txn_id", "coupon", F.col("revenue").cast("double").alias("revenue"))
 
 
+def _reread(frame: DataFrame, read, fmt: str, names: dict[str, str]) -> DataFrame:
+    """``frame`` written to the shared folder with other column names, and read
+    back by the library's reader with the map of those names."""
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/source-{uuid.uuid4().hex}"
+    w = frame.withColumnsRenamed({v: k for k, v in names.items()}).write
+    if fmt == "parquet":
+        w.parquet(path)
+        return read(spark, path, fmt, names)
+    # A marker of its own for NULL keeps empty strings apart from it.
+    w.option("header", True).option("nullValue", "\\N").csv(path)
+    return read(spark, path, fmt, names, nullValue="\\N")
+
+
+USER_NAMES = {"customer_no": "user_id", "signed_up": "registration_date", "member": "is_member"}
+TXN_NAMES = {"day": "txn_date", "customer_no": "user_id", "order_no": "txn_id"}
+
+
+def _users(spark, sf_dir):
+    return TpchFixture(spark, sf_dir, CFG).users()
+
+
+def q_read_users(fmt):
+    def run(spark, sf_dir):
+        return _reread(_users(spark, sf_dir), read_users, fmt, USER_NAMES).select(
+            "user_id", "city", "gender", "registration_date", "opt_in", "is_member", "member_tier")
+    return run
+
+
+def q_read_transactions(fmt):
+    def run(spark, sf_dir):
+        tx = TpchFixture(spark, sf_dir, CFG).transactions()
+        return _reread(tx, read_transactions, fmt, TXN_NAMES).select(
+            "txn_date", "user_id", F.col("txn_id").cast("bigint").alias("txn_id"), "coupon", F.col("revenue").cast("double").alias("revenue"))
+    return run
+
+
+def q_report_csv(spark, sf_dir):
+    """A report through its sink: written as headed CSV and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report_csv(_ex(spark, sf_dir).tier_profitability(), path)
+    return spark.read.option("header", True).schema(
+        "group_type STRING, tier STRING, total_users BIGINT, users_who_purchased BIGINT, total_revenue DOUBLE, "
+        "avg_revenue_per_user DOUBLE, estimated_discount_cost DOUBLE, net_revenue DOUBLE").csv(path)
+
+
 def q_txn_window_scan(spark, sf_dir):
     tx = TpchFixture(spark, sf_dir, CFG).transactions()
     return txn_window_scan(tx, CFG.pre_start, CFG.pre_end).select(
@@ -89,7 +139,7 @@ def q_ranked_users(spark, sf_dir):
 
 
 def q_balanced_users(spark, sf_dir):
-    return _ex(spark, sf_dir, balance_method="cutoff").cohort.select(
+    return _ex(spark, sf_dir).cohort.select(
         "user_id", "group_type", "tier", "tier_label")
 
 
@@ -208,6 +258,11 @@ def q_raw_group_imbalance(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src_users": q_src_users,
     "src_transactions": q_src_transactions,
+    "read_users_parquet": q_read_users("parquet"),
+    "read_users_csv": q_read_users("csv"),
+    "read_transactions_parquet": q_read_transactions("parquet"),
+    "read_transactions_csv": q_read_transactions("csv"),
+    "report_csv": q_report_csv,
     "txn_window_scan": q_txn_window_scan,
     "window_txn_counts": q_window_txn_counts,
     "tier_dimension": q_tier_dimension,

@@ -1,11 +1,12 @@
 """One experiment = one config bound to a users and a transactions table.
 
-Frames are built lazily and memoised per instance, so every report of one
-``Experiment`` shares the same logical sub-plans.  With ``materialize=True``
-(report batches) the cohort and the per-user facts are written once to the
-reliable checkpoint folder and every report reads them back: the heavy part
-(scan, count, balance, per-user aggregate) runs once, and the lineage of the
-reports is cut, so a lost executor recomputes from the checkpoint.
+Frames are memoised per instance, so every report of one ``Experiment`` shares
+the same sub-plans.  Building a report of the cohort runs jobs: the eligible
+population is written once to the shared checkpoint folder and the balancing
+cut is found by a few aggregates over it.  The report itself is a lazy frame on
+top.  With ``materialize=True`` (report batches) the cohort and the per-user
+facts are written too, so the heavy part (scan, count, balance, per-user
+aggregate) runs once for all reports.
 """
 
 from __future__ import annotations
@@ -22,26 +23,29 @@ from ..sources.fixtures import TpchFixture
 from . import reports as R
 
 
+#: Columns of the eligible population that some report reads.
+ELIGIBLE_COLUMNS = ["user_id", "city", "gender", "is_member", "n_orders", "tier_label", "tier"]
+
+
 class Experiment:
     def __init__(self, users: DataFrame, transactions: DataFrame,
-                 cfg: ExperimentConfig = DEFAULT_CONFIG, balance_method: str = "auto",
+                 cfg: ExperimentConfig = DEFAULT_CONFIG, balance_method: str = "cutoff",
                  materialize: bool | str = "eligible", check_unique_ids: bool = False):
         """``materialize``: ``"eligible"`` (default) writes the eligible
-        population once to the reliable checkpoint folder (the balancing reads
-        it several times: selection histograms, boundary slice, final cut);
-        ``True`` also checkpoints the cohort and the per-user post-launch rows,
+        population, the seven columns that reports read, once to the shared
+        checkpoint folder when a report first needs the cohort (the balancing
+        reads it several times: selection histograms and final cut);
+        ``True`` also writes the cohort and the per-user post-launch rows,
         for batches that run many reports over one experiment; ``False``
-        keeps everything lazy (one fused plan).
+        writes nothing.
         ``check_unique_ids`` runs one aggregate over ``users`` first and fails
-        on a repeated id (the balancing assumes a users key)."""
+        on a repeated id."""
         self.users, self.tx, self.cfg = users, transactions, cfg
         if check_unique_ids:
             dup = C.duplicate_user_ids(users).limit(1).collect()
             if dup:
-                raise ValueError(f"user_id {dup[0]['user_id']} occurs {dup[0]['copies']} times; "
-                                 "balancing needs unique user ids")
-        self.balance_method = balance_method
-        self._materialize = materialize
+                raise ValueError(f"user_id {dup[0]['user_id']} occurs {dup[0]['copies']} times in users")
+        self.balance_method, self._materialize = balance_method, materialize
         self._side_counts: dict | None = None
 
     @classmethod
@@ -57,9 +61,9 @@ class Experiment:
     # --- shared sub-plans ---------------------------------------------------
     @cached_property
     def eligible(self) -> DataFrame:
-        e = C.eligible_users(self.users, self.tx, self.cfg)
+        e = C.eligible_users(self.users, self.tx, self.cfg).select(*ELIGIBLE_COLUMNS)
         if self._materialize in (True, "eligible"):
-            # Per-(tier, side) sizes ride along with the checkpoint job.
+            # Per-(tier, side) sizes ride along with the writing job.
             obs = Observation("tierlift_side_counts")
             e = materialize(e.observe(obs, *C.side_count_metrics(self.cfg)))
             self._side_counts = obs.get
@@ -81,7 +85,7 @@ class Experiment:
 
     def _eligible_once(self) -> DataFrame:
         """Eligible frame for a single-use consumer: the materialised one if it
-        already exists, otherwise the lazy plan (no checkpoint job for it)."""
+        already exists, otherwise the lazy plan (nothing is written for it)."""
         if "eligible" in self.__dict__:
             return self.__dict__["eligible"]
         return C.eligible_users(self.users, self.tx, self.cfg)

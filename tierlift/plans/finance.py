@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (CONTROL, DEFAULT_CONFIG, NO_COUPON, OTHER_COUPON, TOTAL_LABEL, TREATMENT,
-                      UNKNOWN_GENDER, ExperimentConfig)
+from ..config import (CONTROL, DEFAULT_CONFIG, NO_COUPON, OTHER_COUPON, RATE_DIGITS, TOTAL_LABEL, TREATMENT,
+                      UNKNOWN_GENDER, ExperimentConfig, exact)
 from ..functions import labels as L
 from ..functions.rounding import exact_round, pct
 from ..operators.windowing import txn_window_scan
@@ -61,15 +61,17 @@ def purchase_rate_lift(post: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG)
 
 # --- M3 -------------------------------------------------------------------------
 def group_size_pivot(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
-    """``tier, treatment_users, control_users, total_users`` plus a 'Total' row
-    (a global aggregate, so it exists even for an empty cohort, as the
-    grand-total grouping set of a ``ROLLUP`` does in SQL)."""
+    """``tier, treatment_users, control_users, total_users`` plus a 'Total' row:
+    the sum of the per-tier rows, which exists (with zeros) for an empty cohort
+    too, as the grand-total grouping set of a ``ROLLUP`` does in SQL."""
     t = F.col("group_type") == F.lit(TREATMENT)
     aggs = [F.count_if(t).cast("bigint").alias("treatment_users"),
             F.count_if(~t).cast("bigint").alias("control_users"),
             F.count(F.lit(1)).alias("total_users")]
-    out = _with_total(cohort.groupBy("tier").agg(*aggs), cohort.agg(*aggs))
-    return _tier_order(out, cfg)
+    per = cohort.groupBy("tier").agg(*aggs)
+    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+                      for c in ("treatment_users", "control_users", "total_users")])
+    return _tier_order(_with_total(per, total), cfg)
 
 
 def _with_total(per_tier: DataFrame, total: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ def _repriced_cost(e: DataFrame, cfg: ExperimentConfig, overrides: dict, method:
         raise ValueError("method must be 'inverse_rate' or 'linear'")
     new_rate = L.discount_rate("tier", cfg, overrides)
     if method == "inverse_rate":
-        repriced = F.try_divide(F.col("treatment_revenue") * new_rate, F.lit(1).cast("decimal(10,4)") - new_rate)
+        repriced = F.try_divide(F.col("treatment_revenue") * new_rate, F.lit(1).cast(L.RATE) - new_rate)
     else:
         repriced = F.try_divide(F.col("cost") * new_rate, F.col("rate"))
     # Both branches explicitly DECIMAL(38,6): CASE over DECIMAL(38,6) and
@@ -242,20 +244,18 @@ def scenario_table(profit: DataFrame, full: DataFrame, cfg: ExperimentConfig = D
                    overrides: dict | None = None, method: str = "linear") -> DataFrame:
     """``scenario, gross_uplift, discount_cost, net_position, payback_months``:
     the projected totals under each configured scenario (gross x multiplier +
-    increment, cost x multiplier).  One projection per scenario over the
-    single totals row, unioned (no cross join)."""
+    increment, cost x multiplier).  The single totals row is exploded into one
+    row per scenario: one pass over the plan below."""
     p = projected_position(profit, full, cfg, overrides, method)
     t = p.agg(F.sum("projected_gross").alias("g"), F.sum("projected_cost").alias("c"))
-    parts = []
-    for s in cfg.scenarios:
-        g = F.col("g") * F.lit(f"{s.gross_multiplier:.6f}").cast("decimal(20,6)") + \
-            F.lit(f"{s.gross_increment:.2f}").cast("decimal(20,2)")
-        c = F.col("c") * F.lit(f"{s.cost_multiplier:.6f}").cast("decimal(20,6)")
-        parts.append(t.select(F.lit(s.name).alias("scenario"), F.lit(s.sort_order).alias("_o"),
-                              g.alias("_gs"), c.alias("_cs")))
-    u = parts[0]
-    for x in parts[1:]:
-        u = u.unionByName(x)
+    number = f"decimal({RATE_DIGITS + 12},{RATE_DIGITS})"
+    value = lambda x: F.lit(exact(x, RATE_DIGITS)).cast(number)
+    cases = F.array(*[F.struct(F.lit(s.name).alias("scenario"), F.lit(s.sort_order).alias("o"),
+                               value(s.gross_multiplier).alias("gm"), value(s.gross_increment).alias("gi"),
+                               value(s.cost_multiplier).alias("cm")) for s in cfg.scenarios])
+    u = (t.select("g", "c", F.explode(cases).alias("s"))
+          .select("s.scenario", F.col("s.o").alias("_o"), (F.col("g") * F.col("s.gm") + F.col("s.gi")).alias("_gs"),
+                  (F.col("c") * F.col("s.cm")).alias("_cs")))
     return u.select("scenario", exact_round(F.col("_gs"), 2).alias("gross_uplift"),
                     exact_round(F.col("_cs"), 2).alias("discount_cost"),
                     exact_round(F.col("_gs") - F.col("_cs"), 2).alias("net_position"),

@@ -1,8 +1,9 @@
 """The eight analyses as DataFrame plans (K1-K8).
 
-Every report ends in an aggregate over a configuration-bounded key set (tiers x
-groups x classes), so the final sort runs as one small task (``sort_small``).  Money
-stays DECIMAL until the output edge; rounding follows ``functions.rounding``.
+Reports over a configuration-bounded key set (tiers x groups x classes) end in
+one small sorting task (``sort_small``); those keyed by values of the data
+(stored tier texts, genders, cities) in ``orderBy``.  Money stays DECIMAL until
+the output edge; rounding follows ``functions.rounding``.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def tier_counts_raw(eligible: DataFrame) -> DataFrame:
     """K1 ``tier_label, count_users`` over the whole eligible population
     (NULL membership counted under its control label)."""
     return (eligible.groupBy("tier_label").agg(F.count(F.lit(1)).alias("count_users"))
-                    .transform(lambda d: sort_small(d, "count_users", F.col("tier_label").asc_nulls_first())))
+                    .orderBy("count_users", F.col("tier_label").asc_nulls_first()))
 
 
 def balanced_group_sizes(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -56,7 +57,7 @@ def gender_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> D
     gender are out of numerator and denominator."""
     known = cohort.where(F.col("gender") != F.lit(UNKNOWN_GENDER))
     out = pct_of_counts(counts_by(known, "group_type", "gender"), "group_type", "user_count", 1)
-    return sort_small(out, F.desc("group_type"), F.desc("user_count"), "gender")
+    return out.orderBy(F.desc("group_type"), F.desc("user_count"), "gender")
 
 
 def city_counts(cohort: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def city_split(cohort: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
     grouped = top_n_with_other(counts, "group_type", "city", "user_count", cfg.top_n_cities,
                                OTHER_CITY, "city_grouped")
     out = pct_of_counts(grouped, "group_type", "user_count", 1)
-    return sort_small(out, F.desc("group_type"), F.desc("user_count"), "city_grouped")
+    return out.orderBy(F.desc("group_type"), F.desc("user_count"), "city_grouped")
 
 
 def engagement(post: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -118,8 +119,8 @@ def profitability_decimal(post: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFI
                   round_decimal(F.avg(F.when(buyer, F.col("revenue"))), 2).alias("avg_revenue_per_user")))
     treat = F.col("group_type") == F.lit(TREATMENT)
     rate = F.when(treat, L.discount_rate("tier", cfg, rate_overrides)) \
-            .otherwise(F.lit(0).cast("decimal(10,4)"))
-    cost = F.try_divide(F.col("total_revenue") * rate, F.lit(1).cast("decimal(10,4)") - rate)
+            .otherwise(F.lit(0).cast(L.RATE))
+    cost = F.try_divide(F.col("total_revenue") * rate, F.lit(1).cast(L.RATE) - rate)
     return g.select("group_type", "tier", "total_users", "users_who_purchased", "total_revenue",
                     "avg_revenue_per_user", rate.alias("discount_rate"),
                     round_decimal(cost, 2).alias("estimated_discount_cost"),

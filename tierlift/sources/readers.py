@@ -1,7 +1,8 @@
 """Readers for the users / transactions tables in Parquet or CSV.
 
 Whatever the storage types, columns are canonicalised once at the source:
-ids to BIGINT (sampling order and join keys are numeric, never '123.0'),
+ids to BIGINT (sampling order and join keys are numeric, never '123.0'; a
+non-integral id is an error; order ids may stay text, they are only counted),
 dates to DATE (closed windows on a TIMESTAMP would drop the last day), money
 to DECIMAL(18,2) (exact sums and rounding).
 """
@@ -12,28 +13,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import MONEY, TRANSACTIONS, USERS
+from .schemas import MONEY, REQUIRED, TEXT_IDS, TRANSACTIONS, USERS
 
 
-def _canonical(c: Column, src: T.DataType | None, dtype: T.DataType) -> Column:
-    if src is not None and src == dtype:
+def _canonical(name: str, src: T.DataType, dtype: T.DataType) -> Column:
+    c = F.col(f"`{name}`")
+    if src == dtype:
         return c  # already canonical: keep the bare column (filters push down)
     if isinstance(dtype, T.LongType) and not isinstance(src, T.IntegralType):
-        # Ids exported as float ('123.0') or string must still join natively.
-        return c.cast("decimal(38,0)").cast("bigint")
+        if name in TEXT_IDS and isinstance(src, T.StringType):
+            return c
+        # Ids exported as '123.0' still join natively; 123.7 is no id.
+        number = c.cast("decimal(38,6)")
+        return F.when(number == F.floor(number), F.floor(number).cast("bigint")).when(
+            number.isNotNull(), F.raise_error(F.concat(F.lit(f"{name} is not an integer: "), c.cast("string"))).cast("bigint"))
     return c.cast(dtype)
 
 
 def canonicalize(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project ``df`` onto ``schema``: missing columns become typed NULLs."""
+    """Project ``df`` onto ``schema`` by name.  An absent required column is an
+    error that names it; other absent columns become typed NULLs."""
     present = {f.name: f.dataType for f in df.schema.fields}
-    cols = []
-    for f in schema.fields:
-        if f.name in present:
-            cols.append(_canonical(F.col(f.name), present[f.name], f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    missing = sorted(f.name for f in schema.fields if f.name in REQUIRED and f.name not in present)
+    if missing:
+        raise ValueError(f"columns {missing} are missing (present: {sorted(present)}); give a column_map "
+                         "if they have other names")
+    return df.select(*[(_canonical(f.name, present[f.name], f.dataType) if f.name in present
+                        else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType,

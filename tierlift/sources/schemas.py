@@ -1,4 +1,9 @@
-"""Explicit schemas of the two input tables (no inference anywhere)."""
+"""Canonical schemas of the two input tables.
+
+Files keep their own column types; the readers match columns by name and cast
+them to these.  ``REQUIRED`` columns must be there (the analyses would be empty
+without them); the others are carried along and are NULL where absent.  An
+order id may also be text: it is only counted."""
 
 from __future__ import annotations
 
@@ -35,3 +40,7 @@ TRANSACTIONS = T.StructType([
 
 USER_COLUMNS = [f.name for f in USERS.fields]
 TRANSACTION_COLUMNS = [f.name for f in TRANSACTIONS.fields]
+REQUIRED = frozenset({"user_id", "registration_date", "opt_in", "is_member", "member_tier",
+                      "txn_date", "txn_id", "revenue"})
+#: Ids that keep their text if they are not integers.
+TEXT_IDS = frozenset({"txn_id"})

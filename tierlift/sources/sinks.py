@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Reports are aggregates over a config-bounded key set (tiers x groups x
-# classes), so a single output file is safe for them; anything larger goes
-# through ``write_parquet``.
-MAX_SINGLE_FILE_ROWS = 100_000
-
 
 def write_report_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a small report as one headed CSV file (``part-*.csv`` in ``path``)."""
+    """Write a report, an aggregate of few rows, as one headed CSV file
+    (``part-*.csv`` in ``path``); larger frames go through ``write_parquet``."""
     (df.coalesce(1).write.mode(mode).option("header", True).csv(path))
 
 
@@ -28,6 +24,7 @@ def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
     The closed date windows of every analysis are then resolved by partition
     pruning (``PartitionFilters``) before any file is opened, on top of the
-    Parquet row-group skipping.  Rows are clustered by date first so each
-    task writes few partitions."""
-    (df.repartition("txn_date").write.mode(mode).partitionBy("txn_date").parquet(path))
+    Parquet row-group skipping.  Rows are dealt to tasks by ranges of date and
+    user: a task writes few dates, and a day with very many rows is written by
+    many tasks."""
+    (df.repartitionByRange("txn_date", "user_id").write.mode(mode).partitionBy("txn_date").parquet(path))
