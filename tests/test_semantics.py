@@ -15,10 +15,10 @@ from tierlift.plans.experiment import Experiment
 
 from helpers import CFG, POST, orders, tx_df, txn, user, users_df
 
-METHODS = ["window", "cutoff", "branches", "auto"]
+METHODS = ["window", "cutoff", "branches"]
 
 
-def _ex(spark, users, txs, method="auto"):
+def _ex(spark, users, txs, method="cutoff"):
     return Experiment(users_df(spark, users), tx_df(spark, txs), CFG, balance_method=method,
                       materialize=False)
 
@@ -185,9 +185,12 @@ def test_string_key_join_equals_native(spark):
 def test_canonical_ids_from_float_strings(spark):
     from tierlift.sources.readers import canonicalize
     from tierlift.sources.schemas import TRANSACTIONS
-    raw = spark.createDataFrame([("2024-03-01", "123.0", "7")], "txn_date string, user_id string, txn_id string")
+    raw = spark.createDataFrame([("2024-03-01", "123.0", "7", 7.0, "1.5")],
+                                "txn_date string, user_id string, txn_id string, n double, revenue string")
     got = canonicalize(raw, TRANSACTIONS).collect()[0]
-    assert got["user_id"] == 123 and got["txn_id"] == 7 and got["txn_date"] == dt.date(2024, 3, 1)
+    assert got["user_id"] == 123 and got["txn_date"] == dt.date(2024, 3, 1)
+    assert got["txn_id"] == "7"  # text order ids stay text, others become BIGINT
+    assert canonicalize(raw.drop("txn_id").withColumnRenamed("n", "txn_id"), TRANSACTIONS).collect()[0]["txn_id"] == 7
 
 
 def test_csv_roundtrip_reader(spark, tmp_path):
@@ -242,7 +245,7 @@ def test_date_partitioned_transactions_prune(spark, tmp_path):
 def test_column_map_renames_source_columns(spark, tmp_path):
     from tierlift.sources import read_users
     p = tmp_path / "u.csv"
-    p.write_text("customer_key,member_flag,segment_tier,reg\n7,false,,2020-05-06\n")
+    p.write_text("customer_key,member_flag,segment_tier,reg,opt_in\n7,false,,2020-05-06,true\n")
     u = read_users(spark, str(p), fmt="csv", column_map={"customer_key": "user_id", "member_flag": "is_member",
                                                          "segment_tier": "member_tier", "reg": "registration_date"})
     r = u.collect()[0]
