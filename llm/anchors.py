@@ -9,9 +9,9 @@ that repeats itself is one long segment.
 
 ``shared_segments`` finds the anchors that occur more than once and collapses
 equal segments; ``compare`` hands groups of different segments around one
-anchor to an operator's own method, in bounded shards.  The groups of anchors
-with very many different segments (a passage that a third of all documents
-quote) are never gathered: their windows are grouped by Spark instead.
+anchor to an operator's own method, in bounded shards.  Groups beyond the bound
+(a passage that a third of all documents quote, each in other words) are never
+gathered: their windows are grouped by Spark instead.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def shared_segments(rows: DataFrame, across: bool) -> tuple[DataFrame, DataFrame
     """The rows whose anchor may hold a window twice (``across``: in more than
     one document), and the distinct segments among them: ``h, sh, rows, low,
     high`` (smallest and largest document), ``t``, ``ex`` (one place) and
-    ``variants``, the number of distinct segments of the anchor."""
+    ``variants``, the number of distinct segments of the anchor, and ``size``,
+    their symbols."""
     per_anchor = rows.groupBy("h").agg(*([F.min("d").alias("low"), F.max("d").alias("high")] if across
                                          else [F.count(F.lit(1)).alias("rows"), F.max("t").alias("t")]))
     # Written: both sides of the joins below are then plain exchanges, which
@@ -183,30 +184,30 @@ def shared_segments(rows: DataFrame, across: bool) -> tuple[DataFrame, DataFrame
     distinct = written(shared.groupBy("h", "sh").agg(
         F.count(F.lit(1)).alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("t").alias("t"),
         F.min(F.struct("d", "f", "start", "n")).alias("ex")), "segments")
-    variants = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("variants"), F.min("rows").alias("fewest")),
-                       "variants")
+    variants = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("variants"), F.min("rows").alias("fewest"),
+                                              F.sum("ex.n").alias("size")), "variants")
     return shared, distinct.join(variants, "h")
 
 
 def with_content(chosen: DataFrame, texts_of: DataFrame, symbols: Symbols) -> DataFrame:
     """``chosen`` segments with the ``content`` at their example place."""
     places = chosen.groupBy(F.col("ex.d").alias("d"), F.col("ex.f").alias("f")).agg(F.collect_list(F.struct(
-        "h", "sh", "rows", "low", "high", "variants", F.col("ex.start").alias("start"), F.col("ex.n").alias("n"))).alias("at"))
+        "h", "sh", "rows", "low", "high", "size", F.col("ex.start").alias("start"), F.col("ex.n").alias("n"))).alias("at"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for z, at in zip(batch.column("z").to_pylist(), batch.column("at").to_pylist()):
             items = symbols.split(unpack(z))
-            out += [(p["h"], p["sh"], p["rows"], p["low"], p["high"], p["variants"],
+            out += [(p["h"], p["sh"], p["rows"], p["low"], p["high"], p["size"],
                      symbols.join(items[p["start"]:p["start"] + p["n"]])) for p in at]
         types = [pa.int64()] * 6 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                          names=["h", "sh", "rows", "low", "high", "variants", "content"])
+                                          names=["h", "sh", "rows", "low", "high", "size", "content"])
 
     # Rows that repeat an id and a text give their segments again, which changes
     # nothing: those segments occur more than once anyway.
     return map_batches(texts_of.join(places, ["d", "f"]).select("z", "at"), cut,
-                       "h long, sh long, rows long, low long, high long, variants long, content binary")
+                       "h long, sh long, rows long, low long, high long, size long, content binary")
 
 
 def span_runs(values: np.ndarray, window: int) -> list[tuple[int, int, int]]:
@@ -228,7 +229,7 @@ def compare(segments_: DataFrame, symbols: Symbols, window: int, method: Method,
     whose windows are held elsewhere too, with the holder.
 
     ``method`` gets ``(h, sh, rows, low, high, content)`` of whole groups, a
-    shard at a time.  Groups of more than ``group_limit`` segments go through
+    shard at a time.  Groups of more than ``group_limit`` symbols go through
     :func:`_by_window`, with the same result."""
     got = written(segments_, "contents")
     size = got.agg(F.sum(F.octet_length("content"))).first()[0] or 0
@@ -241,10 +242,10 @@ def compare(segments_: DataFrame, symbols: Symbols, window: int, method: Method,
 
     schema = pa.schema([("h", pa.int64()), ("sh", pa.int64()), ("spans", pa.list_(pa.struct(
         [("s", pa.int32()), ("e", pa.int32()), ("holder", pa.int64())])))])
-    small = (got.where(F.col("variants") <= group_limit)
+    small = (got.where(F.col("size") <= group_limit)
              .groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
              .applyInArrow(shard, f"h long, sh long, spans {SPANS}"))
-    return small.unionByName(_by_window(got.where(F.col("variants") > group_limit), symbols, window, across))
+    return small.unionByName(_by_window(got.where(F.col("size") > group_limit), symbols, window, across))
 
 
 def _by_window(segments_: DataFrame, symbols: Symbols, window: int, across: bool) -> DataFrame:

@@ -32,8 +32,8 @@ from .common import NO_ID, map_batches
 
 GRAM = 24
 Q = 8
-#: Segments of one anchor that may meet in one shard.
-GROUP_LIMIT = 4_000
+#: Bytes of the segments of one anchor that may meet in one shard.
+GROUP_LIMIT = 3_000_000
 
 
 def _groups(order_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
