@@ -140,8 +140,10 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, text: str = "text",
               .agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
               .select("id", (F.col("y") == 0).alias("bad"))
               .orderBy(F.xxhash64("id"), "id").limit(fit_rows))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(
-        F.broadcast(sample), "id")  # at most fit_rows ids
+    # At most fit_rows ids; written, else the base rule moves below the join and
+    # the statistics of every text are computed to filter by it.
+    rows = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(
+        F.broadcast(sample), "id"), "sample")
     return written(with_statistics(rows, "t").where(~base_failed())
                    .select("id", "bad", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()]), "labelled")
 
