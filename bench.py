@@ -24,7 +24,7 @@ HEADLINE = [
     "coupon_usage", "tier_profitability", "rollout_projection",
     "engagement_line", "coupon_usage_line",
     "uplift_summary", "projected_net_position", "scenario_table", "referrals_by_referrer",
-    "balanced_users",  # the cohort via the distributed selection cutoff (the >2M-rows path)
+    "balanced_users",
 ]
 
 

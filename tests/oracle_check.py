@@ -18,7 +18,8 @@ sys.path.insert(0, os.path.dirname(HERE))
 
 import duckdb  # noqa: E402
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def _norm(v):
