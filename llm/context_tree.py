@@ -39,30 +39,53 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import unpack
-from .common import WordHashes, scratch_path, texts
+from .anchors import _BYTE_HASHES, _P1, range_hashes
+from .common import scratch_path, texts
 
 DEPTH = 5
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 24 << 20
 #: Buckets of last two bytes.
 SUBTREES = 64
 END = 256
 _U = np.uint64
-_BLOCK = 1 << 22
-#: Not a word: the key of the end token.
-_END_WORD = b"\n"
+#: Texts that are unpacked together, and bytes whose words are hashed together.
+_TEXTS, _RUN = 128, 1 << 16
+#: The hash of the end token.
+_END_TOKEN = _U(0xE7037ED1A0B428DB)
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+class _Sums:
+    """Sums by key of many small arrays; merges once what is new outweighs the rest."""
+
+    def __init__(self):
+        self.parts, self.new, self.held = [], 0, 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.new += len(keys)
+        if self.new > max(1 << 20, self.held):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        merged = _summed(*(np.concatenate(c) for c in zip(*self.parts)))
+        self.parts, self.new, self.held = [merged], 0, len(merged[0])
+        return merged
+
+
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = np.sort(values)
     if not len(values):
@@ -232,48 +255,62 @@ def _symbol_key(keys: np.ndarray) -> np.ndarray:
     return (keys << _U(1)) | _U(1)
 
 
-def _blocks(packed: pa.ChunkedArray):
-    """Consecutive texts of about a block of bytes together, unpacked one block
-    at a time: ``start, end, texts``."""
-    bodies, size, start, n = [], 0, 0, 0
-    for column in packed.chunks:
-        for z in column:
-            bodies.append(unpack(z.as_py()))
-            size += len(bodies[-1]) + 1
-            n += 1
-            if size >= _BLOCK:
-                yield start, n, bodies
-                bodies, size, start = [], 0, n
-    if bodies:
-        yield start, n, bodies
-
-
-def _chunk_words(bodies: list[bytes], memory: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the tokens of all texts (words and one end each), and how many each has."""
-    parts, sizes = [], []
-    for body in bodies:
-        words = body.lower().split()
-        words.append(_END_WORD)
-        parts.append(memory.of(words))
-        sizes.append(len(words))
-    return _word_key(np.concatenate(parts)), np.array(sizes, dtype=np.int64)
-
-
-def chunked(docs: DataFrame, train: Column, text: str, doc_id: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """``id, train, chunk, z`` with compressed texts, and the number of chunks."""
+def _unpacked(frames: pa.ChunkedArray):
+    """``ids, train, texts`` of a chunk, a few hundred texts at a time."""
+    for column in frames.chunks:
+        for frame in column:
+            table = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(frame.as_py())).read_all()
+            for start in range(0, table.num_rows, _TEXTS):
+                part = table.slice(start, _TEXTS).combine_chunks()
+                yield part["id"], part["train"].to_numpy(zero_copy_only=False), texts(part["t"].combine_chunks())
+
+
+def _word_keys(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of all texts (words, then one end each), and how many each has."""
+    keys, sizes, at = [], [], 0
+    while at < len(bodies):
+        held, run = 0, []
+        while at < len(bodies) and (not run or held + len(bodies[at]) < _RUN):
+            run.append(bodies[at])
+            held += len(bodies[at]) + 1
+            at += 1
+        data = np.frombuffer(b"\n".join(run).lower() + b"\n", dtype=np.uint8)
+        space = _IS_SPACE[data]
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        hashes = range_hashes(_BYTE_HASHES[data], starts, ends, _P1)
+        # Words before the end of each text; the ends go in there.
+        upto = np.searchsorted(starts, np.cumsum([len(b) + 1 for b in run]))
+        keys.append(np.insert(hashes, upto, _END_TOKEN))
+        sizes.append(np.diff(np.concatenate(([0], upto))) + 1)
+    return (_word_key(np.concatenate(keys)), np.concatenate(sizes)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def chunked(docs: DataFrame, train: Column, text: str, doc_id: str, chunk_bytes: int) -> DataFrame:
+    """``chunk, docs``: frames of compressed texts with their ids and whether
+    they are for training.  What a task reads of a chunk is compressed together."""
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
 
     def pack(batches):
-        compress = zstd.ZstdCompressor(level=1).compress
+        compress = zstd.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([compress(b) for b in texts(batch.column(3))],
-                                                                           pa.binary())], names=["id", "train", "chunk", "z"])
+            chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
+            order = np.argsort(chunk, kind="stable")
+            firsts = np.flatnonzero(np.concatenate(([True], np.diff(chunk[order]) != 0))) if len(chunk) else []
+            rows = batch.select(["id", "train", "t"])
+            for part in np.split(order, firsts[1:]) if len(chunk) else ():
+                sink = pa.BufferOutputStream()
+                own = rows.take(pa.array(part))
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[part[0]])], pa.int64()),
+                                                  pa.array([compress(sink.getvalue())], pa.binary())], names=["chunk", "docs"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"),
-                       F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(chunks)).alias("chunk"),
-                       F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(pack, "id long, train boolean, chunk long, z binary"), chunks
+                       F.col(text).cast("string").alias("t"),
+                       F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(chunks)).alias("chunk"))
+    return rows.mapInArrow(pack, "chunk long, docs binary")
 
 
 def chunk_counts(rows: DataFrame, depth: int) -> DataFrame:
@@ -282,18 +319,14 @@ def chunk_counts(rows: DataFrame, depth: int) -> DataFrame:
     spark = rows.sparkSession
 
     def count(data: pa.Table) -> pa.Table:
-        chunk = data["chunk"][0].as_py()
-        learn = data["train"].to_numpy(zero_copy_only=False)
-        memory, total = WordHashes(), (np.empty(0, np.uint64), np.empty(0, np.int64))
-        for start, end, bodies in _blocks(data["z"]):
-            parts = [total]
+        chunk, sums = data["chunk"][0].as_py(), _Sums()
+        for _, learn, bodies in _unpacked(data["docs"]):
             for flag in (True, False):
-                own = [b for b, t in zip(bodies, learn[start:end]) if t == flag]
-                for keys in (_chunk_words(own, memory)[0], _symbol_key(contexts(own, depth))) if own else ():
+                own = [b for b, t in zip(bodies, learn) if t == flag]
+                for keys in (_word_keys(own)[0], _symbol_key(contexts(own, depth))) if own else ():
                     keys, n = _counted(keys)
-                    parts.append((keys, n if flag else np.zeros(len(keys), np.int64)))
-            total = _summed(*(np.concatenate(c) for c in zip(*parts)))
-        keys, n = total
+                    sums.add(keys, n if flag else np.zeros(len(keys), np.int64))
+        keys, n = sums.total()
         return pa.table([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), chunk)), pa.array(n)],
                         names=["key", "chunk", "n"])
 
@@ -308,7 +341,7 @@ def chunk_counts(rows: DataFrame, depth: int) -> DataFrame:
 def probabilities(symbols: DataFrame, depth: int) -> DataFrame:
     """``key, value``: log10 probability of every symbol-in-context of
     ``symbols`` (``key, n``; ``n`` 0 where only other texts have it)."""
-    spec = "key long, value double"
+    spec = "key long, value float"  # seven digits: half of what is sent
 
     def arrays(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys = data["key"].to_numpy().view(np.uint64) >> _U(1)
@@ -338,7 +371,7 @@ def probabilities(symbols: DataFrame, depth: int) -> DataFrame:
 
     def solve(data: pa.Table) -> pa.Table:
         built, (keys, _) = tree(data), arrays(data)
-        return pa.table([pa.array(_symbol_key(keys).view(np.int64)), pa.array(log10_probabilities(keys, built, top))],
+        return pa.table([pa.array(_symbol_key(keys).view(np.int64)), pa.array(log10_probabilities(keys, built, top).astype(np.float32))],
                         names=["key", "value"])
 
     return dealt.applyInArrow(solve, spec)
@@ -346,20 +379,14 @@ def probabilities(symbols: DataFrame, depth: int) -> DataFrame:
 
 def _sums(keys: np.ndarray, sizes: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Per text the sum of the values of its keys; looks every distinct key up once."""
-    bits = max(1, int(len(keys) - 1).bit_length())
-    if int(keys.max(initial=0)).bit_length() + bits <= 64:
-        # Sort key and position as one number.
-        tagged = np.sort((keys << _U(bits)) | np.arange(len(keys), dtype=np.uint64))
-        ranked, place = tagged >> _U(bits), (tagged & _U((1 << bits) - 1)).astype(np.int64)
-    else:
-        place = np.argsort(keys, kind="stable")
-        ranked = keys[place]
+    order = np.argsort(keys)
+    ranked = keys[order]
     starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     at = np.searchsorted(known, ranked[starts])
     if len(known) == 0 or at.max() >= len(known) or (known[at] != ranked[starts]).any():
         raise ValueError("a chunk lacks probabilities of its own symbols")
     out = np.empty(len(keys))
-    out[place] = np.repeat(values[at], np.diff(np.concatenate((starts, [len(keys)]))))
+    out[order] = np.repeat(values[at], np.diff(np.concatenate((starts, [len(keys)]))))
     return np.add.reduceat(out, np.concatenate(([0], np.cumsum(sizes)[:-1])))
 
 
@@ -369,7 +396,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     bits_per_byte`` per row; learns from the rows for which ``train`` holds."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be between 2 and 6")
-    rows, _ = chunked(docs, train, text, doc_id, chunk_bytes)
+    rows = chunked(docs, train, text, doc_id, chunk_bytes)
     counts = chunk_counts(rows, depth)
     is_symbol = F.col("key").bitwiseAND(F.lit(1)) == 1
     per_key = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"))
@@ -377,36 +404,42 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     n_train, n_distinct = n_train or 0, n_distinct or 0
     solved = probabilities(per_key.where(is_symbol).select("key", "n"), depth)
     # A word of one chunk alone needs no answer: the chunk has its count.
-    answers = solved.unionByName(per_key.where(~is_symbol).where("chunks > 1")
-                                 .select("key", F.col("n").cast("double").alias("value")))
+    # (Counts travel as they are, probabilities as floats.)
+    answers = solved.withColumn("n", F.lit(None).cast("long")).unionByName(
+        per_key.where(~is_symbol).where("chunks > 1").select("key", F.lit(None).cast("float").alias("value"), "n"))
     sent = counts.select("key", "chunk").join(answers, "key")
 
     def add_up(data: pa.Table, got: pa.Table) -> pa.Table:
         if not data.num_rows:
             return schema.empty_table()
-        learn = data["train"].to_numpy(zero_copy_only=False)
-        keys, value = got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()
-        order = np.argsort(keys)
-        keys, value = keys[order], value[order]
+        keys = got["key"].to_numpy().view(np.uint64)
         symbol = (keys & _U(1)) == 1
-        known_symbols, known_words = (keys[symbol], value[symbol]), (keys[~symbol], value[~symbol])
-        memory, words, sizes, lengths, scored = WordHashes(), [], [], [], []
-        for _, _, bodies in _blocks(data["z"]):
-            own, n = _chunk_words(bodies, memory)
-            words.append(own)
-            sizes.append(n)
-            lengths.append(np.array([len(b) + 1 for b in bodies], dtype=np.int64))
-            scored.append(_sums(_symbol_key(contexts(bodies, depth)), lengths[-1], *known_symbols))
-        words, sizes, lengths, scored = (np.concatenate(x) for x in (words, sizes, lengths, scored))
-        total = _looked_up(words, *_counted(words[np.repeat(learn, sizes)]))
-        shared = _looked_up(words, *known_words, missing=-1)
-        total = np.where(shared >= 0, shared, total)
-        firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        base = np.add.reduceat(np.log10((total + 1) / (n_train + n_distinct + 1)), firsts)
-        known = np.add.reduceat((total > 0).astype(np.int64), firsts)
-        return pa.table([data["id"], data["train"], pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n_train)),
-                         pa.array(base), pa.array(scored), pa.array(-scored / np.log10(2) / np.maximum(lengths - 1, 1))],
-                        schema=schema)
+        known = []
+        for own, column in ((symbol, "value"), (~symbol, "n")):
+            values = got[column].filter(pa.array(own)).to_numpy()
+            order = np.argsort(keys[own])
+            known.append((keys[own][order], values[order].astype(np.float64)))
+        del got, keys, symbol
+        local = _Sums()  # training counts of this chunk
+        for _, learn, bodies in _unpacked(data["docs"]):
+            own = [b for b, t in zip(bodies, learn) if t]
+            if own:
+                local.add(*_counted(_word_keys(own)[0]))
+        local = local.total()
+        out = []
+        for ids, learn, bodies in _unpacked(data["docs"]):
+            words, sizes = _word_keys(bodies)
+            lengths = np.array([len(b) + 1 for b in bodies], dtype=np.int64)
+            scored = _sums(_symbol_key(contexts(bodies, depth)), lengths, *known[0])
+            shared = _looked_up(words, *known[1], missing=-1)
+            total = np.where(shared >= 0, shared, _looked_up(words, *local))
+            firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            base = np.add.reduceat(np.log10((total + 1) / (n_train + n_distinct + 1)), firsts)
+            seen = np.add.reduceat((total > 0).astype(np.int64), firsts)
+            out.append(pa.table([ids, pa.array(learn), pa.array(sizes.astype(np.int64)), pa.array(seen),
+                                 pa.array(np.full(len(sizes), n_train)), pa.array(base), pa.array(scored),
+                                 pa.array(-scored / np.log10(2) / np.maximum(lengths - 1, 1))], schema=schema))
+        return pa.concat_tables(out)
 
     schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),

@@ -84,7 +84,7 @@ def test_context_tree(spark, rows):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:5] == b[:5]
-        assert np.allclose(a[5:], b[5:], rtol=1e-9)
+        assert np.allclose(a[5:], b[5:], rtol=1e-6)  # probabilities travel as floats
 
 
 def test_context_tree_probabilities_add_up():
