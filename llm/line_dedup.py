@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import doc_key, free_name, map_batches, scratch_path, signed, texts, written
 
 KEY = ["h1", "h2"]
+#: A line is very common if it is in more than one row of so many.
+COMMON = 1_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -97,7 +99,7 @@ class LineRuns:
             self._push(level + 1, self._run(merged))
 
     def add(self, rows: DataFrame) -> DataFrame:
-        firsts = rows.groupBy(*KEY).agg(F.min("d").alias("first"), F.max("d").alias("last"))
+        firsts = rows.groupBy(*KEY).agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n"))
         fresh = firsts
         for run in self.runs():
             fresh = fresh.join(run.hint("merge"), KEY, "left_anti")
@@ -105,12 +107,20 @@ class LineRuns:
         run = self._run(fresh)
         # Hashes of this batch that some row must lose: first held by an
         # earlier batch, or by a smaller id of this one.
-        again = run.where(F.col("first") < F.col("last")).select(*KEY, "first")
+        again = run.where(F.col("first") < F.col("last")).select(*KEY, "first", "n")
         for old in known:
-            again = again.unionByName(firsts.join(old.select(*KEY, F.col("first").alias("was")), KEY)
-                                      .select(*KEY, F.col("was").alias("first")))
+            again = again.unionByName(firsts.select(*KEY, "n").join(old.select(*KEY, "first"), KEY)
+                                      .select(*KEY, "first", "n"))
+        again = written(again, "line-again")
         self._push(0, run)
-        return rows.join(again, KEY).where(F.col("d") > F.col("first")).select("d", *KEY)
+        # Lines in more than a thousandth of the rows: fewer than a thousand of
+        # them, whatever the batch, so they are broadcast and no task gets all
+        # rows of one.  The others meet their rows by hash.
+        often = F.col("n") * COMMON > rows.count()
+        heavy, light = F.broadcast(again.where(often)), again.where(~often)
+        lost = rows.join(heavy, KEY).unionByName(
+            rows.join(heavy.select(*KEY), KEY, "left_anti").join(light, KEY))
+        return lost.where(F.col("d") > F.col("first")).select("d", *KEY)
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10,

@@ -14,14 +14,14 @@ FRAMES = [CORPUS, EDGES]
 
 
 @pytest.mark.parametrize("rows", FRAMES)
-@pytest.mark.parametrize("limit", [1_000, 1])
+@pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_passages(spark, rows, limit):
     got = substring_dedup.drop_shared_passages(clashing(documents(spark, rows)), group_limit=limit)
     same(got.select("doc_id", "n_words", "n_removed", sha256("kept_text")).collect(), passages(rows))
 
 
 @pytest.mark.parametrize("rows", FRAMES)
-@pytest.mark.parametrize("limit", [1_000, 1])
+@pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_strings(spark, rows, limit):
     got = suffix_dedup.drop_repeated_strings(clashing(documents(spark, rows)), group_limit=limit)
     same(got.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept")).collect(), strings(rows))
@@ -42,6 +42,12 @@ def test_lines(spark, rows, batches, fanout):
     same(got.select("doc_id", "n_lines", "n_dropped", sha256("kept_text")).collect(), lines(rows))
 
 
+def test_lines_by_hash_alone(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMMON", 0)
+    got = line_dedup.drop_repeated_lines(documents(spark, CORPUS))
+    same(got.select("doc_id", "n_lines", "n_dropped", sha256("kept_text")).collect(), lines(CORPUS))
+
+
 @pytest.mark.parametrize("rows", FRAMES)
 def test_near_duplicates(spark, rows):
     got = minmax_dedup.near_duplicates(clashing(documents(spark, rows)))
@@ -70,6 +76,9 @@ def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
     kept = minmax_dedup.dedup(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _, c in near(CORPUS, 5, 80) if d == c}
+    kept = minmax_dedup.dedup(documents(spark, EDGES)).collect()
+    same([(r["doc_id"], r["text"]) for r in kept],
+         [(d, t) for (d, t), (_, _, c) in zip(EDGES, near(EDGES, 5, 80)) if key(d) == c])
 
 
 @pytest.mark.parametrize("operator", [substring_dedup.drop_shared_passages, suffix_dedup.drop_repeated_strings,
