@@ -29,10 +29,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, doc_key, map_batches, signed, texts, written
+from .common import NO_ID, WordHashes, doc_key, free_name, map_batches, signed, texts, written
 from .components import components
 from .shingles import band_keys, min_max, mix64, permutations, shingle_set
 
@@ -41,13 +41,14 @@ SKETCH_BITS = 20
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str, shingle: int, n_perm: int, rows: int) -> DataFrame:
-    """``d, n_shingles, s1, s2`` (hash of the set) and ``bands`` per row."""
+    """``d, f`` (fingerprint of the text), ``n_shingles, s1, s2`` (hash of the
+    set) and ``bands`` per row."""
     factors = permutations(n_perm)
     hashes = WordHashes()
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, s1, s2, bands = [], [], [], []
-        for body in texts(batch.column(1)):
+        for body in texts(batch.column(2)):
             s = shingle_set(body.lower().split(), hashes, shingle)
             digest = xxhash.xxh3_128_intdigest(s.tobytes())
             n.append(len(s))
@@ -55,11 +56,16 @@ def signatures(docs: DataFrame, text: str, doc_id: str, shingle: int, n_perm: in
             s2.append(signed(digest & ((1 << 64) - 1)))
             bands.append(band_keys(*min_max(s, factors), rows).view(np.int64) if len(s) else None)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64()))], names=["d", "n_shingles", "s1", "s2", "bands"])
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
+             pa.array(bands, pa.list_(pa.int64()))], names=["d", "f", "n_shingles", "s1", "s2", "bands"])
 
-    return map_batches(docs.select(doc_key(doc_id).alias("d"), F.col(text).cast("string")), sign,
-                       "d long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return map_batches(docs.select(doc_key(doc_id).alias("d"), _fingerprint(text).alias("f"), F.col(text).cast("string")), sign,
+                       "d long, f long, n_shingles long, s1 long, s2 long, bands array<long>")
+
+
+def _fingerprint(text: str) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
 
 
 def _confirm(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -144,7 +150,7 @@ def _hidden_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, percent: int = 85,
                     n_perm: int = 96, rows: int = 6) -> DataFrame:
-    """``d, n_shingles, s1, s2, component``, one row per row of ``docs``;
+    """``d, f, n_shingles, s1, s2, component``, one row per row of ``docs``;
     ``d`` and ``component`` are document keys (:data:`~llm.common.NO_ID` for null)."""
     if rows % 2 or n_perm % (rows // 2):
         raise ValueError("bands take equally many minima and maxima")
@@ -174,22 +180,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     owners = (classes.select("s1", "s2", "class").join(roots, F.col("class") == F.col("node"), "left")
               .select("s1", "s2", F.coalesce("root", "class").alias("component")))
-    return (sig.select("d", "n_shingles", "s1", "s2").join(owners, ["s1", "s2"], "left")
+    return (sig.select("d", "f", "n_shingles", "s1", "s2").join(owners, ["s1", "s2"], "left")
             .withColumn("component", F.coalesce("component", "d")))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80,
           n_perm: int = 150, rows: int = 6) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the document with the
+    """The rows of ``docs`` that stay: of every component those with its
     smallest id.  Five-word shingles and similarity 0.8 (50 bands of 6: a pair
     is missed with probability below 3e-7)."""
     found = near_duplicates(docs, text, doc_id, shingle, percent, n_perm, rows)
-    lost = found.where("d <> component").select("d").distinct()
-    key = "_d"
-    while key in (c.lower() for c in docs.columns):
-        key = f"_{key}"
-    return (docs.withColumn(key, doc_key(doc_id))
-            .join(lost.withColumnRenamed("d", key), key, "left_anti").select(*[f"`{c}`" for c in docs.columns]))
+    d, f = free_name(docs.columns, "d"), free_name(docs.columns, "f")
+    lost = found.where("d <> component").select(F.col("d").alias(d), F.col("f").alias(f)).distinct()
+    return (docs.withColumns({d: doc_key(doc_id), f: _fingerprint(text)})
+            .join(lost, [d, f], "left_anti").select(*[f"`{c}`" for c in docs.columns]))
 
 
 def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
