@@ -84,3 +84,29 @@ def test_all_queries_match_oracle_on_random_tables(spark, tmp_path_factory, data
         if problems:
             failures[name] = problems
     assert not failures, {k: v[0][:300] for k, v in failures.items()}
+
+
+people = st.lists(st.tuples(st.integers(1, 12), st.booleans(), st.sampled_from(["Bronze", "Silver", None])),
+                  min_size=1, max_size=40)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=people, counts=st.lists(st.integers(0, 3), min_size=12, max_size=12))
+def test_cutoff_equals_window_with_repeated_ids(spark, rows, counts):
+    """The balanced cohort keeps the same ids per tier and side, and the same
+    number on both sides, whatever ids repeat."""
+    from helpers import CFG, orders, tx_df, user, users_df
+
+    from tierlift.operators.cohort import balanced_users, eligible_users
+    users = users_df(spark, [user(i, member, tier if member else None) for i, member, tier in rows])
+    tx = tx_df(spark, [t for i, n in enumerate(counts, 1) for t in orders(i, n, 100 * i)])
+    eligible = eligible_users(users, tx, CFG)
+    kept = {}
+    for method in ("window", "cutoff", "branches"):
+        got = balanced_users(eligible, CFG, method).select("tier", "group_type", "user_id").collect()
+        kept[method] = sorted(map(tuple, got))
+    assert kept["cutoff"] == kept["window"] == kept["branches"]
+    sides = {}
+    for tier, side, _ in kept["cutoff"]:
+        sides.setdefault(tier, {"Treatment": 0, "Control": 0})[side] += 1
+    assert all(s["Treatment"] == s["Control"] for s in sides.values())
