@@ -3,7 +3,7 @@
 Vectors are cut in two halves, each with a codebook of its own; a pair of
 centroids is a cell.  A query visits cells by the sum of its two half
 distances, smallest first (a heap over the sorted lists of both halves), until
-the cells hold ``share`` of all vectors; the entries of those cells are
+the cells hold ``share`` of all vectors and ten times ``k``; the entries of those cells are
 reranked by their exact inner product.
 
 Codebooks and ``share`` are fitted on at most ``FIT_ROWS`` vectors (the
@@ -39,6 +39,8 @@ from .common import map_batches, written
 FIT_ROWS = 20_000
 FIT_QUERIES = 200
 TARGET_RECALL = 0.97
+#: A query visits cells until they hold this many times ``k`` vectors at least.
+LEAST = 10
 BLOCK = 4_096
 CHUNK = 4_096
 
@@ -184,7 +186,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec
     widths = Counter(map(len, sample["v"].to_pylist()))
     dim = max(widths, key=lambda w: (widths[w], -w)) // 8
     model = build(matrix(pa.array([v for v in sample["v"].to_pylist() if len(v) == 8 * dim]), dim), k, total, target)
-    wanted = (model.share if share is None else share) * total
+    wanted = max((model.share if share is None else share) * total, LEAST * k + 1)
     base = base.where(F.octet_length("v") == 8 * dim)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:

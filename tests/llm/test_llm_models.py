@@ -230,6 +230,14 @@ def test_split_blocks_and_chunks_give_the_same(spark, monkeypatch):
         (q, n): pair for q, pairs in brute_nearest(rows, 5).items() for n, pair in enumerate(pairs, 1)}
 
 
+def test_few_vectors_are_all_candidates(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(35)]
+    got = multi_index.nearest(vectors(spark, [(*r, 0) for r in rows]), F.col("id") % 20 == 0).collect()
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == {
+        (q, n): pair for q, pairs in brute_nearest(rows, 20).items() for n, pair in enumerate(pairs, 1)}
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
             (6, [None, 1.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (1, [0.5, 0.5]), (20, [0.0, 0.0]), (40, None)]
