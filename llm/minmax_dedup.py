@@ -5,8 +5,10 @@
    the hash evaluations give as many signature values.  Bands of ``rows``
    values (half minima, half maxima) become bucket keys.
 2. Documents with equal sets are one class; classes that share a bucket are
-   candidates.  In a bucket every class is compared with the smallest one, on
-   the full sets, and what is linked is joined to components.
+   candidates.  In a bucket every class is compared with that of the smallest
+   id, on the full sets, and what is linked is joined to components.  Classes carry
+   numbers of their own, so texts under one id stay apart; the smallest id of a
+   component is looked up at the end.
 3. A bucket that still spans several components may hide links between other
    members.  Their classes are joined by an exact prefix filter: with shingles
    ordered by rarity, two sets that are similar enough share one of their
@@ -85,8 +87,8 @@ def _confirm(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) ->
         return pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()),
                                            pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    rows = (pairs.join(bodies.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a")
-                 .join(bodies.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b"))
+    rows = (pairs.join(bodies.select(F.col("class").alias("a"), F.col("t").alias("ta")), "a")
+                 .join(bodies.select(F.col("class").alias("b"), F.col("t").alias("tb")), "b"))
     return written(map_batches(rows.select("a", "b", "ta", "tb"), check, "a long, b long").distinct(), "links")
 
 
@@ -113,23 +115,23 @@ def _rarity(open_bodies: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(open_bodies: DataFrame, rarity: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """``tok, d, root, n, pos``: the rarest shingles of a set, as many as it
+    """``tok, class, root, n, pos``: the rarest shingles of a set, as many as it
     takes for two similar sets to share one."""
     hashes = WordHashes()
 
     def prefix(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        for d, root, body in zip(*(batch.column(c).to_pylist() for c in ("d", "root")), texts(batch.column("t"))):
+        for name, root, body in zip(*(batch.column(c).to_pylist() for c in ("class", "root")), texts(batch.column("t"))):
             s = shingle_set(body.lower().split(), hashes, shingle)
             size = len(s) - -(-percent * len(s) // 100) + 1
             order = np.lexsort((s, rarity[_slots(s)]))[:size]
-            for c, v in zip(cols, (s[order].view(np.int64), np.full(size, d), np.full(size, root),
+            for c, v in zip(cols, (s[order].view(np.int64), np.full(size, name), np.full(size, root),
                                    np.full(size, len(s)), np.arange(size))):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols],
-                                          names=["tok", "d", "root", "n", "pos"])
+                                          names=["tok", "class", "root", "n", "pos"])
 
-    return map_batches(open_bodies.select("d", "root", "t"), prefix, "tok long, d long, root long, n long, pos long")
+    return map_batches(open_bodies.select("class", "root", "t"), prefix, "tok long, class long, root long, n long, pos long")
 
 
 def _hidden_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -139,13 +141,13 @@ def _hidden_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     main = (per_root.groupBy("tok").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("rows", "root")).alias("x"))
             .where("roots > 1").select("tok", F.col("x.root").alias("main")))
     met = written(prefixes.join(main, "tok"), "prefixes")
-    few = met.where("root <> main").select("tok", *[F.col(c).alias(f"{c}2") for c in ("d", "root", "n", "pos")])
+    few = met.where("root <> main").select("tok", *[F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "pos")])
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
     return (few.join(met, "tok")
             .where("root <> root2")
             .where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
             .where(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
-            .select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct())
+            .select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, percent: int = 85,
@@ -155,14 +157,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if rows % 2 or n_perm % (rows // 2):
         raise ValueError("bands take equally many minima and maxima")
     sig = written(signatures(docs, text, doc_id, shingle, n_perm, rows), "signatures")
-    classes = sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("d").alias("class"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    banded = classes.select("class", F.explode("bands").alias("bucket"))
-    smallest = (banded.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("last"))
-                .where("a < last").drop("last"))
-    shared = written(banded.join(smallest, "bucket"), "buckets")
-    bodies = written(docs.select(doc_key(doc_id).alias("d"), F.col(text).cast("string").alias("t"))
-                     .join(shared.select(F.col("class").alias("d")).distinct(), "d", "left_semi").distinct(), "bodies")
+    classes = sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("d", "f")).alias("x"), F.first("bands").alias("bands"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "s1", "s2", "x.d", "x.f", "bands"), "classes")
+    banded = classes.select("class", "d", F.explode("bands").alias("bucket"))
+    smallest = (banded.groupBy("bucket").agg(F.min_by("class", "d").alias("a"), F.min("class").alias("low"),
+                                             F.max("class").alias("last"))
+                .where("low < last").select("bucket", "a"))
+    shared = written(banded.drop("d").join(smallest, "bucket"), "buckets")
+    chosen = classes.select("class", "d", "f").join(shared.select("class").distinct(), "class", "left_semi")
+    bodies = written(docs.select(doc_key(doc_id).alias("d"), _fingerprint(text).alias("f"), F.col(text).cast("string").alias("t"))
+                     .join(chosen, ["d", "f"]).select("class", "t").distinct(), "bodies")
     links = _confirm(shared.where("class <> a").select("a", F.col("class").alias("b")).distinct(), bodies, shingle, percent)
     roots = components(links)
 
@@ -170,16 +174,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
               .select("bucket", "class", F.coalesce("root", "class").alias("root")))
     unsettled = (rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
                  .where("r1 <> r2").select("bucket"))
-    doubtful = written(rooted.join(unsettled, "bucket", "left_semi").select(F.col("class").alias("d"), "root").distinct(),
-                       "doubtful")
-    open_bodies = written(bodies.join(doubtful, "d"), "open-bodies")
+    doubtful = written(rooted.join(unsettled, "bucket", "left_semi").select("class", "root").distinct(), "doubtful")
+    open_bodies = written(bodies.join(doubtful, "class"), "open-bodies")
     rarity = _rarity(open_bodies, shingle)
     hidden = _hidden_pairs(_prefixes(open_bodies, rarity, shingle, percent), percent)
     more = _confirm(hidden, bodies, shingle, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    owners = (classes.select("s1", "s2", "class").join(roots, F.col("class") == F.col("node"), "left")
-              .select("s1", "s2", F.coalesce("root", "class").alias("component")))
+    members = roots.select(F.col("node").alias("class"), "root").unionByName(roots.select(F.col("root").alias("class"), "root").distinct())
+    lowest = members.join(classes.select("class", "d"), "class").groupBy("root").agg(F.min("d").alias("low"))
+    owners = (classes.select("s1", "s2", "class", "d").join(members.join(lowest, "root"), "class", "left")
+              .select("s1", "s2", F.coalesce("low", "d").alias("component")))
     return (sig.select("d", "f", "n_shingles", "s1", "s2").join(owners, ["s1", "s2"], "left")
             .withColumn("component", F.coalesce("component", "d")))
 

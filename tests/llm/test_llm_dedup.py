@@ -81,6 +81,18 @@ def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
          [(d, t) for (d, t), (_, _, c) in zip(EDGES, near(EDGES, 5, 80)) if key(d) == c])
 
 
+def test_texts_under_one_id_do_not_link_their_neighbours(spark):
+    """Two texts of an id, and rows without an id, are like different documents."""
+    texts = [" ".join(f"{c}{i}" for i in range(120)) for c in "abcdef"]
+    rows = [(5, texts[0]), (9, texts[1]), (13, texts[0] + " end"), (13, texts[1] + " end"), (20, texts[2]), (21, texts[3]),
+            (None, texts[2] + " end"), (None, texts[3] + " end"), (None, texts[4]), (30, texts[5]), (13, texts[5])]
+    got = minmax_dedup.near_duplicates(documents(spark, rows))
+    same([(None if r["d"] == NO_ID else r["d"], r["n_shingles"], r["component"]) for r in got.collect()], near(rows))
+    kept = minmax_dedup.dedup(documents(spark, rows)).collect()
+    same([(r["doc_id"], r["text"]) for r in kept], [(d, t) for (d, t), (_, _, c) in zip(rows, near(rows, 5, 80)) if key(d) == c])
+    assert {5, 9, 20, 21} <= {r["doc_id"] for r in kept}
+
+
 @pytest.mark.parametrize("operator", [substring_dedup.drop_shared_passages, suffix_dedup.drop_repeated_strings,
                                       line_dedup.drop_repeated_lines, minmax_dedup.components_of, minmax_dedup.dedup])
 def test_empty_table(spark, operator):
