@@ -103,7 +103,80 @@ FROM placed
 """
 
 
+_LETTERS = "(VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E'))"
+
+OP11_FILTER_AUDIT = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, {WORDS} AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+                 + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+                 + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > first)::INT AS mask
+          FROM docs JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL),
+letters AS (SELECT * FROM {_LETTERS} x(i, c)),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [1 << a.i, 1 << b.i, 1 << c.i, 1 << d.i, 1 << e.i] AS bits
+           FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT filter_order, step, bits[step] AS f, coalesce(list_sum(bits[:step - 1]), 0)::INT AS earlier
+          FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+taken AS (SELECT part, filter_order, step, f,
+                 coalesce(sum(n) FILTER ((mask & (earlier | f)) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER ((mask & f) > 0 AND (mask & earlier) = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER ((mask & f) > 0 AND (mask & earlier) > 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (mask = f), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER ((mask & f) > 0 AND (mask & earlier) = 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER ((mask & f) > 0 AND (mask & earlier) = 0), 0)::BIGINT AS toxic_lost
+          FROM counts, steps GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM taken
+"""
+
+OP12_COLLOCATIONS = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                  translate(coalesce(text, ''), {UPPER}, {LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, w[i:i + k - 1] AS g, count(*) AS n FROM places GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS total FROM f WHERE len(g) = 1 GROUP BY lang),
+phrases AS (SELECT lang, g, n AS a FROM f WHERE len(g) > 1 AND n >= 10),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM phrases),
+scored AS (SELECT c.*, x.n AS l, y.n AS r, ((1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, x AS g, max(a) AS most
+           FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS x FROM phrases WHERE len(g) = 3) GROUP BY ALL),
+listed AS (SELECT w.*, array_to_string(g, ' ') AS phrase FROM weakest w LEFT JOIN longer o USING (lang, g)
+           WHERE len(g) = 3 OR most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total AS n, score
+FROM listed JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def _tokens(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), {UPPER}, {LOWER}), "
+            "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+OP13_DECONTAMINATION = f"""
+WITH docs AS (SELECT doc_id, {_tokens('text')} AS w FROM documents),
+items AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_tokens('text')} AS w FROM benchmark)),
+wanted AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS x
+           FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM items WHERE k > 0)),
+places AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS x
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM docs, (SELECT DISTINCT k FROM wanted))),
+met AS (SELECT doc_id, k, p, item_id FROM places JOIN wanted USING (k, x)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS i FROM met) GROUP BY doc_id),
+owners AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+           FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+
 ORACLES = {
     "op1_substring_dedup": OP1_SUBSTRING_DEDUP, "op4_suffix_dedup": OP4_SUFFIX_DEDUP, "op6_minmax_dedup": OP6_MINMAX_DEDUP,
-    "op7_mixing": _mixing(), "op10_line_dedup": OP10_LINE_DEDUP,
+    "op7_mixing": _mixing(), "op10_line_dedup": OP10_LINE_DEDUP, "op11_filter_audit": OP11_FILTER_AUDIT,
+    "op12_collocations": OP12_COLLOCATIONS, "op13_decontamination": OP13_DECONTAMINATION,
 }

@@ -93,7 +93,7 @@ def test_clashing_columns_and_empty_tables(spark, tables):
 def test_every_numbered_query_is_registered(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(catalog.QUERIES) == set(names) and len(TARGETS) == 3 and word_count("text") is not None
 
