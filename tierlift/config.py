@@ -100,6 +100,9 @@ class ExperimentConfig:
     scenarios: tuple[Scenario, ...] = DEFAULT_SCENARIOS
     # Cutoff balancing: id-range buckets per (tier, side) group and selection level.
     balance_buckets: int = 1024
+    # Id filters hold 2^filter_bits slots: what they broadcast has at most
+    # 2^filter_bits / 8 bytes.  Ids below 2^filter_bits are filtered exactly.
+    filter_bits: int = 27
     # Repricing what-if used by the projection (tier -> new discount rate).
     repricing: tuple[tuple[str, float], ...] = (("Platinum", 0.15),)
     min_referrals: int = 3
@@ -116,6 +119,8 @@ class ExperimentConfig:
             raise ValueError("tier ladder larger than 64 rungs is not supported")
         if not 2 <= self.balance_buckets <= 65536:
             raise ValueError("balance_buckets must be in [2, 65536]")
+        if not 15 <= self.filter_bits <= 31:
+            raise ValueError("filter_bits must be in [15, 31]")
         if any(not 0 <= r < 1 for r in [*(t.discount_rate for t in self.tiers), *(r for _, r in self.repricing)]):
             raise ValueError("discount rates must be in [0, 1)")
         for t in self.tiers:

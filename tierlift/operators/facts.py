@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_CONFIG, ExperimentConfig
 from ..functions import labels as L
 from ..functions.rounding import round_decimal
+from .idfilter import only_users
 from .windowing import txn_window_scan
 
 
@@ -68,15 +69,19 @@ def treatment_orders_by_class(cohort: DataFrame, tx: DataFrame,
                               cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
     """``tier, coupon_type, transactions``: distinct orders of treatment users
     per class.  An order whose rows carry different classes counts once in
-    each class.  The join is a plain equi-join on ``user_id`` (AQE splits a
-    skewed user partition); the distinct count is keyed on (tier, class,
-    order), so no single key is hot after the join.  Rows travel with a
-    one-byte class code; labels are attached after the aggregate."""
+    each class.
+
+    Rows of other users are dropped by a bitmap of the treatment ids above the
+    scan, and what is left is reduced to distinct (user, order, class) in every
+    task, so the first exchange carries those triples alone, with a one-byte
+    class code.  The join on ``user_id`` brings the tier (and makes the filter
+    exact); the distinct count is keyed on (tier, class, order), so no single
+    key is hot after it.  Labels are attached after the aggregate."""
     treat = cohort.where(L.is_treatment("is_member")).select("user_id", "tier")
     post = (txn_window_scan(tx, cfg.post_start, cfg.post_end)
-            .where(F.col("user_id").isNotNull())
             .select("user_id", "txn_id", L.coupon_class_code("coupon", cfg).alias("_cls")))
-    j = post.join(treat, on="user_id", how="inner")
+    triples = only_users(post, treat, bits=cfg.filter_bits).distinct()
+    j = triples.join(treat, on="user_id", how="inner")
     return (j.groupBy("tier", "_cls")
              .agg(F.countDistinct("txn_id").cast("bigint").alias("transactions"))
              .select("tier", L.coupon_class_label("_cls", cfg).alias("coupon_type"), "transactions"))
