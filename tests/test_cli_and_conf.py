@@ -14,8 +14,10 @@ def test_cli_writes_all_reports(spark, tmp_path):
     from tierlift.__main__ import main
     from tierlift.plans.experiment import Experiment
     assert main(["--tpch", "/root/testdata/sf0.001", "--out", str(tmp_path)]) == 0
-    for name in Experiment.REPORTS:
-        assert list((tmp_path / name).glob("part-*.csv")), name
+    names = {*Experiment.REPORTS, *Experiment.FINANCE}
+    assert len(names) == 22 and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {f"{n}.csv" for n in names}
+    assert main(["--tpch", "/root/testdata/sf0.001", "--out", str(tmp_path / "one"), "--reports", "engagement"]) == 0
+    assert (tmp_path / "one" / "engagement.csv").read_text() == (tmp_path / "engagement.csv").read_text()
 
 
 def test_cli_on_csv_with_other_names_and_windows(spark, tmp_path):
@@ -57,12 +59,28 @@ def test_cli_on_csv_with_other_names_and_windows(spark, tmp_path):
     cfg = ExperimentConfig(pre_start=day("2022-01-01"), pre_end=day("2023-12-31"), launch=day("2024-01-01"),
                            post_start=day("2024-01-01"), post_end=day("2024-12-31"), coupon_prefix="PFX-", referral_label="PFX")
     ex = Experiment(read_users(spark, str(users), "csv", user_names), read_transactions(spark, str(tx), "csv", tx_names), cfg)
-    for name, report in ex.reports().items():
-        want = [[str(v) if v is not None else "" for v in r] for r in report.collect()]
-        got = [r for p in (out / name).glob("part-*.csv") for r in list(csv.reader(p.open()))]
+    for name, report in ex.reports((*Experiment.REPORTS, *Experiment.FINANCE)).items():
+        want = [[str(v).lower() if isinstance(v, bool) else str(v) if v is not None else "" for v in r] for r in report.collect()]
+        got = list(csv.reader((out / f"{name}.csv").open()))
         assert got[0] == report.columns and sorted(got[1:]) == sorted(want) and want, name
 
 
+def test_cli_rejects_and_text_ids(spark, tmp_path, capsys):
+    from tierlift.__main__ import main
+    users, tx = tmp_path / "users.csv", tmp_path / "transactions.csv"
+    users.write_text("user_id,city,gender,registration_date,opt_in,is_member,member_tier\n" + "".join(
+        f"C-{i:04},A,F,1990-01-01,true,{'true' if i % 2 else 'false'},Bronze\n" for i in range(40)) + "C-9999,short\n")
+    tx.write_text("txn_date,user_id,txn_id,coupon,revenue\n" + "".join(
+        f"{day},C-{i:04},{day}-{i},FRIEND-C-0001,5.00\n" for i in range(40) for day in ("1997-05-05", "1998-05-05"))
+        + "1997-05-05,C-0001,T,,five\n1997-05-05,C-0001,T,,5.00,6\n")
+    options = ["--users", str(users), "--transactions", str(tx), "--format", "csv", "--text-ids", "--out", str(tmp_path / "out")]
+    assert main([*options, "--rejects", str(tmp_path / "rejects"), "--reports", "balanced_group_sizes,referrals_by_referrer"]) == 0
+    said = capsys.readouterr().out
+    assert "rejected users\t1\t" in said and "rejected transactions\t2\t" in said
+    assert (tmp_path / "out" / "balanced_group_sizes.csv").read_text().split() == ["tier_label,user_count", "Bronze,20", "bronze_control,20"]
+    assert "C-0001,true,39,39" in (tmp_path / "out" / "referrals_by_referrer.csv").read_text()
+
+
 def test_tier_file(tmp_path):
     import json
 

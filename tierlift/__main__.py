@@ -1,14 +1,17 @@
-"""Run all eight analyses and write one headed CSV per report.
+"""Run the eight analyses and fourteen finance tables; one headed CSV file each.
 
     python -m tierlift --users PATH --transactions PATH --out DIR [--format csv]
         [--user-columns source=user_id,...] [--transaction-columns source=txn_id,...]
         [--pre FROM:TO] [--launch DATE] [--post FROM:TO] [--coupon-prefix TEXT]
-        [--referral-label TEXT] [--tiers FILE]
+        [--referral-label TEXT] [--tiers FILE] [--reports NAME,...] [--text-ids]
+        [--rejects DIR]
     python -m tierlift --tpch /root/testdata/sf0.1 --out DIR [--grain line]
 
 Dates are ISO dates, windows are closed on both ends.  ``--tiers`` names a JSON
 list of objects with the fields ``name, control_label, min_orders, max_orders,
-discount_rate, sort_order``.  On a cluster, run it through ``spark-submit`` with
+discount_rate, sort_order``.  ``--reports`` names reports, ``analyses`` or
+``finance`` (else all).  A row that cannot be read ends the run, or goes to
+``DIR/users`` or ``DIR/transactions`` with ``--rejects DIR``.  On a cluster, run it through ``spark-submit`` with
 the package on the Python path; master, ``spark.checkpoint.dir`` and partition
 settings come from the submitting environment.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import SparkSession
 
 from .config import DEFAULT_CONFIG, ExperimentConfig, Tier
 from .plans.experiment import Experiment
-from .sources.readers import read_transactions, read_users
+from .sources.readers import read_transactions, read_users, rejected
 
 
 def _columns(text: str) -> dict[str, str]:
@@ -52,6 +55,9 @@ def parser() -> argparse.ArgumentParser:
     ap.add_argument("--coupon-prefix", help="prefix of referral codes")
     ap.add_argument("--referral-label", help="name of the referral class in reports")
     ap.add_argument("--tiers", help="JSON file with the tier ladder")
+    ap.add_argument("--reports", default="analyses,finance", help="names of reports, 'analyses' or 'finance'")
+    ap.add_argument("--text-ids", action="store_true", help="user ids are text, not integers")
+    ap.add_argument("--rejects", help="folder for rows that cannot be read (without it they are an error)")
     ap.add_argument("--tpch", help="derive users/transactions from a star-schema directory")
     ap.add_argument("--grain", default="order", choices=["order", "line"])
     ap.add_argument("--out", required=True)
@@ -79,6 +85,12 @@ def config_of(args: argparse.Namespace) -> ExperimentConfig:
     return DEFAULT_CONFIG.with_(**changes)
 
 
+def reports_of(text: str) -> tuple[str, ...]:
+    """Report names, with ``analyses`` and ``finance`` for all of a kind."""
+    groups = {"analyses": Experiment.REPORTS, "finance": Experiment.FINANCE}
+    return tuple(dict.fromkeys(r for name in text.split(",") if name for r in groups.get(name.strip(), (name.strip(),))))
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = parser()
     args = ap.parse_args(argv)
@@ -87,12 +99,17 @@ def main(argv: list[str] | None = None) -> int:
     if args.tpch:
         ex = Experiment.from_tpch(spark, args.tpch, cfg, grain=args.grain, materialize=True)
     elif args.users and args.transactions:
-        ex = Experiment(read_users(spark, args.users, args.format, args.user_columns),
-                        read_transactions(spark, args.transactions, args.format, args.transaction_columns),
+        place = {t: f"{args.rejects.rstrip('/')}/{t}" if args.rejects else None for t in ("users", "transactions")}
+        ex = Experiment(read_users(spark, args.users, args.format, args.user_columns, text_ids=args.text_ids, rejects=place["users"]),
+                        read_transactions(spark, args.transactions, args.format, args.transaction_columns,
+                                          text_ids=args.text_ids, rejects=place["transactions"]),
                         cfg, materialize=True)
+        if args.rejects:
+            for table, path in place.items():
+                print(f"rejected {table}\t{rejected(spark, path)}\t{path}")
     else:
         ap.error("give --tpch, or --users and --transactions")
-    for name, path in ex.write_reports(args.out).items():
+    for name, path in ex.write_reports(args.out, reports_of(args.reports)).items():
         print(f"{name}\t{path}")
     return 0
 

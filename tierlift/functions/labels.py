@@ -106,8 +106,11 @@ def coupon_class_label(code: str, cfg: ExperimentConfig) -> Column:
                   f"WHEN {COUPON_OTHER} THEN {lit(OTHER_COUPON)} ELSE {lit(NO_COUPON)} END")
 
 
-def referrer_id(coupon: str, cfg: ExperimentConfig) -> Column:
-    """Referrer id parsed from ``<prefix><digits>``; NULL when malformed."""
-    pattern = "^" + re.escape(cfg.coupon_prefix) + r"([0-9]+)$"
+def referrer_id(coupon: str, cfg: ExperimentConfig, text_ids: bool = False) -> Column:
+    """Referrer id parsed from ``<prefix><digits>`` (text ids: ``<prefix><id>``);
+    NULL when malformed."""
+    prefix = "^" + re.escape(cfg.coupon_prefix)
+    if text_ids:
+        return F.nullif(F.regexp_extract(F.col(coupon), prefix + r"([\s\S]+)$", 1), F.lit(""))
     # No digits, or more than a BIGINT holds: NULL.
-    return F.regexp_extract(F.col(coupon), pattern, 1).try_cast("bigint")
+    return F.regexp_extract(F.col(coupon), prefix + r"([0-9]+)$", 1).try_cast("bigint")

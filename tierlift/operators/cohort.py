@@ -16,12 +16,13 @@ Population rules (semantics kept from the analysed scripts):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT_CONFIG, ExperimentConfig
 from ..functions import labels as L
-from .ranking import bucketed_row_number, k_smallest_per_group
+from .ranking import IN_PLAY, bucketed_row_number, k_smallest_per_group
 from .windowing import window_txn_counts
 
 COHORT_KEYS = ["tier", "is_member"]
@@ -35,7 +36,12 @@ def eligible_users(users: DataFrame, tx: DataFrame, cfg: ExperimentConfig = DEFA
     (pushed to Parquet); the count side is already hash-partitioned on
     ``user_id`` by its aggregate, so the join shuffles only the users side (or
     AQE turns it into a broadcast when the users side is small)."""
-    counts = window_txn_counts(tx, cfg.pre_start, cfg.pre_end).where(F.col("n_orders") > 0)
+    return eligible_of(users, window_txn_counts(tx, cfg.pre_start, cfg.pre_end), cfg)
+
+
+def eligible_of(users: DataFrame, counts: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) -> DataFrame:
+    """:func:`eligible_users` from known pre-window order counts per user."""
+    counts = counts.where(F.col("n_orders") > 0)
     u = users.where(F.col("registration_date") < F.lit(cfg.launch)).where("opt_in = TRUE")
     e = u.join(counts, on="user_id", how="inner")
     cols = [c for c in e.columns if c != "n_orders"]
@@ -104,31 +110,56 @@ def _limits(targets: DataFrame) -> DataFrame:
              .unionByName(t.withColumn("is_member", F.lit(False))))
 
 
-def side_count_metrics(cfg: ExperimentConfig = DEFAULT_CONFIG) -> list:
-    """Aggregate expressions counting eligible users per (tier, side), for
-    ``DataFrame.observe``: the counts are gathered during an action that runs
-    anyway (the eligible checkpoint), without a job of their own."""
-    out = []
+#: Size of the quantile sketches; the error of a rank is below ``SKETCH_MARGIN``
+#: of the rows but for odd cases, which the selection notices.
+SKETCH_K, SKETCH_MARGIN = 4_096, 0.003
+
+
+def _sides(cfg: ExperimentConfig):
     for i, t in enumerate(cfg.tiers):
-        tier = L.lit(t.name)
-        for side, flag in (("t", "TRUE"), ("c", "FALSE")):
-            cond = f"is_member IS {flag} AND tier = {tier}"
-            out.append(F.expr(f"count_if({cond})").alias(f"{side}{i}"))
-            # id range of the group: the cutoff balancing needs no stats pass
-            out.append(F.expr(f"min(CASE WHEN {cond} THEN user_id END)").alias(f"{side}{i}_lo"))
-            out.append(F.expr(f"max(CASE WHEN {cond} THEN user_id END)").alias(f"{side}{i}_hi"))
+        for side, flag in (("t", True), ("c", False)):
+            yield f"{side}{i}", t.name, flag
+
+
+def side_count_metrics(cfg: ExperimentConfig = DEFAULT_CONFIG, text_ids: bool = False) -> list:
+    """Aggregate expressions over eligible users per (tier, side), for
+    ``DataFrame.observe``: they are gathered during an action that runs anyway
+    (the eligible checkpoint), without a job of their own.  The number of users
+    and, of integral ids, their range and a quantile sketch."""
+    out = []
+    for name, tier, flag in _sides(cfg):
+        cond = f"is_member IS {str(flag).upper()} AND tier = {L.lit(tier)}"
+        out.append(F.expr(f"count_if({cond})").alias(name))
+        if not text_ids:
+            mine = f"CASE WHEN {cond} THEN user_id END"
+            out += [F.expr(f"min({mine})").alias(f"{name}_lo"), F.expr(f"max({mine})").alias(f"{name}_hi"),
+                    F.expr(f"kll_sketch_agg_bigint({mine}, {SKETCH_K})").alias(f"{name}_ids")]
     return out
 
 
 def group_ranges_from_side_counts(metrics: dict, cfg: ExperimentConfig = DEFAULT_CONFIG) -> list[tuple]:
-    """``(tier, is_member, lo, hi)`` per non-empty group from observed metrics."""
-    rows = []
-    for i, t in enumerate(cfg.tiers):
-        for side, flag in (("t", True), ("c", False)):
-            lo, hi = metrics.get(f"{side}{i}_lo"), metrics.get(f"{side}{i}_hi")
-            if lo is not None and hi is not None:
-                rows.append((t.name, flag, int(lo), int(hi)))
-    return rows
+    """``(tier, is_member, lo, hi)`` per non-empty group from observed metrics
+    (none for text ids)."""
+    return [(tier, flag, int(metrics[f"{name}_lo"]), int(metrics[f"{name}_hi"])) for name, tier, flag in _sides(cfg)
+            if metrics.get(f"{name}_lo") is not None and metrics.get(f"{name}_hi") is not None]
+
+
+def id_brackets(spark: SparkSession, metrics: dict, cfg: ExperimentConfig = DEFAULT_CONFIG) -> dict:
+    """``{(tier, is_member): (lo, hi)}``: where the sketches place the id at the
+    cut of each group that is refined at all (more than ``IN_PLAY`` rows)."""
+    targets = {r[0]: r[3] for r in targets_from_side_counts(metrics, cfg)}
+    found = {}
+    for name, tier, flag in _sides(cfg):
+        n, sketch = int(metrics[name]), metrics.get(f"{name}_ids")
+        if tier in targets and n > IN_PLAY and sketch is not None:
+            rank = targets[tier] / n
+            # Constants: Spark evaluates them while it plans.
+            found[tier, flag] = [F.kll_sketch_get_quantile_bigint(F.lit(bytes(sketch)), F.lit(min(1.0, max(0.0, rank + margin))))
+                                 for margin in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    if not found:
+        return {}
+    values = iter(spark.range(1).select(*[c for pair in found.values() for c in pair]).first())
+    return {group: (next(values), next(values)) for group in found}
 
 
 def targets_from_side_counts(metrics: dict, cfg: ExperimentConfig = DEFAULT_CONFIG) -> list[tuple]:
@@ -164,13 +195,17 @@ def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
         rows = [(r["tier"], r["target_n"]) for r in target_counts(eligible, cfg).collect()]  # <= tiers rows
     targets = spark.createDataFrame(rows, "tier string, target_n bigint")
     if method in ("cutoff", "branches"):
-        ranges = None
+        ranges = brackets = sizes = None
         if side_counts is not None:
-            ranges = spark.createDataFrame(group_ranges_from_side_counts(side_counts, cfg),
-                                           "tier string, is_member boolean, lo bigint, hi bigint")
+            sizes = {(tier, flag): int(side_counts[name]) for name, tier, flag in _sides(cfg)}
+            if not isinstance(base.schema["user_id"].dataType, T.StringType):
+                ranges = spark.createDataFrame(group_ranges_from_side_counts(side_counts, cfg),
+                                               "tier string, is_member boolean, lo bigint, hi bigint")
+                brackets = id_brackets(spark, side_counts, cfg)
 
         def cut(side: DataFrame, limits: DataFrame, known: DataFrame | None) -> DataFrame:
-            return k_smallest_per_group(side, COHORT_KEYS, "user_id", limits, "target_n", cfg.balance_buckets, known)
+            return k_smallest_per_group(side, COHORT_KEYS, "user_id", limits, "target_n", cfg.balance_buckets, known,
+                                        brackets, sizes)
 
         limits = _limits(targets)
         if method == "cutoff":

@@ -12,12 +12,22 @@ group's k-th smallest id:
    BIGINT range, with no overflow;
 2. a histogram ``count(*)`` per (group, bucket) is an ordinary partial/final
    aggregate, from which the driver reads the bucket holding the k-th id;
-3. that bucket alone stays in play, ``2 ** bits`` times finer, until a bucket is
-   one id: the threshold ``t``, together with the number of rows below it;
+3. that bucket alone stays in play, ``2 ** bits`` times finer, until it is one id
+   or holds at most ``IN_PLAY`` rows, whose ids are then read: the threshold
+   ``t``, together with the number of rows below it;
 4. rows with ``id < t`` are kept by a filter against a broadcast of the
    thresholds.  Of the rows with ``id = t`` (one, where ids are a key) as many
    are kept as are still needed.
 
+Quantile sketches, where the caller has them, bracket the k-th id before the
+first level, so that one histogram inside the bracket and the ids of one bucket
+are enough whatever the layout of the ids; the histogram also counts what lies
+below, so a bracket that missed the id is noticed and the search starts anew.
+
+Text ids are selected seven bytes at a time (:func:`text_chunk`): each chunk is
+a BIGINT in the order of the text, found as above among the rows that share the
+chunks before it.
+
 ``bucketed_row_number`` must rank *every* row, so it uses equi-depth ranges:
 ``repartitionByRange`` samples the (group, id) distribution, the range of each
 row is written down once, and a window partitioned by (group, range) plus a
@@ -30,9 +40,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.labels import q
 from ..session import materialize
 
+#: Rows of a bucket whose ids the driver reads instead of refining it further.
+IN_PLAY = 10_000
+#: Bytes of a text in one chunk.
+CHUNK = 7
+
 _B, _CNT, _OFF = "_rk_bucket", "_rk_cnt", "_rk_off"
 
 
@@ -51,63 +68,167 @@ def _same(left: DataFrame, right: DataFrame, groups: list[str]) -> Column:
     return cond
 
 
+def text_chunk(col: str, level: int) -> Column:
+    """Bytes ``[7 * level, 7 * level + 7)`` of a text as a BIGINT that orders
+    texts with equal earlier chunks: the bytes, highest first, then how many
+    there are (an ended text comes before its continuations)."""
+    part = f"substring(CAST({q(col)} AS BINARY), {CHUNK * level + 1}, {CHUNK})"
+    return F.expr(f"CAST(conv(rpad(hex({part}), {2 * CHUNK}, '0'), 16, 10) AS BIGINT) * 8 + octet_length({part})")
+
+
+def _pick(counts: list[tuple], need: int, key=None) -> tuple | None:
+    """``(value, rows before it, its rows)`` where the ``need``-th row is; ``None``
+    if there are fewer."""
+    seen = 0
+    for value, n in sorted(counts, key=lambda c: key(c[0]) if key else c[0]):
+        if seen + n >= need:
+            return value, seen, n
+        seen += n
+    return None
+
+
+def _read_ids(df: DataFrame, groups: list[str], col: str, plays: dict[tuple, Column], key_of) -> dict[tuple, list[tuple]]:
+    """Counts of the ids of each group that are in play."""
+    if not plays:
+        return {}
+    cond = F.lit(False)
+    for g, mine in plays.items():
+        cond = cond | (_is(groups, g) & mine)
+    out: dict = {g: [] for g in plays}
+    for r in df.where(cond).groupBy(*groups, col).agg(F.count(F.lit(1)).alias(_CNT)).collect():
+        out[key_of(r)].append((r[col], r[_CNT]))
+    return out
+
+
 def kth_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, k: dict,
-                           buckets: int = 1024, ranges: dict | None = None) -> dict:
+                           buckets: int = 1024, ranges: dict | None = None, brackets: dict | None = None,
+                           sizes: dict | None = None) -> dict:
     """Per group ``(value, below, equal)``: the ``k[group]``-th smallest value of
-    the integral ``order_col``, the number of rows below it and equal to it.
+    ``order_col`` (integral or text), the number of rows below it and equal to it.
 
-    Keys of ``k`` / ``ranges`` are tuples of group values; ``ranges`` maps a
-    group to known ``(lo, hi)`` (else one min/max aggregate).  Groups with
+    Keys of ``k``, ``ranges`` and ``brackets`` are tuples of group values;
+    ``ranges`` maps a group to known ``(lo, hi)`` (else one min/max aggregate),
+    ``brackets`` to a ``(lo, hi)`` that probably holds the value, ``sizes`` to
+    its number of rows (as in every bucket, ids of at most ``IN_PLAY`` rows are
+    read without refining).  Groups with
     ``k`` above their size map to ``None`` (keep all); groups with ``k <= 0``
     or without rows are absent (keep none).  Every level is one aggregate; at
-    most ``groups x (buckets + 1)`` counts reach the driver."""
+    most ``groups x (buckets + 2)`` counts, or ``groups x IN_PLAY`` ids, reach
+    the driver."""
     if not groups:
         raise ValueError("at least one grouping column is required")
     key_of = lambda r: tuple(r[g] for g in groups)
-    if ranges is None:
+    if isinstance(df.schema[order_col].dataType, T.StringType):
+        return _kth_text(df, groups, order_col, k, buckets, key_of, sizes)
+    result = _of_small_groups(df, groups, order_col, k, key_of, sizes)
+    k = {g: need for g, need in k.items() if g not in result}
+    if not k:
+        return {g: v for g, v in result.items() if v != ()}
+    known = dict(brackets or {})
+    if ranges is None and any(g not in known for g in k):
         ranges = {key_of(r): (r["lo"], r["hi"]) for r in
                   df.groupBy(*groups).agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).collect()}
     bits = max(1, buckets.bit_length() - 1)
-    # group -> (shift, still needed, rows below, bucket in play at the last shift)
+    level = lambda lo, hi: max(0, (int(hi) - int(lo)).bit_length() - bits)
+    # group -> (shift, still needed, rows below, lowest and highest id in play, bracket of the first level)
     state: dict = {}
     for g, need in k.items():
-        if need is not None and need > 0 and g in ranges and ranges[g][0] is not None:
-            span = int(ranges[g][1]) - int(ranges[g][0])
-            state[g] = (max(0, span.bit_length() - bits), int(need), 0, None)
-    result: dict = {}
+        lo, hi = known.get(g) or (ranges or {}).get(g) or (None, None)
+        if need is not None and need > 0 and lo is not None:
+            state[g] = (level(lo, hi), int(need), 0, int(lo), int(hi), g in known)
     while state:
-        shift, cond = F.lit(None).cast("int"), F.lit(False)
-        for g, (s, _, _, path) in state.items():
+        shift, cond, low = F.lit(None).cast("int"), F.lit(False), F.lit(None).cast("bigint")
+        for g, (s, _, _, lo, hi, bracket) in state.items():
             mine = _is(groups, g)
             shift = F.when(mine, F.lit(s)).otherwise(shift)
-            if path is not None:
-                mine = mine & (F.shiftright(order_col, path[0]) == F.lit(path[1]))
-            cond = cond | mine
-        hist = (df.where(cond).select(*groups, F.call_function("shiftright", F.col(order_col), shift).alias(_B))
-                  .groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT)).collect())
+            low = F.when(mine, F.lit(lo)).otherwise(low)
+            # Rows below a bracket are counted as well, in a bucket of their own.
+            cond = cond | (mine & (F.col(order_col) <= hi) & (F.lit(True) if bracket else F.col(order_col) >= lo))
+        bucket = F.when(F.col(order_col) >= low, F.call_function("shiftright", F.col(order_col), shift))
+        hist = df.where(cond).select(*groups, bucket.alias(_B)).groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT)).collect()
         per_group: dict = {}
         for r in hist:
             per_group.setdefault(key_of(r), []).append((r[_B], r[_CNT]))
-        following: dict = {}
-        for g, (s, need, below, _) in state.items():
-            seen, counts = 0, sorted(per_group.get(g, []))
-            if need > sum(c for _, c in counts):  # fewer rows than asked: keep the whole group
-                result[g] = None
+        following, plays, anew = {}, {}, {}
+        for g, (s, need, below, lo, hi, bracket) in state.items():
+            counts = per_group.get(g, [])
+            under = sum(n for b, n in counts if b is None)
+            got = _pick([c for c in counts if c[0] is not None], need - under) if need > under else None
+            if got is None:
+                if bracket:  # the id lies outside
+                    anew[g] = need
+                else:  # fewer rows than asked: keep the whole group
+                    result[g] = None
+                continue
+            b, seen, n = got
+            seen += under
+            if s == 0:
+                result[g] = (b, below + seen, n)
                 continue
-            for b, c in counts:
-                if seen + c >= need:
-                    if s == 0:
-                        result[g] = (b, below + seen, c)
-                    else:
-                        following[g] = (max(0, s - bits), need - seen, below + seen, (s, b))
-                    break
-                seen += c
+            first, last = max(lo, b << s), min(hi, ((b + 1) << s) - 1)
+            following[g] = (level(first, last), need - seen, below + seen, first, last, False)
+            if n <= IN_PLAY:
+                plays[g] = F.col(order_col).between(F.lit(first), F.lit(last))
+        if plays:
+            for g, ids in _read_ids(df, groups, order_col, plays, key_of).items():
+                _, need, below, *_ = following.pop(g)
+                value, seen, n = _pick(ids, need)
+                result[g] = (value, below + seen, n)
+        if anew:
+            result.update(kth_smallest_per_group(df, groups, order_col, anew, buckets))
         state = following
-    return result
+    return {g: v for g, v in result.items() if v != ()}
+
+
+def _of_small_groups(df: DataFrame, groups: list[str], col: str, k: dict, key_of, sizes: dict | None) -> dict:
+    """The groups that are known to have at most ``IN_PLAY`` rows, by their ids;
+    ``()`` for those that keep none."""
+    small = [g for g in k if (sizes or {}).get(g, IN_PLAY + 1) <= IN_PLAY]
+    if not small:
+        return {}
+    found = _read_ids(df, groups, col, {g: F.col(col).isNotNull() for g in small if k[g] is not None and k[g] > 0}, key_of)
+    order = (lambda t: t.encode()) if isinstance(df.schema[col].dataType, T.StringType) else None
+    return {g: _pick(found[g], k[g], order) if found.get(g) else () for g in small}
+
+
+def _kth_text(df: DataFrame, groups: list[str], col: str, k: dict, buckets: int, key_of, sizes: dict | None) -> dict:
+    """:func:`kth_smallest_per_group` for a text column, chunk by chunk."""
+    result = _of_small_groups(df, groups, col, k, key_of, sizes)
+    k = {g: need for g, need in k.items() if g not in result}
+    state = {g: (int(need), 0, F.col(col).isNotNull()) for g, need in k.items() if need is not None and need > 0}
+    depth = 0
+    while state:
+        cond = F.lit(False)
+        for g, (_, _, mine) in state.items():
+            cond = cond | (_is(groups, g) & mine)
+        chunk = text_chunk(col, depth)
+        part = df.where(cond).select(*groups, chunk.alias("_rk_chunk"))
+        found = kth_smallest_per_group(part, groups, "_rk_chunk", {g: need for g, (need, _, _) in state.items()}, buckets)
+        following, plays = {}, {}
+        for g, (need, below, mine) in state.items():
+            if g not in found:
+                continue  # no rows
+            if found[g] is None:
+                result[g] = None
+                continue
+            value, seen, n = found[g]
+            step = (need - seen, below + seen, mine & (chunk == F.lit(value)))
+            following[g] = step
+            # an ended text is one id, whatever its rows
+            if n <= IN_PLAY or value % 8 < CHUNK:
+                plays[g] = step[2]
+        if plays:
+            for g, ids in _read_ids(df, groups, col, plays, key_of).items():
+                need, below, _ = following.pop(g)
+                value, seen, n = _pick(ids, need, lambda t: t.encode())
+                result[g] = (value, below + seen, n)
+        state, depth = following, depth + 1
+    return {g: v for g, v in result.items() if v != ()}
 
 
 def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, limits: DataFrame, limit_col: str,
-                         buckets: int = 1024, ranges: DataFrame | None = None) -> DataFrame:
+                         buckets: int = 1024, ranges: DataFrame | None = None, brackets: dict | None = None,
+                         sizes: dict | None = None) -> DataFrame:
     """Rows of ``df`` whose ``row_number()`` by ``order_col`` inside their group
     is ``<= limits[limit_col]`` of that group (groups absent from ``limits`` are
     dropped); exactly that many rows, also where ids repeat.
@@ -116,11 +237,12 @@ def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, limit
     thresholds: no sort and no shuffle of the rows.  Only if a threshold id has
     more rows than are needed are the rows of that one id numbered.
     ``limits`` (at most one row per group) and ``ranges`` (``groups, lo, hi``)
-    are small relations and are collected."""
+    are small relations and are collected; ``brackets`` and ``sizes``
+    as in :func:`kth_smallest_per_group`."""
     key_of = lambda r: tuple(r[g] for g in groups)
     k = {key_of(r): r[limit_col] for r in limits.collect()}
     known = None if ranges is None else {key_of(r): (r["lo"], r["hi"]) for r in ranges.collect()}
-    cut = kth_smallest_per_group(df, groups, order_col, k, buckets, known)
+    cut = kth_smallest_per_group(df, groups, order_col, k, buckets, known, brackets, sizes)
     # group, threshold (null: keep all), rows of the threshold id to keep (null: all of them)
     rows = [(*g, None, None) if c is None else (*g, c[0], None if k[g] - c[1] >= c[2] else k[g] - c[1])
             for g, c in cut.items()]

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Partition column of tables that are stored by month (its first day).
+MONTH = "txn_month"
+
+
 def txn_window_scan(tx: DataFrame, lo: _dt.date, hi: _dt.date) -> DataFrame:
     """Transactions with ``lo <= txn_date <= hi`` (closed window).
 
     Typed date literals keep the predicate a plain range on the scan column,
-    so Parquet receives it in ``PushedFilters`` (row-group skipping)."""
-    return tx.where(F.col("txn_date").between(F.lit(lo), F.lit(hi)))
+    so Parquet receives it in ``PushedFilters`` (row-group skipping).  A table
+    stored by month (:data:`MONTH`) is pruned to the months of the window."""
+    rows = tx.where(F.col("txn_date").between(F.lit(lo), F.lit(hi)))
+    if MONTH in tx.columns:
+        rows = rows.where(F.col(MONTH).between(F.lit(lo.replace(day=1)), F.lit(hi.replace(day=1))))
+    return rows
 
 
 def window_txn_counts(tx: DataFrame, lo: _dt.date, hi: _dt.date) -> DataFrame:

@@ -18,10 +18,11 @@ from ..operators import facts as FX
 from ..operators import segments as S
 from ..operators.dimension import tier_dimension
 from ..operators.windowing import txn_window_scan, window_txn_counts
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources.fixtures import TpchFixture
 from ..sources.readers import read_transactions, read_users
 from ..sources.sinks import write_report_csv
+from ..sources.store import write_store
 from . import finance as M
 from . import reports as R
 from .experiment import Experiment
@@ -91,6 +92,22 @@ def q_read_transactions(fmt):
     return run
 
 
+def q_rejected_rows(spark, sf_dir):
+    """``field, rows``: transactions exported with broken values in some rows,
+    read with a table of rejects; the rows by what was wrong with them, and
+    (null) those that were read."""
+    tx = TpchFixture(spark, sf_dir, CFG).transactions()
+    broken = tx.select(*[F.col(c).cast("string").alias(c) for c in tx.columns]).withColumns({
+        "txn_date": F.when(F.col("txn_id").cast("bigint") % 50 == 0, "n/a").otherwise(F.col("txn_date")),
+        "revenue": F.when(F.col("txn_id").cast("bigint") % 50 == 1, F.concat("revenue", F.lit(" EUR"))).otherwise(F.col("revenue")),
+        "user_id": F.when(F.col("txn_id").cast("bigint") % 50 == 2, F.concat(F.lit("C-"), "user_id")).otherwise(F.col("user_id"))})
+    scratch = f"{ensure_checkpoint_dir(spark)}/rejects-{uuid.uuid4().hex}"
+    broken.write.option("header", True).option("nullValue", "\\N").csv(f"{scratch}/source")
+    read = read_transactions(spark, f"{scratch}/source", "csv", rejects=f"{scratch}/rejects", nullValue="\\N")
+    found = spark.read.parquet(f"{scratch}/rejects").select(F.split("problem", " ", 2)[0].alias("field"))
+    return found.unionByName(read.select(F.lit(None).cast("string").alias("field"))).groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def q_report_csv(spark, sf_dir):
     """A report through its sink: written as headed CSV and read back."""
     path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
@@ -117,6 +134,48 @@ def q_tier_dimension(spark, sf_dir):
                 F.coalesce(F.col("eligible_users"), F.lit(0)).cast("bigint").alias("eligible_users"))
 
 
+# --- the co-located store ------------------------------------------------------
+def _over_store(query):
+    """``query(store)`` over both tables, written to the shared folder as a
+    store; its result is written before the tables are forgotten."""
+    def run(spark, sf_dir):
+        fx = TpchFixture(spark, sf_dir, CFG)
+        store = write_store(fx.users(), fx.transactions(), f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+        try:
+            return materialize(query(store))
+        finally:
+            store.forget()
+    return run
+
+
+def _store_counts(store):
+    return store.per_user(lambda tx: window_txn_counts(tx, CFG.pre_start, CFG.pre_end))
+
+
+def _store_eligible(store):
+    return Experiment.from_store(store, CFG)._eligible_once().select(*ELIGIBLE_COLS)
+
+
+def _store_post(store):
+    return _post_out(Experiment.from_store(store, CFG).post)
+
+
+# --- text user ids ---------------------------------------------------------------
+def _text_ids(spark, sf_dir) -> Experiment:
+    """The experiment over ids like ``C-0000000123``."""
+    fx = TpchFixture(spark, sf_dir, CFG)
+    named = lambda df: df.withColumn("user_id", F.concat(F.lit("C-"), F.lpad(F.col("user_id").cast("string"), 10, "0")))
+    return Experiment(named(fx.users()), named(fx.transactions()), CFG)
+
+
+def q_text_id_cohort(spark, sf_dir):
+    return _text_ids(spark, sf_dir).cohort.select("user_id", "group_type", "tier", "tier_label")
+
+
+def q_text_id_coupon_usage(spark, sf_dir):
+    return _text_ids(spark, sf_dir).coupon_usage()
+
+
 # --- cohort operators ----------------------------------------------------------
 def q_eligible_users(spark, sf_dir):
     return _ex(spark, sf_dir)._eligible_once().select(*ELIGIBLE_COLS)
@@ -188,6 +247,13 @@ def _report(name, **kw):
     return run
 
 
+def _ordered(name):
+    """The report with its order as a column."""
+    def run(spark, sf_dir):
+        return R.with_position(getattr(_ex(spark, sf_dir), name)())
+    return run
+
+
 def q_rollout_projection(spark, sf_dir):
     return _ex(spark, sf_dir).rollout_projection("eligible_users")
 
@@ -280,6 +346,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "city_ranks": q_city_ranks,
     "pct_of_group": q_pct_of_group,
     "ab_test_results": q_ab_test_results,
+    "rejected_rows": q_rejected_rows,
+    "store_txn_counts": _over_store(_store_counts),
+    "store_eligible_users": _over_store(_store_eligible),
+    "store_post_launch": _over_store(_store_post),
+    "text_id_cohort": q_text_id_cohort,
+    "text_id_coupon_usage": q_text_id_coupon_usage,
+    "tier_counts_ordered": _ordered("tier_counts_raw"),
+    "group_sizes_ordered": _ordered("balanced_group_sizes"),
+    "gender_split_ordered": _ordered("gender_split"),
     "tier_counts_raw": _report("tier_counts_raw"),
     "balanced_group_sizes": _report("balanced_group_sizes"),
     "gender_split": _report("gender_split"),

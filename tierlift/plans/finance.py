@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import (CONTROL, DEFAULT_CONFIG, NO_COUPON, OTHER_COUPON, RATE_DIGITS, TOTAL_LABEL, TREATMENT,
                       UNKNOWN_GENDER, ExperimentConfig, exact)
@@ -269,17 +270,25 @@ def referrals_by_referrer(tx: DataFrame, users: DataFrame, cfg: ExperimentConfig
     """``referrer_id, referrer_is_member, referred_users, referral_orders`` for
     referrers with at least ``min_referrals`` distinct referred users in the
     post window.  The referrer is parsed from ``<prefix><id>``; using one's
-    own code is not a referral.  A hot referrer is pre-aggregated map-side
-    (distinct user / order counts are two-phase aggregates)."""
+    own code is not a referral.
+
+    Rows are reduced to distinct (referrer, user, order) once, map-side first;
+    users and orders of a referrer are then counted from that exchange, each
+    by distinct pairs and partial counts, so no row is expanded per distinct
+    count and no task holds a hot referrer."""
     k = cfg.min_referrals if min_referrals is None else min_referrals
+    text = isinstance(tx.schema["user_id"].dataType, T.StringType)
     post = txn_window_scan(tx, cfg.post_start, cfg.post_end) \
         .where(F.col("user_id").isNotNull() & F.col("coupon").startswith(cfg.coupon_prefix))
-    parsed = post.select("user_id", "txn_id", L.referrer_id("coupon", cfg).alias("referrer_id")) \
-                 .where(F.col("referrer_id").isNotNull() & (F.col("referrer_id") != F.col("user_id")))
-    agg = (parsed.groupBy("referrer_id")
-                 .agg(F.countDistinct("user_id").cast("bigint").alias("referred_users"),
-                      F.countDistinct("txn_id").cast("bigint").alias("referral_orders"))
-                 .where(F.col("referred_users") >= k))
+    triples = (post.select("user_id", "txn_id", L.referrer_id("coupon", cfg, text).alias("referrer_id"))
+                   .where(F.col("referrer_id").isNotNull() & (F.col("referrer_id") != F.col("user_id")))
+                   .distinct())
+    referred = (triples.select("referrer_id", "user_id").distinct()
+                       .groupBy("referrer_id").agg(F.count(F.lit(1)).alias("referred_users"))
+                       .where(F.col("referred_users") >= k))
+    orders = (triples.select("referrer_id", "txn_id").distinct()
+                     .groupBy("referrer_id").agg(F.count("txn_id").alias("referral_orders")))
+    agg = referred.join(orders, on="referrer_id", how="inner")
     members = users.select(F.col("user_id").alias("referrer_id"), F.col("is_member"))
     return (agg.join(members, on="referrer_id", how="left")
                .select("referrer_id", L.is_treatment("is_member").alias("referrer_is_member"),

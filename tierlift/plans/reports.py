@@ -26,6 +26,12 @@ def sort_small(df: DataFrame, *cols) -> DataFrame:
     return df.coalesce(1).sortWithinPartitions(*cols)
 
 
+def with_position(report: DataFrame) -> DataFrame:
+    """A report (an aggregate of few rows) with its order as a column:
+    ``position`` from 1.  The sorted partitions are read in turn by one task."""
+    return report.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def _by_tier(df: DataFrame, cfg: ExperimentConfig, *more) -> DataFrame:
     return sort_small(df, L.tier_sort_order("tier", cfg).asc_nulls_last(), *more)
 
