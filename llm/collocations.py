@@ -31,6 +31,7 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +49,8 @@ _U = np.uint64
 _BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
 _TABLE = classes((c for c in range(256) if c not in _BREAKS and c not in b" \t"), _BREAKS)
 UNKNOWN = "und"
+#: Rows that are handed to Spark together.
+_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -100,13 +103,15 @@ def _counted(texts_of: DataFrame, max_words: int, now: Proposal | None, before:
     ``word``) and the words of each language (``k`` 0)."""
     names = _names(max_words)
 
-    def batch_of(k: int, words: list[np.ndarray], n: np.ndarray, lang=None, word=None) -> pa.RecordBatch:
+    def rows_of(k: int, words: list[np.ndarray], n: np.ndarray, lang=None, word=None) -> Iterator[pa.RecordBatch]:
+        """The rows of a block, some at a time: Spark holds a batch and not all of them."""
         size = len(n)
         zero = np.zeros(size, dtype=np.int64)
         columns = [w.view(np.int64) for w in words] + [zero] * (max_words - len(words))
         strings = [pa.nulls(size, pa.string()) if x is None else pa.array(x, pa.string()) for x in (lang, word)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, k, np.int32)), *map(pa.array, columns), *strings, pa.array(n.astype(np.int64))],
-                                          names=["k", *names, "lang", "word", "n"])
+        whole = pa.RecordBatch.from_arrays([pa.array(np.full(size, k, np.int32)), *map(pa.array, columns), *strings, pa.array(n.astype(np.int64))],
+                                           names=["k", *names, "lang", "word", "n"])
+        yield from (whole.slice(low, _ROWS) for low in range(0, size, _ROWS))
 
     def eligible(k: int, words: np.ndarray, joined: np.ndarray, proposal: Proposal | None) -> np.ndarray:
         """Places where the two parts of a phrase of ``k`` words are proposed; a
@@ -136,8 +141,8 @@ def _counted(texts_of: DataFrame, max_words: int, now: Proposal | None, before:
                     order, first = grouped([words])
                     at, n = order[first], np.diff(np.concatenate((first, [len(order)])))
                     spelled = [block[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-                    yield batch_of(1, [words[at]], n, [lang] * len(at), spelled)
-                    yield batch_of(0, [], np.array([len(words)]), [lang], [""])
+                    yield from rows_of(1, [words[at]], n, [lang] * len(at), spelled)
+                    yield from rows_of(0, [], np.array([len(words)]), [lang], [""])
                 for k in range(2, max_words + 1):
                     if len(words) < k:
                         break
@@ -149,7 +154,7 @@ def _counted(texts_of: DataFrame, max_words: int, now: Proposal | None, before:
                         parts = [words[places + i] for i in range(k)]
                         order, first = grouped(parts)
                         at, n = order[first], np.diff(np.concatenate((first, [len(order)])))
-                        yield batch_of(k, [p[at] for p in parts], n)
+                        yield from rows_of(k, [p[at] for p in parts], n)
 
     columns = ", ".join(f"{c} long" for c in names)
     rows = texts_of.mapInArrow(run, f"k int, {columns}, lang string, word string, n long")
