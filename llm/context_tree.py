@@ -1,6 +1,6 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is a sequence of bytes and one end.  A symbol is decided bit by bit:
+A text, A-Z lower-cased, is a sequence of bytes and one end.  A symbol is decided bit by bit:
 whether the text ends, then the eight bits of the byte.  The tree has a node
 for every context of up to ``depth`` bytes and every bit prefix.  A node's own
 estimate is Krichevsky-Trofimov's, ``(n_bit + 1/2) / (n + 1)``; its weighted
@@ -40,12 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _BYTE_HASHES, _P1, range_hashes
-from .common import scratch_path, texts
+from .common import scratch_path, texts, written
 
 DEPTH = 5
 CHUNK_BYTES = 24 << 20
-#: Buckets of last two bytes.
-SUBTREES = 64
+#: The tree is dealt to so many parts by last two bytes, and to more where a
+#: part would hold more than so many counts.
+SUBTREES, SUBTREE_KEYS = 64, 2_000_000
 END = 256
 _U = np.uint64
 #: Texts that are unpacked together, and bytes whose words are hashed together.
@@ -256,13 +257,14 @@ def _symbol_key(keys: np.ndarray) -> np.ndarray:
 
 
 def _unpacked(frames: pa.ChunkedArray):
-    """``ids, train, texts`` of a chunk, a few hundred texts at a time."""
+    """``ids, train, texts`` (A-Z lower-cased) of a chunk, a few hundred texts at a time."""
     for column in frames.chunks:
         for frame in column:
             table = pa.ipc.open_stream(zstd.ZstdDecompressor().decompress(frame.as_py())).read_all()
             for start in range(0, table.num_rows, _TEXTS):
                 part = table.slice(start, _TEXTS).combine_chunks()
-                yield part["id"], part["train"].to_numpy(zero_copy_only=False), texts(part["t"].combine_chunks())
+                yield (part["id"], part["train"].to_numpy(zero_copy_only=False),
+                       [body.lower() for body in texts(part["t"].combine_chunks())])
 
 
 def _word_keys(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -313,9 +315,9 @@ def chunked(docs: DataFrame, train: Column, text: str, doc_id: str, chunk_bytes:
     return rows.mapInArrow(pack, "chunk long, docs binary")
 
 
-def chunk_counts(rows: DataFrame, depth: int) -> DataFrame:
-    """``key, chunk, n``: per chunk and distinct word or symbol-in-context its
-    training count, as a table bucketed by key."""
+def chunk_counts(rows: DataFrame, depth: int) -> str:
+    """Name of a table ``key, chunk, n``, bucketed by key: per chunk and distinct
+    word or symbol-in-context its training count."""
     spark = rows.sparkSession
 
     def count(data: pa.Table) -> pa.Table:
@@ -335,12 +337,13 @@ def chunk_counts(rows: DataFrame, depth: int) -> DataFrame:
     name = f"context_counts_{uuid.uuid4().hex}"
     (counted.repartition(buckets, "key").write.bucketBy(buckets, "key").option("path", scratch_path(spark, "context-counts"))
             .option("compression", "zstd").saveAsTable(name))
-    return spark.table(name)
+    return name
 
 
-def probabilities(symbols: DataFrame, depth: int) -> DataFrame:
+def probabilities(symbols: DataFrame, depth: int, parts: int = SUBTREES) -> DataFrame:
     """``key, value``: log10 probability of every symbol-in-context of
-    ``symbols`` (``key, n``; ``n`` 0 where only other texts have it)."""
+    ``symbols`` (``key, n``; ``n`` 0 where only other texts have it), worked out
+    in ``parts`` parts of the tree."""
     spec = "key long, value float"  # seven digits: half of what is sent
 
     def arrays(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +367,7 @@ def probabilities(symbols: DataFrame, depth: int) -> DataFrame:
         return pa.table([pa.array(np.concatenate(c)) for c in cols], names=["j", "node", "a", "b", "below"])
 
     last_two = F.shiftrightunsigned("key", 1 + 9 + 8 * (depth - 2))
-    dealt = symbols.groupBy(F.pmod(F.xxhash64(last_two), F.lit(SUBTREES)).alias("part"))
+    dealt = symbols.groupBy(F.pmod(F.xxhash64(last_two), F.lit(parts)).alias("part"))
     ones = (dealt.applyInArrow(summits, "j long, node long, a double, b double, below double")
             .groupBy("j", "node").agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")]).toArrow())
     top = Top(*(ones[c].to_numpy() for c in ("j", "node", "a", "b", "below")))
@@ -397,12 +400,14 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     if not 2 <= depth <= 6:
         raise ValueError("depth must be between 2 and 6")
     rows = chunked(docs, train, text, doc_id, chunk_bytes)
-    counts = chunk_counts(rows, depth)
+    name = chunk_counts(rows, depth)
+    counts = docs.sparkSession.table(name)
     is_symbol = F.col("key").bitwiseAND(F.lit(1)) == 1
     per_key = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"))
     n_train, n_distinct = (per_key.where(~is_symbol).agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
     n_train, n_distinct = n_train or 0, n_distinct or 0
-    solved = probabilities(per_key.where(is_symbol).select("key", "n"), depth)
+    parts = max(SUBTREES, -(-counts.count() // SUBTREE_KEYS))  # rows of the table, read from its footers
+    solved = probabilities(per_key.where(is_symbol).select("key", "n"), depth, parts)
     # A word of one chunk alone needs no answer: the chunk has its count.
     # (Counts travel as they are, probabilities as floats.)
     answers = solved.withColumn("n", F.lit(None).cast("long")).unionByName(
@@ -444,9 +449,11 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
                         ("bits_per_byte", pa.float64())])
-    return rows.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(
+    scores = written(rows.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(
         add_up, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-                "score double, bits_per_byte double")
+                "score double, bits_per_byte double"), "scores")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return scores
 
 
 def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, missing: float = 0.0) -> np.ndarray:

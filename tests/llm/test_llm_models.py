@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm_helpers import SCHEMA, clashing, corpus, documents, edge_rows, sentence, statistics, words
+from llm_helpers import SCHEMA, clashing, corpus, documents, edge_rows, lower, sentence, statistics, words
 from pyspark.sql import functions as F
 
 from llm import compression_quality, context_tree, multi_index, quality_rules
@@ -70,9 +70,9 @@ def brute_tree(train, texts, depth):
 @pytest.mark.parametrize("rows", [CORPUS[:25], EDGES])
 def test_context_tree(spark, rows):
     learn = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 != 2 or d is None
-    bodies = [(t or "").encode() for _, t in rows]
+    bodies = [lower((t or "").encode()) for _, t in rows]
     train = [b for (d, _), b in zip(rows, bodies) if learn(d)]
-    tokens = [words(b.decode().translate({c: c + 32 for c in range(65, 91)})) + [None] for b in bodies]
+    tokens = [words(b.decode()) + [None] for b in bodies]
     count = Counter(w for (d, _), ws in zip(rows, tokens) if learn(d) for w in ws)
     n, v = sum(count.values()), len(count)
     want = sorted((d is None, d or 0, len(ws), sum(count[w] > 0 for w in ws), n,
@@ -87,6 +87,23 @@ def test_context_tree(spark, rows):
         assert np.allclose(a[5:], b[5:], rtol=1e-6)  # probabilities travel as floats
 
 
+def test_capitals_change_no_score_and_no_table_is_left(spark):
+    texts = ["Hello world, HELLO WORLD again. " * 20, "ÄPFEL and Äpfel"]
+    rows = [(i, t) for i, t in enumerate([*texts, *map(str.lower, texts)] * 3)] + [(100, "HELLO WORLD AGAIN"), (101, "hello world again")]
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r["doc_id"]: r for r in context_tree.score(documents(spark, rows), F.col("doc_id") < 100).collect()}
+    assert got[100]["score"] == got[101]["score"] and got[100]["base_score"] == got[101]["base_score"] and got[100]["score"] > -20
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_parts_of_the_tree_change_no_score(spark, monkeypatch):
+    docs = documents(spark, CORPUS[:12])
+    scores = lambda: sorted((r["doc_id"], r["score"]) for r in context_tree.score(docs, ~held_out("doc_id", 7), depth=3).collect())
+    want = scores()
+    monkeypatch.setattr(context_tree, "SUBTREE_KEYS", 50)
+    assert np.allclose(want, scores(), rtol=1e-6)
+
+
 def test_context_tree_probabilities_add_up():
     rng = np.random.Generator(np.random.PCG64(1))
     keys, n = context_tree._counted(context_tree.contexts([bytes(rng.integers(97, 101, 200).tolist()) for _ in range(5)], 3))
