@@ -10,7 +10,8 @@ of documents is deduplicated in one pass:
    and sorted that way, so only the batch is shuffled;
 3. hashes no run knows become a new run of level 0; when a level holds
    ``fanout`` runs they are compacted into one run of the next level, so a
-   hash is rewritten once per level and a batch meets few runs.
+   hash is rewritten once per level and a batch meets few runs (of four
+   batches, with a fanout of 2, the third and fourth join a compacted run).
 
 Batches are taken in order of document id, hence the first holder of a line is
 the smallest id that has it.
@@ -75,6 +76,7 @@ class LineRuns:
         self.fanout = fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.tables: list[str] = []
 
     def _run(self, rows: DataFrame) -> DataFrame:
         """``rows`` written as a table bucketed and sorted by line hash."""
@@ -82,11 +84,18 @@ class LineRuns:
         (rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
              .option("path", scratch_path(self.spark, "line-run")).option("compression", "zstd")
              .saveAsTable(name))
+        self.tables.append(name)
         return self.spark.table(name)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def forget(self) -> None:
+        """Take the tables of all runs out of the session's catalog."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.tables = [], []
+
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -98,7 +107,9 @@ class LineRuns:
             self.levels[level] = []
             self._push(level + 1, self._run(merged))
 
-    def add(self, rows: DataFrame) -> DataFrame:
+    def add(self, rows: DataFrame, last: bool = False) -> DataFrame:
+        """The rows of the batch whose line has an earlier holder, written.  The
+        ``last`` batch leaves no run: nothing will join it."""
         firsts = rows.groupBy(*KEY).agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n"))
         fresh = firsts
         for run in self.runs():
@@ -112,7 +123,8 @@ class LineRuns:
             again = again.unionByName(firsts.select(*KEY, "n").join(old.select(*KEY, "first"), KEY)
                                       .select(*KEY, "first", "n"))
         again = written(again, "line-again")
-        self._push(0, run)
+        if not last:
+            self._push(0, run)
         # Lines in more than a thousandth of the rows: fewer than a thousand of
         # them, whatever the batch, so they are broadcast and no task gets all
         # rows of one.  The others meet their rows by hash.
@@ -120,11 +132,11 @@ class LineRuns:
         heavy, light = F.broadcast(again.where(often)), again.where(~often)
         lost = rows.join(heavy, KEY).unionByName(
             rows.join(heavy.select(*KEY), KEY, "left_anti").join(light, KEY))
-        return lost.where(F.col("d") > F.col("first")).select("d", *KEY)
+        return written(lost.where(F.col("d") > F.col("first")).select("d", *KEY), "line-lost")
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10,
-                   batches: int = 4, fanout: int = 4) -> DataFrame:
+                   batches: int = 4, fanout: int = 2) -> DataFrame:
     """``d, drop``: per document (:func:`doc_key`) the hashes of its lines that
     a smaller document holds too; documents that lose nothing are absent."""
     spark = docs.sparkSession
@@ -140,13 +152,14 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             part = part.where(F.col("d") > low)
         if high is not None:
             part = part.where(F.col("d") <= high)
-        lost = runs.add(part)
+        lost = runs.add(part, last=high is None)
         dropped = lost if dropped is None else dropped.unionByName(lost)
+    runs.forget()
     return dropped.groupBy("d").agg(F.collect_set(F.struct(*KEY)).alias("drop"))
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10,
-                        batches: int = 4, fanout: int = 4, out: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"),
+                        batches: int = 4, fanout: int = 2, out: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"),
                         ) -> DataFrame:
     """All columns of ``docs`` and, named by ``out``, the text that is left
     (kept lines joined by ``\\n``), the number of lines and of dropped lines.

@@ -36,12 +36,27 @@ def test_short_windows(spark):
 
 
 @pytest.mark.parametrize("rows", FRAMES)
-@pytest.mark.parametrize("batches,fanout", [(4, 4), (7, 2), (1, 4)])
+@pytest.mark.parametrize("batches,fanout", [(4, 2), (4, 4), (7, 2), (1, 4)])
 def test_lines(spark, rows, batches, fanout):
     got = line_dedup.drop_repeated_lines(clashing(documents(spark, rows)), batches=batches, fanout=fanout)
     same(got.select("doc_id", "n_lines", "n_dropped", sha256("kept_text")).collect(), lines(rows))
 
 
+def test_batches_join_a_compacted_run(spark, monkeypatch):
+    levels, add = [], line_dedup.LineRuns.add
+
+    def noted(self, rows, last=False):
+        levels.append(([len(runs) for runs in self.levels], last))
+        return add(self, rows, last)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", noted)
+    before = {t.name for t in spark.catalog.listTables()}
+    got = line_dedup.drop_repeated_lines(documents(spark, CORPUS))
+    same(got.select("doc_id", "n_lines", "n_dropped", sha256("kept_text")).collect(), lines(CORPUS))
+    assert levels == [([], False), ([1], False), ([0, 1], False), ([1, 1], True)]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_lines_by_hash_alone(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "COMMON", 0)
     got = line_dedup.drop_repeated_lines(documents(spark, CORPUS))
