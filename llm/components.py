@@ -7,7 +7,7 @@ map-side minima, and its edges are joined back in a join that Spark may split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -32,11 +32,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: every node that is not the smallest of its component."""
     u, v = F.col(a), F.col(b)
-    now = written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    now, mark = _round(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     seen = None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while mark != seen and mark[0]:
         seen = mark
-        now = written(_small_star(_large_star(now)), "edges")
+        now, mark = _round(_small_star(_large_star(now)))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written, and their number and sum of hashes, taken by the same job."""
+    mark = Observation()
+    now = written(edges.observe(mark, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return now, (mark.get["n"], mark.get["sum"])
