@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from llm import line_dedup, minmax_dedup, mixing, packing, quality_rules
 from llm.catalog import table
-from llm.common import importable, written
+from llm.common import SPACE_CLASS, importable, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,10 +29,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier one holds (``n_chars`` follows)."""
+    """Every document without the lines that an earlier one holds (``n_chars``
+    follows).  A document of which that leaves no word is a copy and goes."""
     importable(spark)
     out = ("_kept_text", "_n_lines", "_n_dropped")
     kept = line_dedup.drop_repeated_lines(docs, out=out)
+    kept = kept.where((F.col(out[2]) == 0) | F.col(out[0]).rlike(f"[^{SPACE_CLASS[1:]}"))
     new = {"text": F.col(out[0]), "n_chars": F.length(out[0]).cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
