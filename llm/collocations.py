@@ -49,8 +49,9 @@ _U = np.uint64
 _BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
 _TABLE = classes((c for c in range(256) if c not in _BREAKS and c not in b" \t"), _BREAKS)
 UNKNOWN = "und"
-#: Rows that are handed to Spark together.
-_ROWS = 1 << 15
+#: Bytes of text counted at a time, and rows that are handed to Spark together:
+#: Spark merges the counts of a task, so small blocks cost little.
+_BLOCK, _ROWS = 1 << 20, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def _counted(texts_of: DataFrame, max_words: int, now: Proposal | None, before:
         return inside
 
     def run(batches):
-        for bodies, rows in blocks(batches, "t"):
+        for bodies, rows in blocks(batches, "t", _BLOCK):
             languages = rows["lang"].to_pylist()
             for lang in sorted(set(languages)):
                 block = b"\n".join(b for b, x in zip(bodies, languages) if x == lang).lower()
