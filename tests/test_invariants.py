@@ -97,7 +97,7 @@ def test_report_ordering(reports):
 def test_write_reports(spark, tmp_path):
     ex = Experiment.from_tpch(spark, "/root/testdata/sf0.001", CFG, materialize=True)
     paths = ex.write_reports(str(tmp_path))
-    assert set(paths) == set(Experiment.REPORTS)
-    text = next((tmp_path / "engagement").glob("part-*.csv")).read_text().splitlines()
+    assert set(paths) == {*Experiment.REPORTS, *Experiment.FINANCE}
+    text = (tmp_path / "engagement.csv").read_text().splitlines()
     assert text[0] == ("group_type,tier,total_users,users_who_purchased,repeat_purchase_rate_pct,"
                        "avg_order_value,avg_revenue_per_user") and len(text) == 9

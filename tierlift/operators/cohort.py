@@ -103,13 +103,6 @@ def ranked_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG) ->
     return r.select("user_id", L.group_type("is_member").alias("group_type"), "tier", "rn")
 
 
-def _limits(targets: DataFrame) -> DataFrame:
-    """Per (tier, side) limit rows: 2 x tiers rows."""
-    t = targets.select("tier", "target_n")
-    return (t.withColumn("is_member", F.lit(True))
-             .unionByName(t.withColumn("is_member", F.lit(False))))
-
-
 #: Size of the quantile sketches; the error of a rank is below ``SKETCH_MARGIN``
 #: of the rows but for odd cases, which the selection notices.
 SKETCH_K, SKETCH_MARGIN = 4_096, 0.003
@@ -179,8 +172,7 @@ def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
     side) exactly ``target_n`` rows, those with the lowest ids.
 
     ``method='cutoff'`` (the one every report uses): distributed selection of
-    each group's k-th smallest id, then a narrow filter against the broadcast
-    thresholds.  ``method='branches'``: the same cut on each side by itself,
+    each group's k-th smallest id, then a narrow filter at those ids.  ``method='branches'``: the same cut on each side by itself,
     then ``UNION ALL`` of both, the shape of the analysed scripts.
     ``method='window'``: one ``ROW_NUMBER`` window over (tier, side), a
     reference for tests; a whole group is one window task.
@@ -190,35 +182,30 @@ def balanced_users(eligible: DataFrame, cfg: ExperimentConfig = DEFAULT_CONFIG,
     base = _sampleable(eligible, cfg)
     spark = eligible.sparkSession
     if side_counts is not None:
-        rows = [(r[0], r[3]) for r in targets_from_side_counts(side_counts, cfg)]
+        targets = {r[0]: r[3] for r in targets_from_side_counts(side_counts, cfg)}
     else:
-        rows = [(r["tier"], r["target_n"]) for r in target_counts(eligible, cfg).collect()]  # <= tiers rows
-    targets = spark.createDataFrame(rows, "tier string, target_n bigint")
+        targets = {r["tier"]: r["target_n"] for r in target_counts(eligible, cfg).collect()}  # <= tiers rows
     if method in ("cutoff", "branches"):
         ranges = brackets = sizes = None
         if side_counts is not None:
             sizes = {(tier, flag): int(side_counts[name]) for name, tier, flag in _sides(cfg)}
             if not isinstance(base.schema["user_id"].dataType, T.StringType):
-                ranges = spark.createDataFrame(group_ranges_from_side_counts(side_counts, cfg),
-                                               "tier string, is_member boolean, lo bigint, hi bigint")
+                ranges = {(tier, flag): (lo, hi) for tier, flag, lo, hi in group_ranges_from_side_counts(side_counts, cfg)}
                 brackets = id_brackets(spark, side_counts, cfg)
 
-        def cut(side: DataFrame, limits: DataFrame, known: DataFrame | None) -> DataFrame:
-            return k_smallest_per_group(side, COHORT_KEYS, "user_id", limits, "target_n", cfg.balance_buckets, known,
-                                        brackets, sizes)
+        def cut(side: DataFrame, flags: tuple[bool, ...]) -> DataFrame:
+            limits = {(tier, flag): n for tier, n in targets.items() for flag in flags}
+            return k_smallest_per_group(side, COHORT_KEYS, "user_id", limits, buckets=cfg.balance_buckets, ranges=ranges,
+                                        brackets=brackets, sizes=sizes)
 
-        limits = _limits(targets)
         if method == "cutoff":
-            kept = cut(base, limits, ranges)
+            kept = cut(base, (True, False))
         else:
-            sides = []
-            for flag in (True, False):
-                mine = F.col("is_member") == F.lit(flag)
-                sides.append(cut(base.where(mine), limits.where(mine), None if ranges is None else ranges.where(mine)))
-            kept = sides[0].unionByName(sides[1])
+            kept = cut(base.where("is_member"), (True,)).unionByName(cut(base.where("NOT is_member"), (False,)))
     elif method == "window":
         w = Window.partitionBy(*COHORT_KEYS).orderBy("user_id")
-        kept = (base.join(F.broadcast(targets), on="tier", how="inner")
+        rows = spark.createDataFrame(list(targets.items()), "tier string, target_n bigint")
+        kept = (base.join(F.broadcast(rows), on="tier", how="inner")
                     .withColumn("_rn", F.row_number().over(w))
                     .where(F.col("_rn") <= F.col("target_n"))
                     .drop("_rn", "target_n"))

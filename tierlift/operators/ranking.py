@@ -15,9 +15,9 @@ group's k-th smallest id:
 3. that bucket alone stays in play, ``2 ** bits`` times finer, until it is one id
    or holds at most ``IN_PLAY`` rows, whose ids are then read: the threshold
    ``t``, together with the number of rows below it;
-4. rows with ``id < t`` are kept by a filter against a broadcast of the
-   thresholds.  Of the rows with ``id = t`` (one, where ids are a key) as many
-   are kept as are still needed.
+4. rows with ``id < t`` are kept by a filter whose thresholds are constants of
+   the plan.  Of the rows with ``id = t`` (one, where ids are a key) as many are
+   kept as are still needed.
 
 Quantile sketches, where the caller has them, bracket the k-th id before the
 first level, so that one histogram inside the bracket and the ids of one bucket
@@ -60,14 +60,6 @@ def _is(groups: list[str], values: tuple) -> Column:
     return cond
 
 
-def _same(left: DataFrame, right: DataFrame, groups: list[str]) -> Column:
-    """Null-safe equality of the grouping columns."""
-    cond = F.lit(True)
-    for g in groups:
-        cond = cond & left[g].eqNullSafe(right[g])
-    return cond
-
-
 def text_chunk(col: str, level: int) -> Column:
     """Bytes ``[7 * level, 7 * level + 7)`` of a text as a BIGINT that orders
     texts with equal earlier chunks: the bytes, highest first, then how many
@@ -226,38 +218,43 @@ def _kth_text(df: DataFrame, groups: list[str], col: str, k: dict, buckets: int,
     return {g: v for g, v in result.items() if v != ()}
 
 
-def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, limits: DataFrame, limit_col: str,
-                         buckets: int = 1024, ranges: DataFrame | None = None, brackets: dict | None = None,
+def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, limits: DataFrame | dict, limit_col: str = "",
+                         buckets: int = 1024, ranges: dict | None = None, brackets: dict | None = None,
                          sizes: dict | None = None) -> DataFrame:
     """Rows of ``df`` whose ``row_number()`` by ``order_col`` inside their group
-    is ``<= limits[limit_col]`` of that group (groups absent from ``limits`` are
-    dropped); exactly that many rows, also where ids repeat.
-
-    The result is a narrow filter against a broadcast of at most ``groups``
-    thresholds: no sort and no shuffle of the rows.  Only if a threshold id has
-    more rows than are needed are the rows of that one id numbered.
-    ``limits`` (at most one row per group) and ``ranges`` (``groups, lo, hi``)
-    are small relations and are collected; ``brackets`` and ``sizes``
-    as in :func:`kth_smallest_per_group`."""
-    key_of = lambda r: tuple(r[g] for g in groups)
-    k = {key_of(r): r[limit_col] for r in limits.collect()}
-    known = None if ranges is None else {key_of(r): (r["lo"], r["hi"]) for r in ranges.collect()}
-    cut = kth_smallest_per_group(df, groups, order_col, k, buckets, known, brackets, sizes)
-    # group, threshold (null: keep all), rows of the threshold id to keep (null: all of them)
-    rows = [(*g, None, None) if c is None else (*g, c[0], None if k[g] - c[1] >= c[2] else k[g] - c[1])
-            for g, c in cut.items()]
-    schema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
-    thresholds = F.broadcast(df.sparkSession.createDataFrame(
-        rows, f"{schema}, _rk_t {df.schema[order_col].dataType.simpleString()}, _rk_need bigint"))
-    both = df.join(thresholds, _same(df, thresholds, groups)).select(df["*"], "_rk_t", "_rk_need")
-    under = F.col("_rk_t").isNull() | (F.col(order_col) < F.col("_rk_t"))
-    at = F.col(order_col) == F.col("_rk_t")
-    kept = both.where(under | (at & F.col("_rk_need").isNull()))
-    if any(r[-1] is not None for r in rows):
+    is at most the limit of that group (groups without one are dropped); exactly
+    that many rows, also where ids repeat.
+
+    The result is a narrow filter: the thresholds, at most one per group, are
+    constants of the plan.  No row is sorted or shuffled; only if a threshold
+    id has more rows than are needed are the rows of that one id numbered.
+    ``limits`` is a dict from tuples of group values, or a small relation with
+    ``limit_col`` that is collected; ``ranges``, ``brackets`` and ``sizes`` as in
+    :func:`kth_smallest_per_group`."""
+    k = limits if isinstance(limits, dict) else {tuple(r[g] for g in groups): r[limit_col] for r in limits.collect()}
+    cut = kth_smallest_per_group(df, groups, order_col, k, buckets, ranges, brackets, sizes)
+    under, tied = F.lit(False), []
+    for g, found in cut.items():
+        mine = _is(groups, g)
+        if found is None:  # the whole group
+            under = under | mine
+            continue
+        value, below, equal = found
+        if k[g] - below >= equal:
+            under = under | (mine & (F.col(order_col) <= F.lit(value)))
+        else:
+            under = under | (mine & (F.col(order_col) < F.lit(value)))
+            tied.append((mine & (F.col(order_col) == F.lit(value)), k[g] - below))
+    kept = df.where(under)
+    if tied:
+        need = F.lit(0)
+        for mine, n in tied:
+            need = F.when(mine, F.lit(n)).otherwise(need)
         w = Window.partitionBy(*groups).orderBy(order_col)
-        tied = both.where(at & F.col("_rk_need").isNotNull()).withColumn("_rk_rn", F.row_number().over(w))
-        kept = kept.unionByName(tied.where(F.col("_rk_rn") <= F.col("_rk_need")).drop("_rk_rn"))
-    return kept.drop("_rk_t", "_rk_need")
+        first = (df.withColumn("_rk_need", need).where(F.col("_rk_need") > 0).withColumn("_rk_rn", F.row_number().over(w))
+                   .where(F.col("_rk_rn") <= F.col("_rk_need")).drop("_rk_rn", "_rk_need"))
+        kept = kept.unionByName(first)
+    return kept
 
 
 def bucketed_row_number(df: DataFrame, groups: list[str], order_col: str,
