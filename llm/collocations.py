@@ -21,8 +21,8 @@ this costs work and changes no result.  A phrase is counted in one pass: the
 first whose bitmaps let it be.
 
 Words are told apart by 64-bit hashes that include the language.  Counts are
-combined in blocks of text, then map-side, before they are shuffled; no key of
-the shuffle is a language.
+combined in blocks of about 4 MB of text before they are shuffled by phrase, so
+a phrase has at most one row per block and no task gets a language.
 
 Defined cases: null texts are empty; a null language is ``und``; rows without an
 id or with a repeated one are texts of their own; an empty table gives an empty
@@ -49,9 +49,8 @@ _U = np.uint64
 _BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
 _TABLE = classes((c for c in range(256) if c not in _BREAKS and c not in b" \t"), _BREAKS)
 UNKNOWN = "und"
-#: Bytes of text counted at a time, and rows that are handed to Spark together:
-#: Spark merges the counts of a task, so small blocks cost little.
-_BLOCK, _ROWS = 1 << 20, 1 << 15
+#: Rows that are handed to Spark together.
+_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -128,7 +127,7 @@ def _counted(texts_of: DataFrame, max_words: int, now: Proposal | None, before:
         return inside
 
     def run(batches):
-        for bodies, rows in blocks(batches, "t", _BLOCK):
+        for bodies, rows in blocks(batches, "t"):
             languages = rows["lang"].to_pylist()
             for lang in sorted(set(languages)):
                 block = b"\n".join(b for b, x in zip(bodies, languages) if x == lang).lower()
@@ -159,7 +158,10 @@ def _counted(texts_of: DataFrame, max_words: int, now: Proposal | None, before:
 
     columns = ", ".join(f"{c} long" for c in names)
     rows = texts_of.mapInArrow(run, f"k int, {columns}, lang string, word string, n long")
-    return rows.groupBy("k", *names, "lang", "word").agg(F.sum("n").alias("n"))
+    key = ["k", *names, "lang", "word"]
+    # The blocks are the map-side combine: most phrases of a block are in no
+    # other block of the task, and a second table of them would only fill memory.
+    return rows.repartition(*key).groupBy(*key).agg(F.sum("n").alias("n"))
 
 
 def _proposal(frequent: DataFrame, max_words: int, bits: int) -> Proposal:
