@@ -14,10 +14,14 @@ def test_cli_writes_all_reports(spark, tmp_path):
     from tierlift.__main__ import main
     from tierlift.plans.experiment import Experiment
     assert main(["--tpch", "/root/testdata/sf0.001", "--out", str(tmp_path)]) == 0
+    import os
+    scratch = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(scratch))
     names = {*Experiment.REPORTS, *Experiment.FINANCE}
     assert len(names) == 22 and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {f"{n}.csv" for n in names}
     assert main(["--tpch", "/root/testdata/sf0.001", "--out", str(tmp_path / "one"), "--reports", "engagement"]) == 0
     assert (tmp_path / "one" / "engagement.csv").read_text() == (tmp_path / "engagement.csv").read_text()
+    assert set(os.listdir(scratch)) == before  # scratch folders go with the run
 
 
 def test_cli_on_csv_with_other_names_and_windows(spark, tmp_path):

@@ -27,6 +27,7 @@ from pyspark.sql import SparkSession
 
 from .config import DEFAULT_CONFIG, ExperimentConfig, Tier
 from .plans.experiment import Experiment
+from .session import scratch_scope
 from .sources.readers import read_transactions, read_users, rejected
 
 
@@ -96,21 +97,22 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
     cfg = config_of(args)
     spark = SparkSession.builder.appName("tierlift").getOrCreate()
-    if args.tpch:
-        ex = Experiment.from_tpch(spark, args.tpch, cfg, grain=args.grain, materialize=True)
-    elif args.users and args.transactions:
-        place = {t: f"{args.rejects.rstrip('/')}/{t}" if args.rejects else None for t in ("users", "transactions")}
-        ex = Experiment(read_users(spark, args.users, args.format, args.user_columns, text_ids=args.text_ids, rejects=place["users"]),
-                        read_transactions(spark, args.transactions, args.format, args.transaction_columns,
-                                          text_ids=args.text_ids, rejects=place["transactions"]),
-                        cfg, materialize=True)
-        if args.rejects:
-            for table, path in place.items():
-                print(f"rejected {table}\t{rejected(spark, path)}\t{path}")
-    else:
-        ap.error("give --tpch, or --users and --transactions")
-    for name, path in ex.write_reports(args.out, reports_of(args.reports)).items():
-        print(f"{name}\t{path}")
+    with scratch_scope(spark):  # what reports share is deleted once they are written
+        if args.tpch:
+            ex = Experiment.from_tpch(spark, args.tpch, cfg, grain=args.grain, materialize=True)
+        elif args.users and args.transactions:
+            place = {t: f"{args.rejects.rstrip('/')}/{t}" if args.rejects else None for t in ("users", "transactions")}
+            ex = Experiment(read_users(spark, args.users, args.format, args.user_columns, text_ids=args.text_ids, rejects=place["users"]),
+                            read_transactions(spark, args.transactions, args.format, args.transaction_columns,
+                                              text_ids=args.text_ids, rejects=place["transactions"]),
+                            cfg, materialize=True)
+            if args.rejects:
+                for table, path in place.items():
+                    print(f"rejected {table}\t{rejected(spark, path)}\t{path}")
+        else:
+            ap.error("give --tpch, or --users and --transactions")
+        for name, path in ex.write_reports(args.out, reports_of(args.reports)).items():
+            print(f"{name}\t{path}")
     return 0
 
 

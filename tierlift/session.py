@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,6 @@ _SESSION_DEFAULTS = {
     # error messages (two JVM round trips each); plan construction is ~2x
     # faster without it.  Errors still carry the JVM-side context.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Checkpoint files of a materialised frame are removed once the frame is
-    # garbage-collected, so long sessions do not accumulate them.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -62,12 +61,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_scopes: list[list[str]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder.  It stays there, for
+    frames that are read later, unless a :func:`scratch_scope` is open."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the scratch folders that are made inside.  Frames over
+    them cannot be read afterwards: write results elsewhere before."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read
     back: lineage is cut (a lost executor reads the files again), later readers
     scan only the columns they need."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/frame-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "frame")
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -93,5 +119,4 @@ def recommended_conf(transactions_bytes: int, total_cores: int,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
