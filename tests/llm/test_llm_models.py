@@ -191,6 +191,33 @@ def test_classifier_held_out(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_scores_by_the_plain_two_dictionary_loop(spark):
+    """Every score again: block by block with both dictionaries, then the curve."""
+    import zstandard as zstd
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["click", "buy", "now", "free!!"] if i % 2 else ["the", "river", "ran", "past", "stone"]) for _ in range(rng.randrange(1, 300))))
+            for i in range(120)] + EDGES
+    docs = documents(spark, rows)
+    marks = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(0, 120, 2)] + [(i, 0, 0) for i in range(1, 90, 3)], "doc_id long, quality int, toxic int")
+    model = compression_quality.fit(docs, marks.where("doc_id > 20"))
+
+    def size(body, content):
+        options = dict(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        box = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content), **options)
+        return sum(len(box.compress(body[i:i + 256])) for i in range(0, len(body), 256))
+
+    def plain(text):
+        body = (text or "").encode()
+        good, bad = size(body, model.good), size(body, model.bad)
+        x = (bad - good) / (bad + good) if body else 0.0
+        return 1 / (1 + math.exp(-(model.slope * x + model.intercept)))
+
+    got = compression_quality.score(docs, model).select("text", "score").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(plain(r["text"]), abs=1e-12)
+
+
 def test_classifier_edge_cases(spark):
     docs = clashing(documents(spark, EDGES))
     marks = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (8, 1, 0), (8, 0, 0), (None, 1, 0), (3, None, 0)],
@@ -203,6 +230,41 @@ def test_classifier_edge_cases(spark):
     assert compression_quality.score(empty, compression_quality.fit(empty, marks)).collect() == []
 
 
+# --- the verdict of learned rules ------------------------------------------------------
+def test_learned_verdicts_by_hand(spark):
+    """The learned list applied text by text, with statistics taken anew."""
+    rng = random.Random(14)
+    good = [(i, sentence(rng, rng.randrange(60, 140)) + rng.choice(["", "!", " A Few Capitals"])) for i in range(160)]
+    bad = [(1_000 + i, " ".join(w + rng.choice(["###", "$", "|"]) for w in sentence(rng, 80).split())) for i in range(60)]
+    bad += [(2_000 + i, (sentence(rng, 70)).upper() + "!!! " * 20) for i in range(60)]
+    docs = documents(spark, good + bad)
+    rules = quality_rules.fit(docs, spark.createDataFrame([(d, int(d < 1_000), 0) for d, _ in good + bad], "doc_id long, quality int, toxic int"))
+    assert rules
+    rows = good + bad + EDGES
+
+    def features(t):
+        t = t or ""
+        n, chars, symbols, dup, repeat = statistics(t)
+        w = words(t)
+        lines = [x for x in t.split("\n") if words(x)]
+        upper, marks = sum("A" <= c <= "Z" for c in t), sum(c in "!?" for c in t)
+        per = max(n, 1)
+        return (n < 50 or 100 * repeat > 50 * n), {
+            "symbols_per_word": symbols / per, "mean_word_chars": chars / per, "dup_line_share": dup / max(len(lines), 1),
+            "repeat_share": repeat / per, "upper_share": upper / max(chars, 1), "marks_per_word": marks / per,
+            "distinct_share": len(set(w)) / per, "words": float(n)}
+
+    def verdict(t):
+        failed, f = features(t)
+        rejected = any(all((f[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        return not failed and not rejected
+
+    got = quality_rules.judge(documents(spark, rows), rules).select("doc_id", "kept").collect()
+    order = lambda x: sorted(x, key=repr)
+    assert order(map(tuple, got)) == order((d, verdict(t)) for d, t in rows)
+    assert {verdict(t) for _, t in good} == {True} and not any(verdict(t) for _, t in bad)
+
+
 # --- multi-index -----------------------------------------------------------------------
 def brute_nearest(rows, k):
     out = {}
