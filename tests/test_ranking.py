@@ -135,3 +135,29 @@ def test_row_number_of_a_million_rows_with_payload(spark):
         assert mark(got) == mark(want)
     finally:
         spark.conf.set("spark.sql.exchange.reuse", before)
+
+
+def test_row_number_reads_its_rows_and_writes_nothing(spark, tmp_path):
+    """Ranges are constants of the plan: one exchange of the rows, no table
+    written, about equal ranges whatever the layout of the ids."""
+    path = str(tmp_path / "users")
+    (spark.range(0, 60_000, 1, 4).selectExpr("CASE WHEN id % 10 < 7 THEN 'a' ELSE 'b' END AS g", "true AS s",
+                                             "CASE WHEN id < 30000 THEN id ELSE id * 1000003 END AS id").write.parquet(path))
+    df = spark.read.parquet(path)
+    got = bucketed_row_number(df, ["g", "s"], "id", 16)
+    assert set(got.inputFiles()) == set(df.inputFiles())
+    from tierlift.operators.ranking import _with_ranges
+    sizes = [r["count"] for r in _with_ranges(df, ["g", "s"], "id", 16).groupBy("g", "s", "_rk_bucket").count().collect()]
+    assert sum(sizes) == 60_000 and 15 <= len(sizes) <= 18 and max(sizes) < 2 * 60_000 / 16
+    w = Window.partitionBy("g", "s").orderBy("id")
+    assert got.exceptAll(df.withColumn("rn", F.row_number().over(w).cast("bigint"))).count() == 0
+
+
+def test_row_number_of_rows_without_id_and_of_text_ids(spark):
+    rows = [("x", True, v) for v in [None, 5, 2, 9, 2**62, 2**62 + 1]]
+    got = {r.rn: r.id for r in bucketed_row_number(_frame(spark, rows), ["g", "s"], "id", 3).collect()}
+    assert got == dict(enumerate([None, 2, 5, 9, 2**62, 2**62 + 1], 1))
+    texts = _frame(spark, [("x", True, v) for v in range(90, 120)]).withColumn("id", F.concat(F.lit("C-"), F.col("id")))
+    got = [r.id for r in bucketed_row_number(texts, ["g", "s"], "id", 3).orderBy("rn").collect()]
+    assert got == sorted(f"C-{v}" for v in range(90, 120))
+    assert bucketed_row_number(_frame(spark, []), ["g", "s"], "id", 3).count() == 0

@@ -28,16 +28,21 @@ Text ids are selected seven bytes at a time (:func:`text_chunk`): each chunk is
 a BIGINT in the order of the text, found as above among the rows that share the
 chunks before it.
 
-``bucketed_row_number`` must rank *every* row, so it uses equi-depth ranges:
-``repartitionByRange`` samples the (group, id) distribution, the range of each
-row is written down once, and a window partitioned by (group, range) plus a
-broadcast of per-range offsets (``<= P + groups`` rows) gives the global rank.
+``bucketed_row_number`` must rank *every* row, so it uses equi-depth ranges.
+Their bounds are approximate quantiles of each group, read once and then
+constants of the plan: every reading of the rows assigns the same ranges, and
+nothing is written.  The rows of each (group, range) are counted exactly, so a
+window partitioned by (group, range) plus a broadcast of per-range offsets
+(``<= P + groups`` rows) gives the global rank.  Text ids have no quantile
+aggregate: their ranges come from ``repartitionByRange``, whose sampled bounds
+change when it runs again, so those rows are written with their range.
 
 Callers bound ``groups`` by the configured tier ladder.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +54,8 @@ from ..session import materialize
 IN_PLAY = 10_000
 #: Bytes of a text in one chunk.
 CHUNK = 7
+#: Most ranges by default: a billion rows are then 250 thousand a range.
+MAX_RANGES = 4_096
 
 _B, _CNT, _OFF = "_rk_bucket", "_rk_cnt", "_rk_off"
 
@@ -257,21 +264,48 @@ def k_smallest_per_group(df: DataFrame, groups: list[str], order_col: str, limit
     return kept
 
 
+def _with_ranges(df: DataFrame, groups: list[str], order_col: str, buckets: int) -> DataFrame:
+    """``df`` with the range of each row inside its group, at bounds that are
+    constants of the plan; rows without an id come first.  Ids are compared as
+    DOUBLE, which keeps their order and sends equal ids to one range."""
+    at = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    found = [] if buckets < 2 else df.groupBy(*groups).agg(
+        F.count(order_col).alias(_CNT),
+        F.expr(f"percentile_approx({q(order_col)}, array({at}), {max(10_000, 4 * buckets)})").alias(_B)).collect()
+    total = sum(r[_CNT] for r in found)
+    ids, splits = [], []
+    for r in found:
+        own = max(1, round(buckets * r[_CNT] / total)) if total else 1
+        # every (buckets / own)-th quantile: the ranges of all groups hold about as many rows
+        bounds = sorted({float(r[_B][buckets * i // own - 1]) for i in range(1, own)})
+        if bounds:
+            ids.append(F.when(_is(groups, tuple(r[g] for g in groups)), F.col(order_col).cast("double")))
+            splits.append([float("-inf"), *bounds, float("inf")])
+    if not splits:
+        return df.withColumn(_B, F.lit(0))
+    given, made = [[f"_rk_{kind}{i}" for i in range(len(splits))] for kind in ("id", "range")]
+    cut = Bucketizer(inputCols=given, outputCols=made, splitsArray=splits).setHandleInvalid("keep")
+    rank = F.when(F.col(order_col).isNull(), F.lit(-1)).otherwise(F.coalesce(*made, F.lit(0)))
+    return cut.transform(df.withColumns(dict(zip(given, ids)))).withColumn(_B, rank.cast("int")).drop(*given, *made)
+
+
 def bucketed_row_number(df: DataFrame, groups: list[str], order_col: str,
                         buckets: int | None = None, out: str = "rn") -> DataFrame:
     """``df`` plus ``out`` = ``row_number() over (partition by groups order by
     order_col)`` (BIGINT), computed as range offset + rank inside the range.
 
-    Ranges are equi-depth (``P = buckets``, or ``spark.sql.shuffle.partitions``),
-    so no window task holds more than about ``rows / P`` rows.  Range bounds are
-    sampled anew whenever the exchange is run again, so the rows are
-    checkpointed with their range before it is read for the offsets and for the
-    ranks.  With repeated ids the tie order is as arbitrary as in the plain
-    window."""
+    Ranges are equi-depth (about ``P = buckets`` in all; by default as many as
+    ``spark.sql.shuffle.partitions``, at most ``MAX_RANGES``), so no window task
+    holds more than about ``rows / P`` rows.  ``df`` is read three times (bounds,
+    counts, ranks): hand over a stored relation.  With repeated ids the tie
+    order is as arbitrary as in the plain window."""
     if not groups:
         raise ValueError("at least one grouping column is required")
-    ranged = materialize((df.repartitionByRange(*groups, order_col) if buckets is None
-                          else df.repartitionByRange(buckets, *groups, order_col)).withColumn(_B, F.spark_partition_id()))
+    p = buckets or min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if isinstance(df.schema[order_col].dataType, T.NumericType):
+        ranged = _with_ranges(df, groups, order_col, p)
+    else:
+        ranged = materialize(df.repartitionByRange(p, *groups, order_col).withColumn(_B, F.spark_partition_id()))
     w = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     hist = (ranged.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias(_CNT))
             .withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w), F.lit(0))).drop(_CNT)
