@@ -12,9 +12,12 @@ sample, so it is small where vectors form clusters and large where they do not.
 Every vector is indexed.
 
 Cells are dealt to blocks of about ``BLOCK`` vectors: small cells share one,
-large cells are split over several by a hash of the id.  Queries are dealt to
-chunks; a (block, chunk) pair is one group, so neither a crowded cell nor many
-queries end up in one task.  Only a query's best ``k`` of a block leave it.
+large cells are split over several by a hash of the id.  The queries that visit
+a block are counted and dealt to chunks of about ``CHUNK``; a (block, chunk)
+pair is one group, so neither a crowded cell nor many queries end up in one
+task.  A vector is sent once per chunk of its own block and not at all if no
+query visits it: rows sent are at most the vectors plus a ``CHUNK``-th of the
+inner products.  Only a query's best ``k`` of a block leave it.
 
 Defined cases: rows without an id, and vectors that are null, empty, zero, or
 hold a null or non-finite component take no part, nor do those whose dimension
@@ -167,6 +170,37 @@ def _deal(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
+def _spread(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A part below ``parts`` by a hash of the id."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _chunks(routes: DataFrame, first: np.ndarray) -> np.ndarray:
+    """Per cell the number of chunks of the queries that visit its blocks.  The
+    driver gets one number per block that is some cell's first."""
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        met = [np.unique(first[np.frombuffer(c, dtype="<i4")]) for c in batch.column("cells").to_pylist()]
+        block, n = np.unique(np.concatenate(met), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(n)], names=["block", "n"])
+
+    visits = np.zeros(int(first.max()) + 1, dtype=np.int64)
+    for r in map_batches(routes.select("cells"), count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():
+        visits[r["block"]] = r["n"]
+    return -(-visits[first] // CHUNK)
+
+
+def _sent(rows: DataFrame, first: np.ndarray, parts: np.ndarray, chunks: np.ndarray) -> DataFrame:
+    """``block, chunk, id, v, cell``: every vector once per chunk of its block."""
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cell"))
+        return pa.RecordBatch.from_arrays([pa.array(first[cell] + _spread(ids, parts[cell])), pa.array(chunks[cell]),
+                                           *(batch.column(c) for c in ("id", "v", "cell"))],
+                                          names=["block", "chunks", "id", "v", "cell"])
+
+    return (map_batches(rows, place, "block long, chunks long, id long, v binary, cell long").where("chunks > 0")
+            .select("block", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "id", "v", "cell"))
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
@@ -199,29 +233,29 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec
         counts[r["cell"]] = r["n"]
     first, parts = _deal(counts)
     asked = base.where(queries).groupBy("id").agg(F.min("v").alias("v"))
-    chunks = max(1, -(-asked.count() // CHUNK))
 
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, cell = batch.column("id").to_numpy(zero_copy_only=False), batch.column("cell").to_numpy(zero_copy_only=False)
-        block = first[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[cell]
-        return pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "id", "v", "cell"])
-
-    def route(batch: pa.RecordBatch) -> pa.RecordBatch:
-        blocks, ids, values, cells = [], [], [], []
+    def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
         d1, d2 = model.halves(matrix(batch.column("v"), dim))
-        for i, (q, v) in enumerate(zip(batch.column("id").to_pylist(), batch.column("v").to_pylist())):
+        cells = [np.array(traverse(d1[i], d2[i], counts, wanted), dtype="<i4").tobytes() for i in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cells, pa.binary())],
+                                          names=["id", "v", "cells"])
+
+    routes = written(map_batches(asked, visit, "id long, v binary, cells binary"), "routes")
+    chunks = _chunks(routes, first)
+
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], []]
+        for q, v, cells in zip(*(batch.column(c).to_pylist() for c in ("id", "v", "cells"))):
             by_block: dict[int, list[int]] = {}
-            for cell in traverse(d1[i], d2[i], counts, wanted):
+            for cell in np.frombuffer(cells, dtype="<i4").tolist():
                 for block in range(first[cell], first[cell] + parts[cell]):
                     by_block.setdefault(block, []).append(cell)
             for block, own in by_block.items():
-                blocks.append(block)
-                ids.append(q)
-                values.append(v)
-                cells.append(np.array(own, dtype="<i4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()),
-                                           pa.array(values, pa.binary()), pa.array(cells, pa.binary())],
-                                          names=["block", "id", "v", "cells"])
+                chunk = int(_spread(np.array([q]), chunks[own[0]])[0])
+                for c, x in zip(out, (block, chunk, q, v, np.array(own, dtype="<i4").tobytes())):
+                    c.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 3, *[pa.binary()] * 2))],
+                                          names=["block", "chunk", "id", "v", "cells"])
 
     def rerank(queries_: pa.Table, rows_: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
@@ -242,10 +276,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec
         return pa.table([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.float64))],
                         names=["query_id", "vec_id", "score"])
 
-    left = map_batches(asked, route, "block long, id long, v binary, cells binary").withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    right = map_batches(rows, spread, "block long, id long, v binary, cell long").withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    left = map_batches(routes, ask, "block long, chunk long, id long, v binary, cells binary")
+    right = _sent(rows, first, parts, chunks)
     tiles = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(
         rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

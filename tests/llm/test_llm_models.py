@@ -309,6 +309,37 @@ def test_split_blocks_and_chunks_give_the_same(spark, monkeypatch):
         (q, n): pair for q, pairs in brute_nearest(rows, 5).items() for n, pair in enumerate(pairs, 1)}
 
 
+def test_vectors_are_sent_to_the_chunks_that_visit_them(spark, monkeypatch):
+    """Rows sent follow the inner products, not vectors times queries."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    centres = 4 * rng.normal(size=(40, 8))
+    rows = [(i, (centres[i % 40] + 0.1 * rng.normal(size=8)).tolist(), 0) for i in range(4_000)]
+    sent, inner = [], multi_index._sent
+
+    def noted(*args):
+        out = inner(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(multi_index, "_sent", noted)
+    monkeypatch.setattr(multi_index, "BLOCK", 50)
+    monkeypatch.setattr(multi_index, "CHUNK", 4)
+    got = multi_index.nearest(vectors(spark, rows), F.col("id") % 20 == 0, share=0.02).collect()
+    assert len(got) == 200 * 20
+    # 200 queries make 50 chunks; a query visits at least 201 vectors, in blocks of about 50
+    assert sent[0] <= 4_000 + 200 * 600 / 4
+
+
+def test_recall_on_the_registered_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in table.select("vec_id", "embedding").collect()]
+    want = brute_nearest(rows, 20)
+    got = {}
+    for r in multi_index.nearest(table, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_few_vectors_are_all_candidates(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(35)]
