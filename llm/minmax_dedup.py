@@ -13,8 +13,10 @@
    members.  Their classes are joined by an exact prefix filter: with shingles
    ordered by rarity, two sets that are similar enough share one of their
    rarest.  Only members of different components meet, and of a shingle's rows
-   only those outside its largest component are paired with the others.  Every
-   pair is confirmed on the full sets.
+   only those outside its largest component are paired with the others.  The
+   rows of a frequent shingle meet by size band: what sizes and positions rule
+   out (texts of one template that stay below the threshold) is never compared.
+   Every pair is confirmed on the full sets.
 
 No step emits all pairs of a bucket, and no class is limited in partners.
 
@@ -40,6 +42,9 @@ from .shingles import band_keys, min_max, mix64, permutations, shingle_set
 
 #: Counters of the rarity sketch: a bound on what is broadcast.
 SKETCH_BITS = 20
+#: Rows from which a shingle's rows meet by size band, and the width of a band:
+#: neither changes a result.
+MANY, BAND = 64, 0.01
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str, shingle: int, n_perm: int, rows: int) -> DataFrame:
@@ -134,19 +139,48 @@ def _prefixes(open_bodies: DataFrame, rarity: np.ndarray, shingle: int, percent:
     return map_batches(open_bodies.select("class", "root", "t"), prefix, "tok long, class long, root long, n long, pos long")
 
 
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(1 + BAND)))
+
+
+def _need(n: Column, other: Column, percent: int) -> Column:
+    """The shingles that similar sets of these sizes have in common, at least."""
+    return F.ceil(F.lit(percent) * (n + other) / F.lit(100 + percent))
+
+
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with ``own``, the size band of the set, and ``other``, a band of
+    the sets it may meet: none, if too few shingles follow the shingle for any
+    set of that band.  Shingles of few rows have one band for all."""
+    n = F.col("n")
+    bands = F.sequence(_band(F.ceil(F.lit(percent) * n / 100)), _band(F.floor(100 * n / F.lit(percent))))
+    # One below the smallest set of the band: logarithms may round.
+    least = F.greatest(F.ceil(F.pow(F.lit(1 + BAND), F.col("other"))) - 1, F.ceil(F.lit(percent) * n / 100))
+    return (rows.withColumn("own", F.when(F.col("many"), _band(n)).otherwise(-1))
+                .withColumn("other", F.explode(F.when(F.col("many"), bands).otherwise(F.array(F.lit(-1).cast("long")))))
+                .where(~F.col("many") | (n - F.col("pos") >= _need(n, least, percent))))
+
+
+def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of rows of different components that share a prefix shingle.
+    Those of a shingle with many rows meet by size band, so that sizes and
+    positions that rule a pair out keep it from being compared at all."""
+    per_root = prefixes.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("rows"))
+    main = (per_root.groupBy("tok").agg(F.count(F.lit(1)).alias("roots"), F.sum("rows").alias("rows"),
+                                        F.max(F.struct("rows", "root")).alias("x"))
+            .where("roots > 1").select("tok", F.col("x.root").alias("main"), (F.col("rows") > MANY).alias("many")))
+    met = _banded(written(prefixes.join(main, "tok"), "prefixes"), percent)
+    few = met.where("root <> main").select("tok", F.col("own").alias("other"), F.col("other").alias("own"),
+                                           *[F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "pos")])
+    return few.join(met, ["tok", "own", "other"]).where("root <> root2")
+
+
 def _hidden_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of different components that share a prefix shingle and whose
     sizes and positions allow the similarity."""
-    per_root = prefixes.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("rows"))
-    main = (per_root.groupBy("tok").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("rows", "root")).alias("x"))
-            .where("roots > 1").select("tok", F.col("x.root").alias("main")))
-    met = written(prefixes.join(main, "tok"), "prefixes")
-    few = met.where("root <> main").select("tok", *[F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "pos")])
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
-    return (few.join(met, "tok")
-            .where("root <> root2")
+    return (_meetings(prefixes, percent)
             .where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-            .where(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
+            .where(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= _need(F.col("n"), F.col("n2"), percent))
             .select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct())
 
 

@@ -86,6 +86,41 @@ def test_near_duplicates_beyond_the_star(spark):
     assert len({c for _, _, c in want}) > 1
 
 
+@pytest.mark.parametrize("many", [0, 1_000_000])
+def test_size_bands_lose_no_link(spark, monkeypatch, many):
+    """Chains of many lengths, joined by bands alone and without bands."""
+    monkeypatch.setattr(minmax_dedup, "MANY", many)
+    rng = np.random.Generator(np.random.PCG64(31))
+    rows, base = [], [f"w{i}" for i in range(260)]
+    for i in range(60):
+        text = base[:int(rng.integers(190, 261))]
+        for p in rng.choice(len(text), int(rng.integers(0, 9)), replace=False):
+            text[p] = f"new{i}_{p}"
+        rows.append((100 - i, " ".join(text)))
+    same([(r["d"], r["n_shingles"], r["component"]) for r in minmax_dedup.near_duplicates(documents(spark, rows)).collect()], near(rows))
+    # all pairs that the similarity allows meet, whatever the roots
+    bodies = documents(spark, rows).selectExpr("doc_id AS class", "doc_id AS root", "text AS t")
+    rarity = minmax_dedup._rarity(bodies, 3)
+    met = minmax_dedup._hidden_pairs(minmax_dedup._prefixes(bodies, rarity, 3, 85), 85).collect()
+    sets = {d: set(zip(t.split(), t.split()[1:], t.split()[2:])) for d, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert want and want <= {(r["a"], r["b"]) for r in met}
+
+
+def test_templates_below_the_threshold_are_not_compared(spark):
+    """300 common and 45 own words: no two are similar, and what meets grows with
+    the documents, not with their pairs."""
+    def met(n):
+        common = " ".join(f"c{i}" for i in range(300))
+        rows = [(i, common + " " + " ".join(f"own{i}_{j}" for j in range(45))) for i in range(n)]
+        bodies = documents(spark, rows).selectExpr("doc_id AS class", "doc_id AS root", "text AS t")
+        prefixes = minmax_dedup._prefixes(bodies, minmax_dedup._rarity(bodies, 3), 3, 85)
+        assert prefixes.groupBy("tok").count().where(f"count = {n}").count()  # a shingle that all texts have
+        return minmax_dedup._meetings(prefixes, 85).count()
+
+    assert met(200) <= 200 and met(1_600) <= 1_600
+
+
 def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
     docs = clashing(documents(spark, CORPUS))
     kept = minmax_dedup.dedup(docs)
