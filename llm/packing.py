@@ -8,9 +8,9 @@ length go to the packs that are shortest so far (those with the largest gap),
 by updating the counts of packing *patterns* (lists of lengths).  The patterns
 are then joined back to the pieces by their rank within their length.
 
-Ranks need no window over a whole length: a piece carries a salt, the counts
-per (length, salt) give each salt its first rank, and only (length, salt)
-slices are numbered.
+Ranks need no window over a whole length: the pieces of a length are dealt by a
+hash to as many slices of about ``SLICE`` as their number takes, the counts per
+slice give each its first rank, and only slices are numbered.
 
 Defined cases: a null or empty text is the end id alone; rows without an id
 and rows that repeat an id are documents of their own; an empty table gives an
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 END_ID = 1
-SALTS = 64
+#: Pieces that are numbered in one task, on average.
+SLICE = 50_000
 
 
 def default_vocabulary() -> str:
@@ -57,8 +58,9 @@ def _encoding(vocabulary: str):
 
 def cut_pieces(docs: DataFrame, vocabulary: str, max_len: int = 2048, text: str = "text",
                doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens, salt`` (and ``ids``): the pieces."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt int"
+    """``doc_id, start, length, ids_crc32, doc_tokens, salt`` (and ``ids``): the
+    pieces; ``salt`` tells equal pieces of a task apart."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
     if with_ids:
         schema += ", ids array<int>"
 
@@ -70,11 +72,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, max_len: int = 2048, text: str
                 ids = np.array(encode(body.as_py() or "") + [END_ID], dtype="<u4")
                 for start in range(0, len(ids), max_len):
                     part = ids[start:start + max_len]
-                    row = (d, start, len(part), zlib.crc32(part.tobytes()), len(ids), salt % SALTS)
+                    row = (d, start, len(part), zlib.crc32(part.tobytes()), len(ids), salt)
                     for c, v in zip(cols, (*row, part.astype(np.int32)) if with_ids else row):
                         c.append(v)
                     salt += 1
-            types = [pa.int64()] * 5 + [pa.int32()] + [pa.list_(pa.int32())] * with_ids
+            types = [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              names=[f.split()[0] for f in schema.split(", ")])
 
@@ -116,33 +118,35 @@ def pack_histogram(counts: dict[int, int], max_len: int) -> list[tuple[tuple[int
     return done + [(p, n) for packs in open_packs.values() for p, n in packs]
 
 
+def _sliced(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``pieces`` with ``slice`` instead of ``salt``; ``counts`` has at most ``max_len`` lengths."""
+    slices = pieces.sparkSession.createDataFrame([(x, -(-n // SLICE)) for x, n in counts.items()], "length long, slices long")
+    return (pieces.join(F.broadcast(slices), "length")
+            .withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), "slices")).drop("salt", "slices"))
+
+
 def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``, without ``salt``."""
-    spark = pieces.sparkSession
-    # At most max_len x SALTS rows.
-    counts = {(r["length"], r["salt"]): r["n"] for r in
-              pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()}
-    per_length: dict[int, int] = defaultdict(int)
-    firsts = []
-    for (length, salt), n in sorted(counts.items()):
-        firsts.append((length, salt, per_length[length]))
-        per_length[length] += n
+    """``pieces`` with ``sequence_id`` and ``offset``, without ``salt``; they are
+    read three times, so hand over a stored table."""
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, sequence = [], 0
     used: dict[int, int] = defaultdict(int)
-    for pattern, packs in pack_histogram(dict(per_length), max_len):
+    for pattern, packs in pack_histogram(counts, max_len):
         offset = 0
         for length in pattern:
             slots.append((length, used[length], used[length] + packs, sequence, offset))
             used[length] += packs
             offset += length
         sequence += packs
-    # Both tables are bounded by max_len (and SALTS), not by the documents.
-    first = spark.createDataFrame(firsts, "length long, salt int, first long")
-    slot = spark.createDataFrame(slots, "length long, low long, high long, sequence long, offset long")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = (pieces.withColumn("rank", F.row_number().over(order) - 1)
-              .join(F.broadcast(first), ["length", "salt"])
-              .withColumn("rank", F.col("rank") + F.col("first")).drop("first", "salt"))
+    # Bounded by max_len, not by the documents.
+    slot = pieces.sparkSession.createDataFrame(slots, "length long, low long, high long, sequence long, offset long")
+    sliced = _sliced(pieces, counts)
+    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = (sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
+             .select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    order = Window.partitionBy("length", "slice").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    ranked = (sliced.withColumn("rank", F.row_number().over(order) - 1).join(first, ["length", "slice"])
+              .withColumn("rank", F.col("rank") + F.col("first")).drop("first", "slice"))
     return (ranked.join(F.broadcast(slot), "length")
             .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
             .withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("low"))

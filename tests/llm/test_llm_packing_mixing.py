@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from llm_helpers import SCHEMA, clashing, corpus, documents, edge_rows
+from pyspark.sql import functions as F
 
 from llm import mixing, packing
 from llm.mixing import Level
@@ -69,6 +70,19 @@ def test_patterns_do_not_grow_with_the_corpus():
     assert len(many) < 4 * 2_048 and len(few) <= len(many) + 2_048
 
 
+def test_slices_follow_the_number_of_pieces(spark, monkeypatch):
+    """Equal rows without an id, ten times as many: slices grow in number, not in size."""
+    monkeypatch.setattr(packing, "SLICE", 100)
+    for n in (500, 5_000):
+        docs = spark.range(0, n, 1, 4).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one two' AS text")
+        pieces = packing.written(packing.cut_pieces(docs, packing.default_vocabulary()), "pieces")
+        length = pieces.first()["length"]
+        sizes = [r["count"] for r in packing._sliced(pieces, {length: n}).groupBy("length", "slice").count().collect()]
+        assert len(sizes) == n // 100 and max(sizes) < 160
+        got = packing.pack(pieces).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert sum(r["n"] for r in got) == n * length and len(got) == -(-n // (2_048 // length))
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).collect() == []
 
