@@ -14,8 +14,9 @@
    ordered by rarity, two sets that are similar enough share one of their
    rarest.  Only members of different components meet, and of a shingle's rows
    only those outside its largest component are paired with the others.  The
-   rows of a frequent shingle meet by size band: what sizes and positions rule
-   out (texts of one template that stay below the threshold) is never compared.
+   rows of a frequent shingle meet by size band, the smaller set in its own and
+   the larger in at most five: what sizes and positions rule out (texts of one
+   template that stay below the threshold) is not compared.
    Every pair is confirmed on the full sets.
 
 No step emits all pairs of a bucket, and no class is limited in partners.
@@ -42,8 +43,8 @@ from .shingles import band_keys, min_max, mix64, permutations, shingle_set
 
 #: Counters of the rarity sketch: a bound on what is broadcast.
 SKETCH_BITS = 20
-#: Rows from which a shingle's rows meet by size band, and the width of a band:
-#: neither changes a result.
+#: Rows from which a shingle's rows meet by size band, and the width of the
+#: narrowest band: neither changes a result.
 MANY, BAND = 64, 0.01
 
 
@@ -148,17 +149,33 @@ def _need(n: Column, other: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + other) / F.lit(100 + percent))
 
 
+def _sizes(first: Column, last: Column) -> tuple[Column, Column]:
+    """How many bands count as one (1, 4 or 16, so that few cover the range), and
+    the range ``first`` to ``last`` in such bands."""
+    low, high = _band(first), _band(last)
+    step = F.when(high - low < 4, 1).when(high - low < 16, 4).otherwise(16)
+    return step, F.sequence(F.floor(low / step), F.floor(high / step))
+
+
 def _banded(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows`` with ``own``, the size band of the set, and ``other``, a band of
-    the sets it may meet: none, if too few shingles follow the shingle for any
-    set of that band.  Shingles of few rows have one band for all."""
+    """``rows`` with ``step, band``: the size bands of the smaller sets that a row
+    may meet.  How many shingles follow the row's bounds them from above; at most
+    five rows come of one."""
     n = F.col("n")
-    bands = F.sequence(_band(F.ceil(F.lit(percent) * n / 100)), _band(F.floor(100 * n / F.lit(percent))))
-    # One below the smallest set of the band: logarithms may round.
-    least = F.greatest(F.ceil(F.pow(F.lit(1 + BAND), F.col("other"))) - 1, F.ceil(F.lit(percent) * n / 100))
-    return (rows.withColumn("own", F.when(F.col("many"), _band(n)).otherwise(-1))
-                .withColumn("other", F.explode(F.when(F.col("many"), bands).otherwise(F.array(F.lit(-1).cast("long")))))
-                .where(~F.col("many") | (n - F.col("pos") >= _need(n, least, percent))))
+    # Inverse of _need: the largest set that the rest of this one allows.
+    most = F.floor((n - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)) - n
+    step, bands = _sizes(F.ceil(F.lit(percent) * n / 100), F.least(n, most))
+    return (rows.withColumns({"step": step, "bands": bands})
+                .select(*rows.columns, "step", F.explode("bands").alias("band")))
+
+
+def _own_bands(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with ``step, band``: the band of a row's own size at every step, if
+    enough shingles follow for a set of at least that size."""
+    own = _band(F.col("n"))
+    steps = F.array(*[F.struct(F.lit(s).alias("step"), F.floor(own / s).alias("band")) for s in (1, 4, 16)])
+    return (rows.where(F.col("n") - F.col("pos") >= _need(F.col("n"), F.col("n"), percent))
+                .select(*rows.columns, F.explode(steps).alias("x")).select(*rows.columns, "x.step", "x.band"))
 
 
 def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -169,10 +186,16 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
     main = (per_root.groupBy("tok").agg(F.count(F.lit(1)).alias("roots"), F.sum("rows").alias("rows"),
                                         F.max(F.struct("rows", "root")).alias("x"))
             .where("roots > 1").select("tok", F.col("x.root").alias("main"), (F.col("rows") > MANY).alias("many")))
-    met = _banded(written(prefixes.join(main, "tok"), "prefixes"), percent)
-    few = met.where("root <> main").select("tok", F.col("own").alias("other"), F.col("other").alias("own"),
-                                           *[F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "pos")])
-    return few.join(met, ["tok", "own", "other"]).where("root <> root2")
+    met = written(prefixes.join(main, "tok"), "prefixes")
+    sides = [[f"{c}{side}" for c in ("class", "root", "n", "pos")] for side in ("", "2")]
+    second = lambda df, *keys: df.select(*keys, *[F.col(c).alias(c2) for c, c2 in zip(*sides)])
+    pairs = lambda one, two, *keys: one.join(second(two, *keys), [*keys]).select("tok", *sides[0], *sides[1])
+    other, frequent, few = met.where("NOT many"), met.where("many"), "root <> main"
+    small, large, by = _own_bands(frequent, percent), _banded(frequent, percent), ("tok", "step", "band")
+    return (pairs(other, other.where(few), "tok")
+            .unionByName(pairs(small.where(few), large, *by).where("n <= n2"))
+            .unionByName(pairs(small.where("root = main"), large.where(few), *by).where("n <= n2"))
+            .where("root <> root2"))
 
 
 def _hidden_pairs(prefixes: DataFrame, percent: int) -> DataFrame:

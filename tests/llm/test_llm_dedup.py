@@ -121,6 +121,18 @@ def test_templates_below_the_threshold_are_not_compared(spark):
     assert met(200) <= 200 and met(1_600) <= 1_600
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_row_of_a_frequent_shingle_meets_few_size_bands(spark, percent):
+    """Whatever its size and position; and no allowed pair of sizes is lost."""
+    rows = [(1, n, n, n, pos, 0, True) for n in range(1, 400, 3) for pos in range(0, n - -(-percent * n // 100) + 1, 7)]
+    df = spark.createDataFrame(rows, "tok long, class long, root long, n long, pos long, main long, many boolean")
+    assert minmax_dedup._banded(df, percent).groupBy("class", "pos").count().agg({"count": "max"}).first()[0] <= 5
+    need = lambda n, m: -(-percent * (n + m) // (100 + percent))
+    want = {(n, m) for _, _, _, n, pos, _, _ in rows for _, _, _, m, pos2, _, _ in rows
+            if n < m and 100 * n >= percent * m and min(n - pos, m - pos2) >= need(n, m)}
+    assert want == {(r["a"], r["b"]) for r in minmax_dedup._hidden_pairs(df.select("tok", "class", "root", "n", "pos"), percent).collect()}
+
+
 def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
     docs = clashing(documents(spark, CORPUS))
     kept = minmax_dedup.dedup(docs)
