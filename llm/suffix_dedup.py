@@ -22,6 +22,9 @@ character: the kept bytes are binary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +37,18 @@ GRAM = 24
 Q = 8
 #: Bytes of the segments of one anchor that may meet in one shard.
 GROUP_LIMIT = 3_000_000
+#: Bytes whose suffixes are sorted together, unless one group has more.
+PART = 250_000
 
 
-def _groups(order_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorting order and, in that order, the number of the group of equal keys."""
-    order = np.argsort(order_keys, kind="stable")
-    ranked = order_keys[order]
-    return order, np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1]))) if len(ranked) else ranked.astype(np.int64)
+def _groups(order_keys: np.ndarray) -> np.ndarray:
+    """The number of the group of equal keys that each belongs to, in key order."""
+    ranked = np.sort(order_keys)
+    ranked = ranked[np.concatenate(([True], ranked[1:] != ranked[:-1]))] if len(ranked) else ranked
+    out = np.empty(len(order_keys), dtype=np.int32)
+    for low in range(0, len(out), PART):
+        out[low:low + PART] = np.searchsorted(ranked, order_keys[low:low + PART])
+    return out
 
 
 def refine_buckets(data: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
@@ -50,29 +58,35 @@ def refine_buckets(data: np.ndarray, left: np.ndarray, window: int) -> np.ndarra
     n = len(data)
     depth = min(Q, window)
     # Initial buckets: the first bytes themselves, as a number.
-    padded = np.concatenate((data, np.zeros(depth, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((data, np.zeros(depth, np.uint8)))
     key = np.zeros(n, np.uint64)
     for i in range(depth):
-        key = (key << np.uint64(8)) | padded[i:n + i]
-    pointer = np.full(n, -1, dtype=np.int64)
-    active = np.flatnonzero(left >= depth)
-    order, group = _groups(key[active])
-    active = active[order]
+        key <<= np.uint64(8)
+        key |= padded[i:n + i]
+    pointer = np.full(n, -1, dtype=np.int32)
+    active = np.flatnonzero(left >= depth).astype(np.int32)
+    key = key[active]
+    group = _groups(key)
+    del key, padded
     pointer[active] = group
     while depth < window:
         # Several suffixes share a bucket: sort them by the bucket of the rest.
-        size = np.bincount(group)[group]
-        several = (size > 1)
+        several = (np.bincount(group) > 1)[group]
         step = min(depth, window - depth)
         # A position too short for the new depth can never reach the window; its
         # pointer is read once more, by positions before it.
-        ended = active[left[active] < depth + step]
-        active = active[several & (left[active] >= depth + step)]
-        order, group = _groups((pointer[active].astype(np.uint64) << np.uint64(32)) | pointer[active + step].astype(np.uint64))
-        active = active[order]
+        enough = left[active] >= depth + step
+        ended = active[~enough]
+        active = active[several & enough]
+        key = pointer[active].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= pointer[active + step].astype(np.uint32)
+        group = _groups(key)
+        del key
         pointer[ended] = -1
-        fresh = int(pointer.max(initial=0)) + 1
-        pointer[active] = fresh + group
+        # Numbers of buckets stay small enough: each round adds no more than the
+        # suffixes that are left.
+        pointer[active] = int(pointer.max(initial=0)) + 1 + group
         depth += step
     return pointer
 
@@ -81,25 +95,43 @@ def refinement_method(window: int) -> A.Method:
     """Groups of segments -> spans whose windows occur more than once."""
 
     def run(rows: list[tuple[int, int, int, int, int, bytes]]) -> list:
-        out = []
-        sizes = np.array([len(r[5]) for r in rows], dtype=np.int64)
+        return [found for part in _parts(rows) for found in one(part)]
+
+    def one(rows: list[tuple[int, int, int, int, int, bytes]]) -> list:
+        sizes = np.array([len(r[5]) for r in rows], dtype=np.int32)
         data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
-        ends = np.cumsum(sizes)
-        left = np.repeat(ends, sizes) - np.arange(len(data))
+        ends = np.cumsum(sizes, dtype=np.int32)
+        left = np.repeat(ends, sizes)
+        left -= np.arange(len(data), dtype=np.int32)
         pointer = refine_buckets(data, left, window)
-        whole = pointer >= 0
-        copies = np.repeat(np.array([r[2] for r in rows], dtype=np.int64), sizes)
+        del left
+        whole = np.flatnonzero(pointer >= 0).astype(np.int32)
+        # Only whether a string is there once matters, so two copies stand for more.
+        copies = np.repeat(np.array([min(r[2], 2) for r in rows], dtype=np.uint8), sizes)[whole]
         _, number = np.unique(pointer[whole], return_inverse=True)
-        total = np.bincount(number, weights=copies[whole])[number] if len(number) else number
-        held = np.full(len(data), np.iinfo(np.int64).max, dtype=np.int64)
-        held[np.flatnonzero(whole)[total > 1]] = A.ANY
-        for r, start, end in zip(rows, ends - sizes, ends):
-            out.append((r[0], r[1], A.span_runs(held[start:end - window + 1], window)))
-        return out
+        again = np.zeros(len(data), dtype=bool)
+        again[whole] = (np.bincount(number, weights=copies) > 1)[number]
+        return [(r[0], r[1], A.span_runs(np.where(again[start:end - window + 1], A.ANY, np.iinfo(np.int64).max), window))
+                for r, start, end in zip(rows, ends - sizes, ends)]
 
     return run
 
 
+def _parts(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Whole groups, of up to ``PART`` bytes together: equal strings pick equal
+    anchors, so groups of different anchors share none."""
+    part, size = [], 0
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        more = sum(len(r[5]) for r in group)
+        if part and size + more > PART:
+            yield part
+            part, size = [], 0
+        part, size = part + group, size + more
+    if part:
+        yield part
+
+
 def drop_repeated_strings(docs: DataFrame, window: int = 200, text: str = "text", doc_id: str = "doc_id",
                           gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) per row of ``docs``."""

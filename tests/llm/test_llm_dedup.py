@@ -1,5 +1,7 @@
 """Substring, byte, line and near-duplicate removal against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from llm_helpers import (NO_ID, SCHEMA, clashing, corpus, documents, edge_rows, key, lines, near, passages, same, strings)
@@ -198,6 +200,41 @@ def test_bucket_pointers_are_classes_of_equal_strings():
         assert len(set(zip(strings_, pointer[ok].tolist()))) == len(set(strings_)) == len(set(pointer[ok].tolist()))
 
 
+def test_memory_of_a_shard_follows_its_largest_group():
+    """Near copies of one passage: suffixes cost few bytes, and groups are sorted apart."""
+    rng = np.random.Generator(np.random.PCG64(9))
+
+    def group(h, n):
+        base, out = rng.integers(97, 123, 350).astype(np.uint8), []
+        for sh in range(n):
+            text = base.copy()
+            text[rng.integers(0, 350, 2)] = 65 + rng.integers(0, 26, 2)
+            out.append((h, sh, 1, 0, 0, text.tobytes()))
+        return out
+
+    def peak(rows):
+        tracemalloc.start()
+        try:
+            return method(rows), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    method = suffix_dedup.refinement_method(200)
+    rows = group(0, 2_000)
+    alone, most = peak(rows)
+    assert most < 60 * 350 * len(rows)
+    rows += [r for h in range(1, 7) for r in group(h, 600)]
+    together, most = peak(rows)
+    assert together[:2_000] == alone and len(together) == len(rows)
+    assert most < 60 * 350 * 2_000
+    seen = {}
+    for h, sh, *_, text in rows[-600:]:
+        for p in range(151):
+            seen.setdefault(text[p:p + 200], []).append((sh, p))
+    again = {x for places in seen.values() if len(places) > 1 for x in places}
+    assert again == {(sh, p) for _, sh, spans in together[-600:] for s, e, _ in spans for p in range(s, e - 199)}
+
+
 def test_equal_windows_pick_equal_anchors():
     rng = np.random.Generator(np.random.PCG64(7))
     x = anchors._BYTE_HASHES[rng.integers(0, 3, 5_000)]
