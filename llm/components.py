@@ -14,19 +14,19 @@ from .common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of a node are linked to the smallest of all its neighbours and itself."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (both.where("v > u").join(low, "u").where("v <> m")
-                .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    """Larger neighbours of a node are linked to the smallest of all its neighbours
+    and itself, which is found among the smaller ones.  ``edges`` have ``v < u``
+    here and below; there are no more of them afterwards, some repeated."""
+    low = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the smallest of them.
-    ``edges`` have ``v < u``."""
+    """A node and its smaller neighbours are linked to the smallest of them: the
+    edge to that one stays, of others the smaller end is linked."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    return edges.join(low, "u").select(F.when(v == m, u).otherwise(v).alias("u"), m.alias("v")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

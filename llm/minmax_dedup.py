@@ -102,8 +102,8 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
     return (mix64(shingles) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _rarity(open_bodies: DataFrame, shingle: int) -> np.ndarray:
-    """Counts of shingles by hash slot: at most 2^SKETCH_BITS numbers reach the driver."""
+def _sketch(open_bodies: DataFrame, shingle: int) -> DataFrame:
+    """``slot, n``, 32 bits each: the slots with two shingles or more."""
     hashes = WordHashes()
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -113,10 +113,16 @@ def _rarity(open_bodies: DataFrame, shingle: int) -> np.ndarray:
         slots = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
 
-    table = (map_batches(open_bodies.select("t"), count, "slot long, n long")
-             .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-    out[table["slot"].to_numpy()] = np.minimum(table["n"].to_numpy(), np.iinfo(np.int32).max)
+    return (map_batches(open_bodies.select("t"), count, "slot long, n long")
+            .groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+            .select(F.col("slot").cast("int"), F.least("n", F.lit(np.iinfo(np.int32).max)).cast("int").alias("n")))
+
+
+def _rarity(open_bodies: DataFrame, shingle: int) -> np.ndarray:
+    """Counts of shingles by hash slot, at least 1: at most 2^SKETCH_BITS numbers reach the driver."""
+    table = _sketch(open_bodies, shingle).toArrow()
+    out = np.ones(1 << SKETCH_BITS, dtype=np.int32)
+    out[table["slot"].to_numpy()] = table["n"].to_numpy()
     return out
 
 

@@ -1,6 +1,7 @@
 """Substring, byte, line and near-duplicate removal against brute force."""
 
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +9,9 @@ from llm_helpers import (NO_ID, SCHEMA, clashing, corpus, documents, edge_rows,
 
 from llm import anchors, line_dedup, minmax_dedup, substring_dedup, suffix_dedup
 from llm.catalog import sha256
-from llm.components import components
+from llm.common import WordHashes
+from llm.components import _large_star, _small_star, components
+from llm.shingles import shingle_set
 
 CORPUS = list(enumerate(corpus(60, 1)))
 EDGES = [(r[0], r[1]) for r in edge_rows()]
@@ -169,6 +172,38 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 31)}, 100: 50, 75: 50, **{i: 200 for i in range(201, 240)}}
 
 
+def test_a_round_of_components_takes_few_exchanges(spark):
+    """Each is a stage of as many tasks as there are partitions, whose metrics the driver holds."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    pairs = {(int(max(p)), int(min(p))) for p in rng.integers(0, 300, (400, 2)) if p[0] != p[1]} | {(u, 0) for u in range(300, 900)}
+    edges = spark.createDataFrame(sorted(pairs), "u long, v long")
+    assert _large_star(edges).count() <= len(pairs) and _small_star(edges).count() <= len(pairs)
+    plan = _small_star(_large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") <= 7
+    root = list(range(900))
+    for _ in root:
+        before = list(root)
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+        if before == root:
+            break
+    got = {r["node"]: r["root"] for r in components(edges, "u", "v").collect()}
+    assert got == {x: r for x, r in enumerate(root) if r != x}
+
+
+def test_rarity_sends_few_small_numbers_to_the_driver(spark):
+    bodies = documents(spark, CORPUS).where("text IS NOT NULL").selectExpr("text AS t")
+    want = np.ones(1 << minmax_dedup.SKETCH_BITS, dtype=np.int64)
+    seen = Counter(int(x) for _, t in CORPUS if t is not None
+                   for x in minmax_dedup._slots(shingle_set(t.encode().lower().split(), WordHashes(), 3)))
+    for slot, n in seen.items():
+        want[slot] = n
+    assert (minmax_dedup._rarity(bodies, 3) == want).all()
+    sketch = minmax_dedup._sketch(bodies, 3)
+    assert sketch.dtypes == [("slot", "int"), ("n", "int")]
+    assert {(r["slot"], r["n"]) for r in sketch.collect()} == {(x, n) for x, n in seen.items() if n > 1}
+
+
 def test_automaton_against_brute_force():
     rng = np.random.Generator(np.random.PCG64(5))
     for _ in range(30):
